@@ -130,3 +130,16 @@ REPORT_VAX_SQL = f"""report_vax AS (
          {pick_sql(VAX_TYPES, 'l_partkey')} AS VAX_TYPE,
          {pick_sql(VAX_MANUS, 'l_suppkey')} AS VAX_MANU
   FROM lineitem)"""
+
+
+def with_year(df: DataFrame, key: str = "VAERS_ID") -> DataFrame:
+    """Year folder of a report part (the same rule as ``reports.year``)."""
+    return df.withColumn("year", (F.lit(2020) + F.col(key) % 6).cast("string"))
+
+
+REPORT_COLUMNS = ["VAERS_ID", "year", "STATE", "AGE_YRS", "SEX", "RECOVD", "NUMDAYS",
+                  "VAX_DATE", "SYMPTOM_TEXT"]
+NUMERIC_REPORT_COLUMNS = {"VAERS_ID", "AGE_YRS", "NUMDAYS", "ORDER"}
+BLEND_COLUMNS = REPORT_COLUMNS + ["SYMPTOM1", "SYMPTOM2", "ORDER", "VAX_TYPE", "VAX_MANU"]
+BLEND_SQL = """blend AS (
+  SELECT * FROM reports JOIN report_symptoms USING (VAERS_ID) JOIN report_vax USING (VAERS_ID))"""
