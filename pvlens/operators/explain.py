@@ -96,7 +96,9 @@ def leave_one_out_importance(text) -> Column:
     ws = words(F.coalesce(col_(text), F.lit("")))
     lw = F.transform(ws, lambda w: F.lower(w))
     terms = [t for t, _, _ in CLASSIFIER_RULES]
-    counts = {t: F.size(F.filter(lw, lambda w, t=t: F.instr(w, t) > 0)) for t in terms}
+    def holds(term):
+        return lambda w: F.instr(w, term) > 0
+    counts = {t: F.size(F.filter(lw, holds(t))) for t in terms}
     full_hits = {t: counts[t] > 0 for t in terms}
     label_full = None
     for term, lab, _ in CLASSIFIER_RULES:

@@ -77,15 +77,13 @@ def cluster_groups(symptoms) -> Column:
     return F.when(n > 0, F.map_from_arrays(ids, groups))
 
 
-def cluster_table(df: DataFrame, index_col: str, n_total: Column | None = None,
+def cluster_table(df: DataFrame, index_col: str, n_total: Column,
                   extra: list[str] | None = None) -> DataFrame:
-    """C3 table form: rows carry a 0-based global index (W3); k = min(3, n).
-    ``n_total`` defaults to a window count over all rows — pass a literal
-    when the row count is already known (large tables)."""
-    n = n_total if n_total is not None else F.count(F.lit(1)).over(
-        __import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy())
+    """C3 table form: rows carry a 0-based global index (W3) and ``n_total``
+    is the row count (a literal or a scalar subquery); k = min(3, n)."""
+    n = n_total
     i = F.col(index_col)
-    k = F.least(F.lit(CLUSTER_MAX), n)
+    k = F.least(F.lit(CLUSTER_MAX).cast("long"), n)
     x, y = _layout(i, n)
     cols = [i.alias("id"), F.col("symptom").alias("label"), (i % k).cast("int").alias("cluster"),
             x.alias("x"), y.alias("y")]

@@ -29,8 +29,8 @@ def length_filter(df: DataFrame, col: str, min_length: int, max_length: int) ->
     return df.filter(F.length(F.col(col)).between(min_length, max_length))
 
 
-def annotation_tasks(df: DataFrame, text_col: str,
-                     meta_cols: list[str] | None = None) -> DataFrame:
+def annotation_tasks(df: DataFrame, text_col: str, meta_cols: list[str] | None = None,
+                     keys: list[str] | None = None) -> DataFrame:
     """One task per row, ``struct<data:struct<text>, meta:map<string,string>>``.
 
     Columns of ``meta_cols`` that do not exist are skipped silently; values are
@@ -41,7 +41,7 @@ def annotation_tasks(df: DataFrame, text_col: str,
                                  F.array(*[stringify(F.col(c)) for c in present]))
     else:
         meta = F.create_map().cast("map<string,string>")
-    return df.select(F.struct(F.struct(F.col(text_col).alias("text")).alias("data"),
+    return df.select(*(keys or []), F.struct(F.struct(F.col(text_col).alias("text")).alias("data"),
                               meta.alias("meta")).alias("task"))
 
 
