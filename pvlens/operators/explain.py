@@ -86,30 +86,35 @@ def _prob_of(target: Column, hits: dict[str, Column]) -> Column:
     return own / total
 
 
-def leave_one_out_importance(text) -> Column:
+def leave_one_out_importance(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """ML3: for each word, P(predicted | text) - P(predicted | text without
-    that word). A rule term never spans a space, so a term survives removal
-    of word i iff some other word holds it: counting words per term makes
-    this linear in the text (no text rebuilt per word). Not LIME/SHAP.
+    that word), one row per (keys, idx, word, weight). Not LIME/SHAP.
 
-    Returns ``array<struct<idx, word, weight>>`` plus is row-local."""
-    ws = words(F.coalesce(col_(text), F.lit("")))
-    lw = F.transform(ws, lambda w: F.lower(w))
+    A rule term never spans a space, so a term survives removal of word i iff
+    some other word holds it. The per-term word counts, the full label and
+    its probability are computed once per text *below* the ``posexplode``;
+    each word row then needs only scalar arithmetic — linear in the text."""
     terms = [t for t, _, _ in CLASSIFIER_RULES]
+
     def holds(term):
-        return lambda w: F.instr(w, term) > 0
-    counts = {t: F.size(F.filter(lw, holds(t))) for t in terms}
-    full_hits = {t: counts[t] > 0 for t in terms}
+        return lambda w: F.instr(F.lower(w), term) > 0
+
+    ws = df.select(*keys, words(F.coalesce(F.col(text_col), F.lit(""))).alias("_ws"))
+    counted = ws.select(*keys, "_ws", *[F.size(F.filter("_ws", holds(t))).alias(f"_c_{i}")
+                                        for i, t in enumerate(terms)])
+    full_hits = {t: F.col(f"_c_{i}") > 0 for i, t in enumerate(terms)}
     label_full = None
     for term, lab, _ in CLASSIFIER_RULES:
         label_full = (F.when(full_hits[term], F.lit(lab)) if label_full is None
                       else label_full.when(full_hits[term], F.lit(lab)))
     label_full = label_full.otherwise(F.lit(CLASSIFIER_DEFAULT[0]))
-    p_full = _prob_of(label_full, full_hits)
-
-    def per_word(w, i):
-        lwi = F.lower(w)
-        hits = {t: (counts[t] - F.when(F.instr(lwi, t) > 0, 1).otherwise(0)) > 0 for t in terms}
-        return F.struct(i.alias("idx"), w.alias("word"),
-                        (p_full - _prob_of(label_full, hits)).alias("weight"))
-    return F.transform(ws, per_word)
+    scored = counted.select(*keys, "_ws", *[f"_c_{i}" for i in range(len(terms))],
+                            label_full.alias("_label"))
+    scored = scored.withColumn("_p_full", _prob_of(F.col("_label"), full_hits))
+    exploded = scored.select(*keys, "_label", "_p_full", *[f"_c_{i}" for i in range(len(terms))],
+                             F.posexplode("_ws").alias("idx", "word"))
+    lw = F.lower(F.col("word"))
+    hits = {t: (F.col(f"_c_{i}") - F.when(F.instr(lw, t) > 0, 1).otherwise(0)) > 0
+            for i, t in enumerate(terms)}
+    return exploded.select(*keys, F.col("idx").cast("int").alias("idx"), "word",
+                           (F.col("_p_full") - _prob_of(F.col("_label"), hits)).alias("weight"))

@@ -206,9 +206,7 @@ def _loo_sql() -> str:
 def q_loo_importance(spark, sf):
     """ML3: leave-one-word-out importance of every word for the predicted
     label (a deterministic stand-in for LIME/SHAP, not those methods)."""
-    r = T.reports(spark, sf).select("VAERS_ID", X.leave_one_out_importance(F.col("SYMPTOM_TEXT")).alias("w"))
-    return r.select("VAERS_ID", F.explode("w").alias("x")).select(
-        "VAERS_ID", F.col("x.idx").alias("idx"), F.col("x.word").alias("word"), F.col("x.weight").alias("weight"))
+    return X.leave_one_out_importance(T.reports(spark, sf), "SYMPTOM_TEXT", ["VAERS_ID"])
 
 
 # ---------------------------------------------------------------- symptom clusters
