@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's ``\s`` is Unicode-aware and also counts 0x1C-0x1F; Java needs (?U)
@@ -16,6 +16,30 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_evaluated(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``expr`` as column ``name``, evaluated exactly once per row.
+
+    Catalyst pushes a filter below the projection that defines the column and
+    substitutes the full expression into every reference; a labeller with 20
+    keyword tests on a cleaned text then re-runs the cleaning regex 20 times
+    per row. A one-element ``explode`` is a generator, and predicates on its
+    output stay above it, so the expression is computed once and later
+    filters and projections read the attribute."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
+def let(body, *exprs: Column) -> Column:
+    """``body(v1, v2, ...)`` with each ``exprs[i]`` evaluated once per row.
+
+    An expression referenced inside a higher-order-function lambda is
+    re-evaluated for every array element (Catalyst inlines projections into
+    the lambda body). Binding it as the lambda variable of a one-element
+    ``transform`` computes it once and hands the body a cheap reference."""
+    names = [f"v{i}" for i in range(len(exprs))]
+    packed = F.array(F.struct(*[e.alias(n) for e, n in zip(exprs, names)]))
+    return F.transform(packed, lambda s: body(*[s[n] for n in names]))[0]
+
+
 def clean_text(c: str | Column) -> Column:
     """SC1: collapse every whitespace run to one space, then strip."""
     return F.trim(F.regexp_replace(col_(c), WHITESPACE_RUN, " "))

@@ -13,7 +13,7 @@ from pvlens.functions.lexicons import (
     EXPLAIN_NEG_STEP, EXPLAIN_POS_START, EXPLAIN_POS_STEP, EXPLAIN_TOP_WORDS,
     IMPORTANCE_NEGATIVE_COLOR, IMPORTANCE_POSITIVE_COLOR, SEVERITY_LABELS,
 )
-from pvlens.functions.text import col_, words
+from pvlens.functions.text import col_, let, words
 
 FEATURE_TYPE = "array<struct<feature:string,weight:double>>"
 
@@ -22,17 +22,17 @@ def word_weights(text, predicted) -> Column:
     """``map<label, array<struct<feature, weight>>>`` over the first
     min(5, n) words; the predicted label weighs 0.5 - 0.1*i, the others
     -0.3 + 0.05*i."""
+    def build(lead, pred):
+        def feats(label):
+            return F.transform(lead, lambda w, i: F.struct(
+                w.alias("feature"),
+                F.when(pred == F.lit(label),
+                       F.lit(EXPLAIN_POS_START) - F.lit(-EXPLAIN_POS_STEP) * i)
+                 .otherwise(F.lit(EXPLAIN_NEG_START) + F.lit(EXPLAIN_NEG_STEP) * i)
+                 .alias("weight")))
+        return F.create_map(*[x for lab in SEVERITY_LABELS for x in (F.lit(lab), feats(lab))])
     lead = F.slice(words(F.coalesce(col_(text), F.lit(""))), 1, EXPLAIN_TOP_WORDS)
-    pred = col_(predicted)
-
-    def feats(label):
-        return F.transform(lead, lambda w, i: F.struct(
-            w.alias("feature"),
-            F.when(pred == F.lit(label),
-                   F.lit(EXPLAIN_POS_START) - F.lit(-EXPLAIN_POS_STEP) * i)
-             .otherwise(F.lit(EXPLAIN_NEG_START) + F.lit(EXPLAIN_NEG_STEP) * i)
-             .alias("weight")))
-    return F.create_map(*[x for lab in SEVERITY_LABELS for x in (F.lit(lab), feats(lab))])
+    return let(build, lead, col_(predicted))
 
 
 def explode_weights(df: DataFrame, keys: list[str], weights_col: str) -> DataFrame:

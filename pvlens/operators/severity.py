@@ -12,7 +12,7 @@ from pvlens.functions.lexicons import (
     CLASSIFIER_BASE_PROB, CLASSIFIER_DEFAULT, CLASSIFIER_RULES, SEVERITY_KEYWORDS,
     SEVERITY_LABEL_IDS, SEVERITY_LABELS,
 )
-from pvlens.functions.text import col_, contains_ci
+from pvlens.functions.text import col_, contains_ci, with_evaluated
 from pvlens.operators.text import require_columns
 
 
@@ -31,7 +31,7 @@ def label_severity(df: DataFrame, text_col: str, levels=SEVERITY_KEYWORDS,
                    out_col: str = "severity", drop_unknown: bool = True) -> DataFrame:
     """D3 + F7: add the label and (by default) drop 'unknown'."""
     require_columns(df, [text_col])
-    out = df.withColumn(out_col, severity_label(text_col, levels))
+    out = with_evaluated(df.drop(out_col), out_col, severity_label(text_col, levels))
     return out.filter(F.col(out_col) != "unknown") if drop_unknown else out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pvlens.functions.lexicons import (
     CLUSTER_MAX, DEFAULT_SYMPTOMS, LAYOUT_CENTER, LAYOUT_PI, LAYOUT_RADIUS,
 )
-from pvlens.functions.text import alternation, col_
+from pvlens.functions.text import alternation, col_, let
 
 
 def extract_symptoms(text, dictionary: list[str] | None = None) -> Column:
@@ -55,26 +55,28 @@ def _layout(i: Column, n: Column) -> tuple[Column, Column]:
 def cluster_list(symptoms) -> Column:
     """C1 in-row: ``array<struct<id, label, cluster, x, y>>`` for one list;
     k = min(3, n) and cluster = i % k. Empty list -> []."""
-    arr = col_(symptoms)
-    n = F.size(arr)
-    k = F.least(F.lit(CLUSTER_MAX), n)
+    def build(arr):
+        n = F.size(arr)
+        k = F.least(F.lit(CLUSTER_MAX), n)
 
-    def point(s, i):
-        x, y = _layout(i, n)
-        return F.struct(i.alias("id"), s.alias("label"), (i % k).alias("cluster"),
-                        x.alias("x"), y.alias("y"))
-    return F.transform(arr, point)
+        def point(s, i):
+            x, y = _layout(i, n)
+            return F.struct(i.alias("id"), s.alias("label"), (i % k).alias("cluster"),
+                            x.alias("x"), y.alias("y"))
+        return F.transform(arr, point)
+    return let(build, col_(symptoms))
 
 
 def cluster_groups(symptoms) -> Column:
     """Cluster id -> symptoms in list order (``map<int,array<string>>``);
     null for an empty list (the key is absent in that case)."""
-    arr = col_(symptoms)
-    n = F.size(arr)
-    k = F.least(F.lit(CLUSTER_MAX), n)
-    ids = F.sequence(F.lit(0), k - 1)
-    groups = F.transform(ids, lambda c: F.filter(arr, lambda s, i: i % k == c))
-    return F.when(n > 0, F.map_from_arrays(ids, groups))
+    def build(arr):
+        n = F.size(arr)
+        k = F.least(F.lit(CLUSTER_MAX), n)
+        ids = F.sequence(F.lit(0), k - 1)
+        groups = F.transform(ids, lambda c: F.filter(arr, lambda s, i: i % k == c))
+        return F.when(n > 0, F.map_from_arrays(ids, groups))
+    return let(build, col_(symptoms))
 
 
 def cluster_table(df: DataFrame, index_col: str, n_total: Column,

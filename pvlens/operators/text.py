@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvlens.functions.text import clean_text, stringify
+from pvlens.functions.text import clean_text, stringify, with_evaluated
 
 
 def require_columns(df: DataFrame, cols: list[str], what: str = "Text") -> None:
@@ -20,7 +20,7 @@ def extract_candidates(df: DataFrame, text_col: str, min_length: int = 10,
     """Null -> '' -> SC1 into ``out_col``; keep lengths in [min, max]."""
     require_columns(df, [text_col])
     cleaned = clean_text(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return (df.withColumn(out_col, cleaned)
+    return (with_evaluated(df.drop(out_col), out_col, cleaned)
               .filter(F.length(F.col(out_col)).between(min_length, max_length)))
 
 

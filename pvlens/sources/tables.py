@@ -30,8 +30,34 @@ VAX_TYPES = ["COVID19", "FLU4", "VARZOS"]
 VAX_MANUS = ["MODERNA", "PFIZER", "JANSSEN", None]
 
 
+# Hash keys used to spread a table whose scan yields too few splits.
+SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id",
+               "customer": "c_custkey", "part": "p_partkey", "events": "event_id",
+               "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Give a scan at least the session's parallelism.
+
+    A Parquet file is split by row group; a file written as one row group is
+    read by ONE task however large it is, and every row-local text function
+    after it runs serially. When the scan has fewer splits than the session
+    can run at once, hash-partition on the table key (deterministic, and the
+    same key the report joins use). On a cluster reading many files the scan
+    already has thousands of splits and this is a no-op."""
+    if key is None:
+        return df
+    spark = df.sparkSession
+    want = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    want = min(want, spark.sparkContext.defaultParallelism * 2)
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, F.col(key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, SPREAD_KEYS.get(name))
 
 
 def _lit(v):
