@@ -128,3 +128,40 @@ LAYOUT_CENTER, LAYOUT_RADIUS, LAYOUT_PI = 0.5, 0.4, 3.14159
 SAMPLE_SEED = 42
 TRAIN_FRACTION = 0.8
 BATCH_PAGE_LIMIT = 100
+
+# --- Annotation QA vocabularies. These are OUR values, taken from the
+# examples of the annotation guide (not from code, which has none).
+# Span labels recorded for the gold mentions: the lexicon rules plus one rule
+# per severity term.
+ANNOTATION_RULES: list[tuple[str, str]] = ENTITY_RULES + [("SEVERITY", t) for t in SEVERITY_ENTITY_TERMS]
+# Q2: time expressions that must stay outside a span (lower-cased text)
+QA_TIME_PATTERN = (r"\b(for|since|after|within|over)?\s*(\d+|a|an|one|two|three|several|few)\s+"
+                   r"(minutes?|hours?|days?|weeks?|months?|years?)\b|\b(yesterday|overnight|today)\b")
+# Q3: severity modifiers that belong inside the finding's span
+QA_MODIFIERS: list[str] = ["severe", "mild", "moderate", "extreme", "slight", "serious",
+                           "intense", "acute", "life-threatening"]
+# Q4: phrases the guide says to skip, with the reason
+QA_SKIP_TERMS: list[tuple[str, str]] = [
+    ("not feeling well", "vague"), ("body temperature", "vague"),
+    ("product dose omission", "administrative"), ("died", "outcome only"),
+    ("death", "outcome only"), ("patient died", "outcome only"),
+    ("hospitalization", "outcome only"), ("fell asleep", "non-medical"),
+]
+# Q5: compounds that are one finding
+COMPOUND_FIXED_EXPRESSIONS: list[str] = ["nausea and vomiting"]
+# Q6: COVID-19 mention disposition, tried in order (lower-cased text)
+COVID_DISPOSITION_RULES: list[tuple[str, str]] = [
+    (r"tested negative|negative (test|result)", "negative test"),
+    (r"exposed to|contact with|close contact", "exposure"),
+    (r"history of covid|covid-?19 last year|prior covid|previous covid", "history"),
+    (r"covid-?19 vaccin", "vaccine name"),
+    (r"covid-?19 (infection|pneumonia)|tested positive|positive for covid", "infection"),
+]
+# ML4: further entity types as regexes over lower-cased text (OUR patterns,
+# shaped after the demo sentence of the original app)
+EXTRA_ENTITY_PATTERNS: list[tuple[str, str]] = [
+    ("DOSAGE", r"\b\d+(\.\d+)?\s?(mg|mcg|g|ml|units?|iu)\b"),
+    ("DURATION", r"\bfor \d+ (minutes?|hours?|days?|weeks?|months?|years?)\b"),
+    ("FREQUENCY", r"\b(once|twice|three times) (daily|a day|weekly|per day)\b|\bevery \d+ hours\b"),
+    ("ROUTE", r"\b(oral|orally|intravenous|intravenously|intramuscular|subcutaneous|topical|by mouth)\b"),
+]

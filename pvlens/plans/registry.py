@@ -1,4 +1,4 @@
 """All registered queries: importing this module fills the catalog."""
 
-from pvlens.plans import q_analysis, q_profile, q_training  # noqa: F401
+from pvlens.plans import q_analysis, q_annotation, q_profile, q_training  # noqa: F401
 from pvlens.plans.catalog import ORACLES, QUERIES  # noqa: F401
