@@ -296,3 +296,24 @@ def q_document_text_stats(spark, sf):
     return d.select("doc_id", F.length("cleaned").alias("n_chars_clean"),
                     token_count(F.col("cleaned")).alias("n_words"),
                     F.length("cleaned").between(10, 500).alias("is_candidate"))
+
+
+# ---------------------------------------------------------------- models (ML1, ML2): rows-only checks
+
+@register("severity_model_predictions")
+def q_severity_model_predictions(spark, sf):
+    """ML1: TF-IDF logistic regression fitted on the training split of the
+    severity set, predicting the validation split."""
+    from pvlens.operators.ml import fit_severity_model, predict_severity
+    s = severity_split_df(spark, sf)
+    model = fit_severity_model(s.filter(F.col("split") == "train"))
+    val = s.filter(F.col("split") == "validation")
+    return predict_severity(model, val, ["VAERS_ID", "label"])
+
+
+@register("embedding_clusters")
+def q_embedding_clusters(spark, sf):
+    """ML2: k-means clusters of the embedding vectors (not HDBSCAN)."""
+    from pvlens.operators.ml import cluster_embeddings
+    emb = T.read_table(spark, sf, "embeddings")
+    return cluster_embeddings(emb).select("vec_id", "label", "cluster")

@@ -83,7 +83,7 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
         out.append((c if isinstance(f.dataType, T.StringType) else
-                    F.try_cast(c, f.dataType)).alias(f.name))
+                    c.try_cast(f.dataType)).alias(f.name))
     return df.select(*out)
 
 
@@ -154,10 +154,11 @@ def texts_frame(spark: SparkSession, texts: list[str] | str) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text_id long, text string")
 
 
-def read_annotations(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, multiline: bool = True,
+                     schema: T.StructType = ANNOTATION_SCHEMA) -> DataFrame:
     """An annotation export (one JSON array, or JSON lines for big
     exports) with an explicit schema."""
-    return spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", str(multiline).lower()).json(path)
+    return spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
