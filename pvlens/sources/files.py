@@ -69,12 +69,15 @@ def classify_files(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- CSV (S2, S4, SC15, K1-K3, K8)
 
 def read_csv_raw(spark: SparkSession, path: str, columns: list[str],
-                 encoding: str = "UTF-8") -> DataFrame:
+                 encoding: str = "UTF-8", partition_columns: tuple[str, ...] = ()) -> DataFrame:
     """Every column as text (no inference pass), multi-line quoted
-    narratives, then SC15 null tokens -> null."""
+    narratives, then SC15 null tokens -> null. Partition columns (taken
+    from folder names) are passed through untouched, so filters on them
+    stay partition filters and prune folders."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).schema(schema).csv(path)
-    return df.select(*[null_tokens_to_null(F.col(f"`{c}`"), NULL_TOKENS).alias(c) for c in columns])
+    return df.select(*[F.col(f"`{c}`") if c in partition_columns else
+                       null_tokens_to_null(F.col(f"`{c}`"), NULL_TOKENS).alias(c) for c in columns])
 
 
 def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -92,7 +95,8 @@ def read_report_part(spark: SparkSession, base: str, role: str, schema: T.Struct
     """One part of every year, typed, with its ``year`` partition column
     (taken from the folder name; a year filter prunes folders)."""
     fields = [f for f in schema.fields if f.name != "year"] + [T.StructField("year", T.StringType())]
-    raw = read_csv_raw(spark, os.path.join(base, role), [f.name for f in fields], encoding)
+    raw = read_csv_raw(spark, os.path.join(base, role), [f.name for f in fields], encoding,
+                       partition_columns=("year",))
     return apply_schema(raw, T.StructType(fields))
 
 
