@@ -100,3 +100,79 @@ def cluster_summary(points: DataFrame, digits: int = 9) -> DataFrame:
                        F.round(F.avg("x"), digits).alias("mean_x"),
                        F.round(F.avg("y"), digits).alias("mean_y"))
                   .withColumn("is_noise", F.col("cluster") == -1))
+
+
+# ---------------------------------------------------------------- D4, large-dictionary form
+
+# A run of word characters as Java's ``\b`` sees them (letters, digits, '_').
+WORD_RUN = r"[\p{L}\p{Nd}_]+"
+# Dictionaries up to this many terms are shipped whole to every task.
+BROADCAST_TERMS_LIMIT = 1_000_000
+
+
+def dictionary_frame(spark, terms: list[str]) -> DataFrame:
+    """(term, priority) in list order — priority is the alternation order."""
+    return spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, priority int")
+
+
+def _ngrams(pieces: Column, tokens: Column, max_words: int) -> Column:
+    """Per token k: the strings spanning tokens k..k+n-1 (n = 1..max_words)
+    exactly as written, separators included."""
+    n_tok = F.size(tokens)
+
+    def at(k):
+        return F.struct(k.alias("k"), F.array(*grams(k)).alias("g"))
+
+    def grams(k):
+        out, cur = [], None
+        for n in range(max_words):
+            last = k + n
+            tok = F.try_element_at(tokens, last + 1)
+            cur = tok if cur is None else F.concat(cur, F.try_element_at(pieces, last + 1), tok)
+            out.append(cur)
+        return out
+    starts = F.when(n_tok > 0, F.sequence(F.lit(0), n_tok - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, at)
+
+
+def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], dictionary: DataFrame,
+                          out: str = "symptom") -> DataFrame:
+    """D4 for large dictionaries, as a join instead of one huge alternation:
+    (keys, symptom) for every distinct dictionary term found, the same set as
+    :func:`extract_symptoms` with the dictionary in priority order.
+
+    1. Tokenise the lower-cased text into word runs; every token start is a
+       candidate match start (a match needs ``\\b`` before it).
+    2. Emit each token's n-grams (n up to the longest term) exactly as
+       written and equi-join them to the dictionary: broadcast when the
+       dictionary has a checked, bounded size, else a shuffle join (AQE
+       splits hot n-grams).
+    3. Per text, replay the regex scan over the few matched candidates in
+       token order: take the first-priority term at the earliest token not
+       inside the previous match, skip past it, repeat.
+    Terms must begin and end with a word character."""
+    d = dictionary.groupBy("term").agg(F.min("priority").alias("priority"))
+    stats = d.agg(F.count(F.lit(1)).alias("n"),
+                  F.max(F.size(F.regexp_extract_all(F.col("term"), F.lit(WORD_RUN), 0))).alias("w")).first()
+    max_words = max(int(stats["w"] or 1), 1)
+    if stats["n"] <= BROADCAST_TERMS_LIMIT:
+        d = F.broadcast(d)
+    t = F.lower(F.col(text_col))
+    toks = df.select(*keys, let(lambda p, w: _ngrams(p, w, max_words),
+                                F.split(t, WORD_RUN, -1),
+                                F.regexp_extract_all(t, F.lit(WORD_RUN), 0)).alias("_at"))
+    grams = (toks.select(*keys, F.inline("_at"))
+                 .select(*keys, "k", F.posexplode("g").alias("_n", "term"))
+                 .filter(F.col("term").isNotNull()))
+    cands = grams.join(d, "term")
+    per_doc = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "k", "priority", (F.col("_n") + 1).alias("n"), "term"))).alias("_c"))
+    init = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc, c):
+        take = c["k"] >= acc["next"]
+        return F.struct(F.when(take, c["k"] + c["n"]).otherwise(acc["next"]).alias("next"),
+                        F.when(take, F.concat(acc["found"], F.array(c["term"]))).otherwise(acc["found"])
+                         .alias("found"))
+    found = F.aggregate("_c", init, step)["found"]
+    return per_doc.select(*keys, F.explode(F.array_distinct(found)).alias(out))

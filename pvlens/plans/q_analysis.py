@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvlens.functions.lexicons import DEFAULT_SYMPTOMS
 from pvlens.functions.text import pct2_sql
 from pvlens.operators import batch as B
 from pvlens.operators import entities as E
@@ -68,6 +69,18 @@ def report_symptoms_extracted(spark, sf):
     return c.select("VAERS_ID", F.explode(S.extract_symptoms(F.col("cleaned_text"))).alias("symptom"))
 
 
+@register("report_symptoms_ngram", P.with_views(
+    """SELECT VAERS_ID, symptom FROM (SELECT VAERS_ID, unnest(""" + P.symptoms_sql("cleaned_text") +
+    """) AS symptom FROM candidates)""", "reports", P.CANDIDATES_CTE))
+def report_symptoms_ngram(spark, sf):
+    """D4 large-dictionary form (token n-grams joined to the dictionary,
+    overlaps resolved leftmost-first): the same rows as
+    ``report_symptoms_extracted``."""
+    c = candidates(spark, sf)
+    return S.extract_symptoms_join(c, "cleaned_text", ["VAERS_ID"],
+                                   S.dictionary_frame(spark, DEFAULT_SYMPTOMS))
+
+
 # ---------------------------------------------------------------- candidates / severity
 
 @register("candidates", P.with_views("SELECT VAERS_ID, cleaned_text FROM candidates",

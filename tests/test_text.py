@@ -51,3 +51,19 @@ def test_symptom_extraction_word_bounds(spark):
     got = col1(spark, ["Severe Chest Pain and painful fever", None, "épain"],
                extract_symptoms(F.col("v")))
     assert got == [["chest pain", "fever"], [], []]
+
+
+def test_ngram_join_equals_alternation(spark, sf):
+    """D4 large-dictionary form against the regex alternation, with a
+    dictionary derived from the data holding overlapping one- and two-word
+    terms in mixed priority."""
+    from pvlens.operators.symptoms import dictionary_frame, extract_symptoms_join
+    from pvlens.sources.tables import read_table
+    names = read_table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("t"))
+    words = sorted({w for r in names.collect() for w in r["t"].split()})
+    bigrams = sorted({" ".join(r["t"].split()[1:3]) for r in names.collect()})
+    terms = [x for pair in zip(words, bigrams) for x in pair] + words[len(bigrams):]
+    alt = names.select("p_partkey", F.explode(extract_symptoms(F.col("t"), terms)).alias("symptom"))
+    join = extract_symptoms_join(names, "t", ["p_partkey"], dictionary_frame(spark, terms))
+    a = sorted(map(tuple, alt.collect()))
+    assert a and a == sorted(map(tuple, join.collect()))
