@@ -87,8 +87,9 @@ def capitalize(c: str | Column) -> Column:
 
 
 def position_label(start: Column, end: Column) -> Column:
-    """SC18: ``start:end``."""
-    return F.format_string("%d:%d", start, end)
+    """SC18: ``start:end`` (a plain concat; ``format_string`` goes through
+    java.util.Formatter per row)."""
+    return F.concat(start.cast("string"), F.lit(":"), end.cast("string"))
 
 
 def join_list(arr: Column) -> Column:

@@ -47,7 +47,8 @@ def inference_view(analyzed: DataFrame) -> DataFrame:
         *[c for c in analyzed.columns if c not in ("entities", "explanation", "symptom_clusters")],
         format_entities(F.col("entities")).alias("entities"),
         F.coalesce(F.col("explanation"), F.create_map().cast(
-            "map<string,array<struct<feature:string,weight:double>>>")).alias("explanation"))
+            "map<string,array<struct<feature:string,weight:double>>>")).alias("explanation"),
+        "symptom_clusters")
 
 
 def result_table(analyzed: DataFrame, keys: list[str] | None = None) -> DataFrame:

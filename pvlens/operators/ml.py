@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def fit_severity_model(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                       num_features: int = 1 << 18, max_iter: int = 20,
+                       num_features: int = 1 << 16, max_iter: int = 10,
                        reg_param: float = 0.01) -> PipelineModel:
     """ML1: whitespace tokens (lower-cased) -> hashed term counts -> IDF ->
     multinomial logistic regression on the encoded V4 labels. Hashing keeps

@@ -1,6 +1,6 @@
 """The original pipeline's end-to-end jobs as Spark jobs over files
-(R1 blend, R3 preparation, batch inference from a text file, the annotation
-export round trip, ST1 streaming).
+(R1 blend, R3 preparation, batch inference from a text file). The ST1
+streaming detector is in :mod:`pvlens.streaming.detector`.
 
 Every job reads and writes through the DataFrame reader / writer: writes go
 through Spark's commit protocol (a lost executor's task is retried, nothing
@@ -98,18 +98,3 @@ def batch_from_file(spark: SparkSession, path: str) -> DataFrame:
     """``inference --file``: S5 stripped non-blank lines -> B1 -> B2."""
     lines = IO.read_lines(spark, path)
     return B.result_table(B.analyze(lines, "text", keys=["line_no"]), keys=["line_no"])
-
-
-# ---------------------------------------------------------------- ST1
-
-def stream_results(spark: SparkSession, source_dir: str, schema: T.StructType, text_col: str,
-                   keys: list[str], sink_dir: str, checkpoint: str) -> DataFrame:
-    """ST1: the stateless B1/B2 projection over a file stream; runs what is
-    there now (``availableNow``) and returns the sink as a table. Progress
-    lives in ``checkpoint``, so a restarted query resumes exactly-once."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    table = B.result_table(B.analyze(stream, text_col, keys=keys), keys=keys)
-    q = (table.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-              .trigger(availableNow=True).start(sink_dir))
-    q.awaitTermination()
-    return spark.read.parquet(sink_dir)

@@ -198,3 +198,30 @@ def batch_top10_drugs(spark, sf):
     a = analyzed_reports(spark, sf).select(
         F.transform(E.entities_of_type(F.col("entities"), "DRUG"), lambda e: e["text"]).alias("v"))
     return S.top_values(a, "v", 10, "drug")
+
+
+def _composite_sql() -> str:
+    from pvlens.plans.q_annotation import _e1_list_sql
+    ents = _e1_list_sql("t")
+    n_sym = f"len(list_filter({ents}, lambda e: e.type = 'SYMPTOM'))"
+    return P.with_views(
+        f"""SELECT VAERS_ID, CAST(len({ents}) AS INTEGER) AS n_entities, {_LAB} AS severity,
+       {_CONF} AS confidence, 3 AS n_explained_labels,
+       CASE WHEN {n_sym} > 0 THEN CAST(least(3, {n_sym}) AS INTEGER) END AS n_clusters,
+       {n_sym} > 0 AS has_clusters
+FROM batch_base""", "reports", P.BATCH_CTE)
+
+
+@register("composite_results", _composite_sql())
+def q_composite_results(spark, sf):
+    """X2 + X3 + C2: the per-text composite result (entities with
+    confidence, severity, explanation map, symptom clusters — absent, not
+    empty, without symptoms), summarised to scalars per report."""
+    v = B.inference_view(analyzed_reports(spark, sf))
+    has = F.col("symptom_clusters").isNotNull()
+    return v.select("VAERS_ID", F.size("entities").alias("n_entities"),
+                    F.col("severity.severity").alias("severity"),
+                    F.col("severity.confidence").alias("confidence"),
+                    F.size("explanation").alias("n_explained_labels"),
+                    F.when(has, F.size("symptom_clusters")).alias("n_clusters"),
+                    has.alias("has_clusters"))

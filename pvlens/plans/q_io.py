@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from pvlens.operators import annotation as A
 from pvlens.plans import jobs
+from pvlens.streaming.detector import stream_results
 from pvlens.plans import sqlparts as P
 from pvlens.plans.catalog import ORACLES, register
 from pvlens.plans.q_annotation import KEYS, annotated_reports
@@ -116,5 +117,5 @@ def q_stream_batch_results(spark, sf):
     stateless detector; the sink equals the batch result table."""
     src = scratch_path(spark, "stream-src")
     TB.reports(spark, sf).select("VAERS_ID", "SYMPTOM_TEXT").write.mode("overwrite").parquet(src)
-    return jobs.stream_results(spark, src, STREAM_SCHEMA, "SYMPTOM_TEXT", ["VAERS_ID"],
+    return stream_results(spark, src, STREAM_SCHEMA, "SYMPTOM_TEXT", ["VAERS_ID"],
                                scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt"))

@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -32,10 +33,29 @@ def get_spark(master: str | None = None, app: str = "pvlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
+    tune_session(spark)
     checkpoint_dir(spark)
     return spark
 
 
+# Catalyst adds ``size(arr) > 0`` below every explode of an array attribute
+# and then pushes it through the projection that computes the array — so a
+# regex-built array (entities, symptoms, word lists) is computed twice per
+# row, the first time before any repartitioning. Our explodes never need the
+# early filter; the explode itself drops empty arrays.
+EXCLUDED_RULES = ["org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"]
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Runtime SQL settings the pvlens plans rely on (safe to call often)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    key = "spark.sql.optimizer.excludedRules"
+    current = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
+    missing = [r for r in EXCLUDED_RULES if r not in current]
+    if missing:
+        spark.conf.set(key, ",".join(current + missing))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a private one only when
     the session has none configured (local runs and tests)."""
