@@ -284,8 +284,8 @@ def q_cluster_summary(spark, sf):
 
 # ---------------------------------------------------------------- documents (SC1, SC3, SC7, SC25, F6)
 
-@register("document_text_stats", """SELECT doc_id, length(cleaned) AS n_chars_clean, len(""" +
-          """list_filter(string_split(cleaned, ' '), lambda w: w <> '')) AS n_words,
+@register("document_text_stats", """SELECT doc_id, CAST(length(cleaned) AS INTEGER) AS n_chars_clean, CAST(len(""" +
+          """list_filter(string_split(cleaned, ' '), lambda w: w <> '')) AS INTEGER) AS n_words,
        length(cleaned) BETWEEN 10 AND 500 AS is_candidate
 FROM (SELECT doc_id, """ + P.clean_sql("coalesce(text, '')") + """ AS cleaned FROM documents)""")
 def q_document_text_stats(spark, sf):
