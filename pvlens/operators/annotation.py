@@ -130,9 +130,15 @@ def bio_tags(text, spans) -> Column:
     def build(t, n):
         def step(acc, s):
             st, en = s["start"], F.least(s["end"], n)
-            return F.transform(acc, lambda tag, i: F.when(i == st, F.concat(F.lit("B-"), s["label"]))
-                               .when((i > st) & (i < en), F.concat(F.lit("I-"), s["label"]))
-                               .otherwise(tag))
+            b, i_tag = F.concat(F.lit("B-"), s["label"]), F.concat(F.lit("I-"), s["label"])
+            # one span = one splice of native array slices (the lambda runs
+            # once per span, not once per character)
+            m = F.greatest(en - st - 1, F.lit(0))
+            spliced = F.concat(F.slice(acc, 1, st), F.array(b), F.array_repeat(i_tag, m),
+                               F.slice(acc, st + m + 2, F.greatest(n - st - m - 1, F.lit(0))))
+            per_char = F.transform(acc, lambda tag, i: F.when(i == st, b)
+                                   .when((i > st) & (i < en), i_tag).otherwise(tag))
+            return F.when(st >= n, acc).when(st >= 0, spliced).otherwise(per_char)
         return F.aggregate(col_(spans), F.array_repeat(F.lit("O"), n), step)
     text = col_(text)
     return let(build, text, F.length(text))

@@ -201,8 +201,7 @@ def batch_top10_drugs(spark, sf):
 
 
 def _composite_sql() -> str:
-    from pvlens.plans.q_annotation import _e1_list_sql
-    ents = _e1_list_sql("t")
+    ents = P.e1_list_sql("t")
     n_sym = f"len(list_filter({ents}, lambda e: e.type = 'SYMPTOM'))"
     return P.with_views(
         f"""SELECT VAERS_ID, CAST(len({ents}) AS INTEGER) AS n_entities, {_LAB} AS severity,

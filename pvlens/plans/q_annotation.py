@@ -96,21 +96,6 @@ def _ann(body: str, *extra: str) -> str:
     return P.with_views(body, "reports", *ANN_CTES, *extra)
 
 
-def _e1_list_sql(t: str) -> str:
-    """E1 as an in-row list of {type, start, end} (rule order, then one
-    SEVERITY)."""
-    items = [f"CASE WHEN strpos({t}, {P.q(term)}) > 0 THEN {{'type': {P.q(typ)}, "
-             f"'start': CAST(strpos({t}, {P.q(term)}) - 1 AS INTEGER), "
-             f"'end': CAST(strpos({t}, {P.q(term)}) - 1 + {len(term)} AS INTEGER)}} END"
-             for typ, term in ENTITY_RULES]
-    sev = " ".join(f"WHEN strpos({t}, {P.q(s)}) > 0 THEN {{'type': 'SEVERITY', "
-                   f"'start': CAST(strpos({t}, {P.q(s)}) - 1 AS INTEGER), "
-                   f"'end': CAST(strpos({t}, {P.q(s)}) - 1 + {len(s)} AS INTEGER)}}"
-                   for s in SEVERITY_ENTITY_TERMS)
-    items.append(f"CASE {sev} END")
-    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
-
-
 # ---------------------------------------------------------------- spans (E2) and the annotation set
 
 @register("mention_spans", _ann(
@@ -272,7 +257,7 @@ def _entity_prf_sql() -> str:
   FROM ({" UNION ALL ".join(rows)}) GROUP BY type)""",
         "reports", ANN_CTES[0],
         f"""keyed AS (SELECT list_transform({gold}, lambda s: {{'type': s.label, 'start': s.start, 'end': s['end']}}) AS gk,
-       {_e1_list_sql('t')} AS pk FROM ann_base)""")
+       {P.e1_list_sql('t')} AS pk FROM ann_base)""")
 
 
 @register("entity_prf", _entity_prf_sql())
@@ -320,7 +305,7 @@ def q_severity_metrics(spark, sf):
 # ---------------------------------------------------------------- highlight (E6), further types (ML4)
 
 def _highlight_sql() -> str:
-    ents = _e1_list_sql("t")
+    ents = P.e1_list_sql("t")
     colors = ("CASE e.type " + " ".join(f"WHEN {P.q(k)} THEN {P.q(v)}" for k, v in HIGHLIGHT_COLORS.items())
               + f" ELSE {P.q(HIGHLIGHT_COLOR_DEFAULT)} END")
     step = (f"""substring(acc, 1, e.start) || '<span style="background-color: ' || {colors} || ';" title="' || e.type || '">' """

@@ -101,3 +101,18 @@ CANDIDATES_CTE = f"""candidates AS (
   WHERE length(cleaned_text) BETWEEN 10 AND 500)"""
 
 BATCH_CTE = "batch_base AS (SELECT VAERS_ID, coalesce(SYMPTOM_TEXT, '') AS text, lower(coalesce(SYMPTOM_TEXT, '')) AS t FROM reports)"
+
+
+def e1_list_sql(t: str) -> str:
+    """E1 as an in-row list of {type, start, end} (rule order, then one
+    SEVERITY)."""
+    items = [f"CASE WHEN strpos({t}, {q(term)}) > 0 THEN {{'type': {q(typ)}, "
+             f"'start': CAST(strpos({t}, {q(term)}) - 1 AS INTEGER), "
+             f"'end': CAST(strpos({t}, {q(term)}) - 1 + {len(term)} AS INTEGER)}} END"
+             for typ, term in ENTITY_RULES]
+    sev = " ".join(f"WHEN strpos({t}, {q(s)}) > 0 THEN {{'type': 'SEVERITY', "
+                   f"'start': CAST(strpos({t}, {q(s)}) - 1 AS INTEGER), "
+                   f"'end': CAST(strpos({t}, {q(s)}) - 1 + {len(s)} AS INTEGER)}}"
+                   for s in SEVERITY_ENTITY_TERMS)
+    items.append(f"CASE {sev} END")
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
