@@ -5,9 +5,12 @@ Row order does not exist in Spark, so callers name unique order columns.
 A single un-partitioned window would funnel every row through one task; the
 scalable form runs in three phases instead:
 
-1. range-partition on the order key and pin each row's partition id with a
-   reliable checkpoint (range bounds are sampled, so recomputation could move
-   them);
+1. range-partition on the order key and pin each row's partition id by
+   writing the rows once as a table bucketed on that id, in the session's
+   shared checkpoint folder (range bounds are sampled, so recomputation could
+   move them; the written table also cuts the lineage). Reading it back, Spark
+   knows the rows are hash-partitioned by bucket, so the per-bucket
+   aggregates and windows below need no further shuffle of the data;
 2. one tiny aggregate per partition (count, or last non-null value), carried
    across partitions by a window over at most ``num_buckets`` rows;
 3. a window partitioned by bucket — balanced, because the range split is on
@@ -17,11 +20,13 @@ scalable form runs in three phases instead:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pvlens.session import checkpoint_dir
+from pvlens.session import scratch_path
 
 BUCKET = "_pv_bucket"
 
@@ -34,10 +39,13 @@ def pin_ranges(df: DataFrame, order_cols: list[str], num_buckets: int | None = N
     """Phase 1: range partitions on the order key, ids pinned by checkpoint."""
     spark = df.sparkSession
     n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    checkpoint_dir(spark)
     ranged = df.repartitionByRange(n, *_order_exprs(order_cols)).withColumn(
         BUCKET, F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
+    # every task holds exactly one bucket id, so it writes one file
+    name = f"pv_ranges_{uuid.uuid4().hex[:16]}"
+    (ranged.write.mode("error").bucketBy(n, BUCKET)
+           .option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name))
+    return spark.table(name)
 
 
 def with_row_index(df: DataFrame, order_cols: list[str], out: str = "row_idx",
