@@ -48,7 +48,7 @@ def blend_job(spark: SparkSession, base: str, out: str | None = None) -> DataFra
     that have all three parts, S2 read each part once (one multi-file scan
     per role, ``year`` from the folder), J1 blend, K1 write partitioned by
     year (when ``out`` is given). Returns the blended table."""
-    files = IO.classify_files(IO.list_files(spark, os.path.join(base, "*", "year=*", "*.csv")))
+    files = IO.classify_files(IO.list_files(spark, base))
     presence = files.filter(F.col("role") != "OTHER").select("year", "role").distinct()
     status = J.year_status(presence)
     # one row per year: a handful of rows, safe to broadcast

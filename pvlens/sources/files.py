@@ -34,11 +34,13 @@ ANNOTATION_SCHEMA = T.StructType([
 
 # ---------------------------------------------------------------- discovery
 
-def list_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """File paths matching a glob; only metadata is read (the binary
-    source skips file contents when ``content`` is not selected)."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-                 .load(pattern).select(F.col("path")))
+def list_files(spark: SparkSession, base: str, name_glob: str = "*.csv") -> DataFrame:
+    """Paths of the files under ``base`` (any depth) whose name matches
+    ``name_glob``. Only metadata is read — the binary source skips file
+    contents when ``content`` is not selected — and the listing itself is
+    distributed by Spark for large trees."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", name_glob).load(base).select(F.col("path")))
 
 
 def role_of(key: Column) -> Column:
