@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pvlens.functions.lexicons import (
-    CLASSIFIER_BASE_PROB, CLASSIFIER_DEFAULT, CLASSIFIER_RULES, ENTITY_RULES,
+    DEFAULT_SYMPTOMS, CLASSIFIER_BASE_PROB, CLASSIFIER_DEFAULT, CLASSIFIER_RULES, ENTITY_RULES,
     ENTITY_TYPES, SEVERITY_LABELS,
 )
 from pvlens.functions.text import clean_text, token_count, words
@@ -317,3 +317,24 @@ def q_embedding_clusters(spark, sf):
     from pvlens.operators.ml import cluster_embeddings
     emb = T.read_table(spark, sf, "embeddings")
     return cluster_embeddings(emb).select("vec_id", "label", "cluster")
+
+
+# ---------------------------------------------------------------- whole documents (D3, V1, D4 on long texts)
+
+@register("document_severity",
+          "SELECT doc_id, " + P.labeller_sql("t") + f" AS label, {_LAB} AS predicted, {_CONF} AS confidence "
+          "FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def q_document_severity(spark, sf):
+    """D3 + V1 over whole documents (up to 20,000 words each): the keyword
+    label and the rule classifier's label and confidence."""
+    d = T.read_table(spark, sf, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sev = V.classify_severity(F.col("text"))
+    return d.select("doc_id", V.severity_label(F.col("text")).alias("label"),
+                    sev["severity"].alias("predicted"), sev["confidence"].alias("confidence"))
+
+
+@register("document_symptoms", "SELECT doc_id, unnest(" + P.symptoms_sql("text") + ") AS symptom FROM documents")
+def q_document_symptoms(spark, sf):
+    """D4 over whole documents with the large-dictionary (n-gram join) form."""
+    d = T.read_table(spark, sf, "documents").select("doc_id", "text")
+    return S.extract_symptoms_join(d, "text", ["doc_id"], S.dictionary_frame(spark, DEFAULT_SYMPTOMS))
