@@ -13,7 +13,8 @@ from pvlens.operators.entities import (
 from pvlens.operators.explain import word_weights
 from pvlens.operators.severity import classify_severity
 from pvlens.operators.symptoms import cluster_groups
-from pvlens.functions.text import pct2
+from pvlens.functions.text import pct2, with_evaluated
+from pvlens.session import checkpoint_dir
 
 
 def analyze(df: DataFrame, text_col: str, keys: list[str] | None = None,
@@ -75,8 +76,16 @@ def severity_distribution(results: DataFrame) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame, n_col: str) -> DataFrame:
-    """``n / sum(n)`` next to each group. The total is a scalar subquery:
-    Spark runs the one-row aggregate once and ships the value to every task."""
+    """``n / sum(n)`` next to each group.
+
+    The group counts are written once to the checkpoint folder (one row per
+    group), so the total — ONE scalar subquery, pinned as a column — reads
+    that small table instead of running the whole scan and aggregation a
+    second time; no global window and no join are needed."""
+    checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint(eager=True)
     total = counts.agg(F.sum(F.col(n_col))).scalar()
-    return (counts.withColumn("share", F.col(n_col) / total)
-                  .withColumn("pct", pct2(F.col(n_col), total)))
+    pinned = with_evaluated(counts, "_total", total)
+    t = F.col("_total")
+    return (pinned.withColumn("share", F.col(n_col) / t)
+                  .withColumn("pct", pct2(F.col(n_col), t)).drop("_total"))

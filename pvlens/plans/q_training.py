@@ -12,7 +12,7 @@ from pvlens.functions.lexicons import (
     DEFAULT_SYMPTOMS, CLASSIFIER_BASE_PROB, CLASSIFIER_DEFAULT, CLASSIFIER_RULES, ENTITY_RULES,
     ENTITY_TYPES, SEVERITY_LABELS,
 )
-from pvlens.functions.text import clean_text, token_count, words
+from pvlens.functions.text import clean_text, token_count, with_evaluated, words
 from pvlens.operators import explain as X
 from pvlens.operators import severity as V
 from pvlens.operators import symptoms as S
@@ -22,6 +22,7 @@ from pvlens.operators.text import annotation_tasks, annotation_tasks_long, extra
 from pvlens.plans import sqlparts as P
 from pvlens.plans.catalog import register
 from pvlens.plans.q_analysis import candidates
+from pvlens.session import checkpoint_dir
 from pvlens.sources import tables as T
 
 _LAB, _CONF = P.classifier_sql("t")
@@ -104,21 +105,23 @@ UNION ALL SELECT 'unique_symptoms', count(DISTINCT s) FROM (SELECT unnest(""" +
 UNION ALL SELECT 'entity_types', CAST({len(ENTITY_TYPES)} AS BIGINT)""",
     "reports", P.CANDIDATES_CTE, _SEV_SET))
 def q_preparation_summary(spark, sf):
-    """The preparation job's summary record, as (metric, value) rows."""
-    r = T.reports(spark, sf)
-    c = candidates(spark, sf)
-    lab = V.label_severity(c, "cleaned_text")
-    syms = c.select(F.explode(S.extract_symptoms(F.col("cleaned_text"))).alias("s"))
-    parts = [r.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("total_records")),
-             c.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("candidate_descriptions")),
-             lab.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("labeled_severity_examples")),
-             syms.agg(F.count_distinct("s").alias("value")).withColumn("metric", F.lit("unique_symptoms")),
-             r.limit(1).select(F.lit(len(ENTITY_TYPES)).cast("long").alias("value"),
-                               F.lit("entity_types").alias("metric"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", "value")
+    """The preparation job's summary record, as (metric, value) rows.
+    The three counts come from ONE aggregate over the reports (candidate and
+    label flags per row); the distinct-symptom count is one scalar
+    subquery. Two scans in all."""
+    r = T.reports(spark, sf).select(F.coalesce(F.col("SYMPTOM_TEXT"), F.lit("")).alias("raw"))
+    base = with_evaluated(r, "cleaned", clean_text(F.col("raw")))
+    is_cand = F.length("cleaned").between(10, 500)
+    counts = base.agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.count_if(is_cand).alias("candidate_descriptions"),
+        F.count_if(is_cand & (V.severity_label(F.col("cleaned")) != "unknown")).alias("labeled_severity_examples"))
+    syms = (base.filter(is_cand).select(F.explode(S.extract_symptoms(F.col("cleaned"))).alias("s"))
+                .agg(F.count_distinct("s")))
+    one = counts.select("*", syms.scalar().alias("unique_symptoms"),
+                        F.lit(len(ENTITY_TYPES)).cast("long").alias("entity_types"))
+    return one.unpivot([], ["total_records", "candidate_descriptions", "labeled_severity_examples",
+                            "unique_symptoms", "entity_types"], "metric", "value")
 
 
 # ---------------------------------------------------------------- explanations (X1, L6, L7, W6, SC24, ML3)
@@ -256,13 +259,17 @@ _CTABLE = ("""SELECT i AS id, symptom AS label, CAST(i % least(3, n) AS INTEGER)
 
 def cluster_table_df(spark: SparkSession, sf: str) -> DataFrame:
     c = candidates(spark, sf).select(S.extract_symptoms(F.col("cleaned_text")).alias("symptoms"))
-    freq = S.symptom_frequency(c)
+    # at most one row per dictionary term; written once so the ranking and
+    # the row count below both read it instead of re-running the extraction
+    checkpoint_dir(spark)
+    freq = S.symptom_frequency(c).checkpoint(eager=True)
     # the ranked list has at most one row per dictionary term, so the
     # one-task ranking window works on a bounded input
     ranked = freq.withColumn("i", (F.row_number().over(
         Window.orderBy(F.col("n_docs").desc(), F.col("symptom").asc())) - 1).cast("long"))
-    n = freq.agg(F.count(F.lit(1))).scalar()
-    return S.cluster_table(ranked, "i", n)
+    # one scalar subquery, pinned as a column (each reference would rerun it)
+    ranked = with_evaluated(ranked, "_n", freq.agg(F.count(F.lit(1))).scalar())
+    return S.cluster_table(ranked, "i", F.col("_n"))
 
 
 @register("cluster_symptom_table", P.with_views(
