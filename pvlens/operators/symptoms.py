@@ -172,7 +172,8 @@ def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], diction
     def step(acc, c):
         take = c["k"] >= acc["next"]
         return F.struct(F.when(take, c["k"] + c["n"]).otherwise(acc["next"]).alias("next"),
-                        F.when(take, F.concat(acc["found"], F.array(c["term"]))).otherwise(acc["found"])
-                         .alias("found"))
+                        # a set: each step costs the number of distinct terms found
+                        F.when(take, F.array_union(acc["found"], F.array(c["term"])))
+                         .otherwise(acc["found"]).alias("found"))
     found = F.aggregate("_c", init, step)["found"]
-    return per_doc.select(*keys, F.explode(F.array_distinct(found)).alias(out))
+    return per_doc.select(*keys, F.explode(found).alias(out))
