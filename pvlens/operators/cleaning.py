@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvlens.functions.lexicons import CLEAN_KEEP_COLUMNS, STATE_CASE_FIXES, TERRITORY_FIXES
-from pvlens.operators.ordering import forward_fill
+from pvlens.operators.ordering import BUCKET, fill_pinned, forward_fill, pin_ranges
 
 
 def project_keep(df: DataFrame, keep: list[str] = CLEAN_KEEP_COLUMNS,
@@ -54,19 +54,37 @@ def clean_reports(df: DataFrame, order_cols: list[str], method: str = "ranges",
     """R2, in the original order: A9 dedup -> F2 keep list -> SC11 state case
     -> SC12 territory codes -> SEX 'U' -> drop ALLERGIES -> forward fill age
     and text -> forward fill RECOVD then 'U' -> STATE 'Unknown' -> drop
-    HISTORY. ``order_cols`` must be unique after the dedup."""
-    out = project_keep(df.dropDuplicates())
-    if "STATE" in out.columns:
-        out = replace_values(out, "STATE", STATE_CASE_FIXES)
-        out = replace_values(out, "STATE", TERRITORY_FIXES)
-    if "SEX" in out.columns:
-        out = fill_value(out, "SEX", "U")
-    out = out.drop("ALLERGIES")
-    fill = [c for c in ("AGE_YRS", "SYMPTOM_TEXT", "RECOVD") if c in out.columns]
-    if fill:
-        out = forward_fill(out, fill, order_cols, method=method, num_buckets=num_buckets)
+    HISTORY. ``order_cols`` must be unique after the dedup.
+
+    With ``method='ranges'`` the rows are range-partitioned on the order key
+    once, first: equal rows share the order key, so they share a bucket, and
+    the dedup runs inside the buckets (no shuffle of its own), as do the
+    fills."""
+    if method == "ranges":
+        pinned = pin_ranges(df, order_cols, num_buckets).dropDuplicates()
+        out = _steps_before_fill(pinned, keep_extra=[BUCKET])
+        fill = [c for c in ("AGE_YRS", "SYMPTOM_TEXT", "RECOVD") if c in out.columns]
+        cols = [c for c in out.columns if c != BUCKET]
+        out = fill_pinned(out, fill, order_cols, cols) if fill else out.select(*cols)
+    else:
+        out = _steps_before_fill(df.dropDuplicates())
+        fill = [c for c in ("AGE_YRS", "SYMPTOM_TEXT", "RECOVD") if c in out.columns]
+        if fill:
+            out = forward_fill(out, fill, order_cols, method=method, num_buckets=num_buckets)
     if "RECOVD" in out.columns:
         out = fill_value(out, "RECOVD", "U")
     if "STATE" in out.columns:
         out = fill_value(out, "STATE", "Unknown")
     return out.drop("HISTORY")
+
+
+def _steps_before_fill(df: DataFrame, keep_extra: list[str] | None = None) -> DataFrame:
+    """F2 keep list -> SC11 -> SC12 -> SEX 'U' -> drop ALLERGIES."""
+    keep = project_keep(df).columns + (keep_extra or [])
+    out = df.select(*[F.col(f"`{c}`") for c in keep])
+    if "STATE" in out.columns:
+        out = replace_values(out, "STATE", STATE_CASE_FIXES)
+        out = replace_values(out, "STATE", TERRITORY_FIXES)
+    if "SEX" in out.columns:
+        out = fill_value(out, "SEX", "U")
+    return out.drop("ALLERGIES")

@@ -81,7 +81,14 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
         w = Window.orderBy(*_order_exprs(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols
                            else F.col(c) for c in df.columns])
-    pinned = pin_ranges(df, order_cols, num_buckets)
+    return fill_pinned(pin_ranges(df, order_cols, num_buckets), cols, order_cols, df.columns)
+
+
+def fill_pinned(pinned: DataFrame, cols: list[str], order_cols: list[str],
+                out_columns: list[str]) -> DataFrame:
+    """W1 phases 2 and 3 on rows already pinned to range buckets (a
+    ``pin_ranges`` result, possibly transformed row-wise or de-duplicated
+    since — anything that keeps the bucket column and its partitioning)."""
     key = F.struct(*[F.col(c) for c in order_cols])
     # last non-null value of each column inside each bucket
     per_bucket = pinned.groupBy(BUCKET).agg(*[
@@ -98,7 +105,7 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
     return joined.select(*[
         F.coalesce(F.last(F.col(c), ignorenulls=True).over(within),
                    F.col(f"_carry_{idx[c]}")).alias(c) if c in idx else F.col(c)
-        for c in df.columns])
+        for c in out_columns])
 
 
 def forward_fill_then(df: DataFrame, col: str, default, order_cols: list[str],
