@@ -7,13 +7,16 @@ words are cut in its UTF-8 bytes; a null text is an empty one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from pvlens.session import scratch_path
 
@@ -37,7 +40,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         if batch.num_rows:
-            lengths = pa.compute.binary_length(batch.column(column))
+            lengths = pc.binary_length(batch.column(column))
             sizes = lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         row = 0
@@ -114,3 +117,74 @@ def windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     ends = np.cumsum(counts)
     start = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
     return start + first[:-1][text], text
+
+
+# A space that stands inside a run of white space, or ends one at the end of a text.
+_INSIDE_RUN = re.compile("[\\s᠎] (?:[\\s᠎]|\\Z)")
+
+
+@dataclass
+class Pieces:
+    """Texts cut before single spaces: piece ``p`` is ``vocabulary[codes[p]]``
+    and text ``t`` owns pieces ``first[t]`` up to ``first[t + 1]``."""
+
+    codes: np.ndarray
+    vocabulary: list[str]
+    first: np.ndarray
+
+
+def cut_before_spaces(texts: pa.Array) -> Pieces:
+    """Cut texts where byte-level pre-tokenizers always cut as well.
+
+    Their patterns take a run of white space but for its last character as one
+    match, or the whole run at the end of a text, so they cut before a space
+    unless that space stands inside such a run. A text with a space of that kind
+    stays one piece. Every other piece but the first begins with its space;
+    pieces are matched separately with the same result as the text."""
+    split = pc.split_pattern(texts, " ")
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = split.flatten().dictionary_encode()
+    codes = parts.indices.to_numpy().astype(np.int64)
+    plain = parts.dictionary.to_pylist()
+    vocabulary = [" " + w for w in plain]
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(counts, out=first[1:])
+    # the first piece of a text has no space before it
+    heads: dict[str, int] = {}
+    odd = [t for t, s in enumerate(texts.to_pylist()) if _INSIDE_RUN.search(s)]
+    for t in range(len(texts)):
+        word = plain[codes[first[t]]]
+        codes[first[t]] = len(vocabulary) + heads.setdefault(word, len(heads))
+    vocabulary += heads
+    if odd:
+        keep = np.ones(len(codes), bool)
+        for t in odd:
+            keep[first[t] + 1:first[t + 1]] = False
+            codes[first[t]] = len(vocabulary)
+            vocabulary.append(texts[t].as_py())
+            counts[t] = 1
+        codes = codes[keep]
+        np.cumsum(counts, out=first[1:])
+    return Pieces(codes, vocabulary, first)
+
+
+def gathered(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges ``values[bounds[c]:bounds[c + 1]]`` for all ``codes``, one after
+    the other, and the bounds of each in the result."""
+    lengths = (bounds[1:] - bounds[:-1])[codes]
+    out = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(lengths, out=out[1:])
+    at = np.arange(out[-1]) + np.repeat(bounds[:-1][codes] - out[:-1], lengths)
+    return values[at], out
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """``batch`` with ``values`` as its last column; one of that name is replaced."""
+    keep = [i for i, n in enumerate(batch.schema.names) if n != name]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(i) for i in keep] + [values],
+        names=[batch.schema.names[i] for i in keep] + [name])
+
+
+def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
