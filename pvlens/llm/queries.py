@@ -1,4 +1,4 @@
 """Importing this module fills the catalog of the subpackage."""
 
-from pvlens.llm import bpe, pii, quality, sharding, simhash, token_counts, token_files  # noqa: F401
+from pvlens.llm import bpe, fingerprint, pii, quality, sharding, simhash, token_counts, token_files  # noqa: F401
 from pvlens.llm.catalog import ORACLES, QUERIES  # noqa: F401
