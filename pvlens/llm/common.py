@@ -25,12 +25,21 @@ BLOCK_BYTES = 8 << 20
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again:
-    its lineage is cut and an executor that is lost takes nothing with it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    its lineage is cut and an executor that is lost takes nothing with it. The
+    shuffle files of the write are dropped when it ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
@@ -97,6 +106,16 @@ def cut_words(texts: list[bytes], lower: bool = False, encode: bool = True) -> W
     return Words(codes, vocabulary, first, data, bounds)
 
 
+def spaced(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words with a space after each, and where each word begins
+    (word ``w`` is ``out[begin[w]:begin[w + 1] - 1]``)."""
+    n = len(words.bounds) - 1
+    out = np.full(len(words.data) + n, 32, np.uint8)
+    lengths = np.diff(words.bounds)
+    out[np.arange(len(words.data)) + np.repeat(np.arange(n), lengths)] = words.data
+    return out, words.bounds + np.arange(n + 1)
+
+
 def hashed(values: list[bytes], seed: int) -> np.ndarray:
     """XXH64 of each value."""
     h = xxhash.xxh64_intdigest

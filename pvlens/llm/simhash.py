@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import cut_words, schema_with, text_blocks, utf8, with_column, written
+from pvlens.llm.common import cut_words, schema_with, spaced, text_blocks, utf8, with_column, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 # Members of one key that are compared at once (a matrix of BLOCK x BLOCK).
@@ -50,12 +50,9 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     """SimHash of each text (uint64): a bit is set if it is set in more than half
     of the hashes of the text's shingles."""
     words = cut_words(texts, lower=True, encode=False)
-    n = len(words.bounds) - 1
     # words joined by single spaces, so that a shingle is one slice
-    spaced = np.full(len(words.data) + n, 32, np.uint8)
-    spaced[np.arange(len(words.data)) + np.repeat(np.arange(n), np.diff(words.bounds))] = words.data
-    start = words.bounds[:-1] + np.arange(n)
-    end = words.bounds[1:] + np.arange(n)
+    joined, begin = spaced(words)
+    start, end = begin[:-1], begin[1:] - 1
     counts = np.diff(words.first)
     shingles = np.where(counts == 0, 0, np.maximum(counts - SHINGLE_WORDS + 1, 1))
     ends = np.cumsum(shingles)
@@ -63,7 +60,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         return np.zeros(len(texts), np.uint64)
     at = np.arange(ends[-1]) + np.repeat(words.first[:-1] - (ends - shingles), shingles)
     to = np.minimum(at + SHINGLE_WORDS, np.repeat(words.first[1:], shingles)) - 1
-    view, h = memoryview(spaced.tobytes()), xxhash.xxh64_intdigest
+    view, h = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
     hashes = np.fromiter((h(view[a:b], SEED) for a, b in zip(start[at].tolist(), end[to].tolist())),
                          np.uint64, len(at))
     out = np.zeros(len(texts), np.uint64)
