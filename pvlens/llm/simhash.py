@@ -285,6 +285,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeated; an empty table gives an empty one. Further columns are not read."""
     marked = written(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
                      .select("key", "fingerprint"), "fingerprints")
+    return classes(marked, bits).withColumnRenamed("key", key)
+
+
+def classes(marked: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """``key``, ``fingerprint`` and ``component`` of rows of ``key`` and ``fingerprint``."""
     distinct = written(marked.groupBy("fingerprint").agg(F.min("key").alias("key")), "distinct")
     roots = components(link_fingerprints(distinct))
     grouped = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # one row for each fingerprint; the least key of each component
     named = grouped.groupBy("root").agg(F.min("key").alias("component"))
     of = written(grouped.join(named, "root").select("fingerprint", "component"), "classes")
-    return marked.join(of, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component")
+    return marked.join(of, "fingerprint").select("key", "fingerprint", "component")
 
 
 @register("op7_simhash")
