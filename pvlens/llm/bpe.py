@@ -37,9 +37,9 @@ from pvlens.llm.common import cut_before_spaces, gathered, schema_with, text_blo
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Pieces whose ids a worker keeps between blocks.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 300_000
 # Large enough that a block holds many new pre-tokens for each rank it replays.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 NONE = np.int32(2**31 - 1)
 
 
