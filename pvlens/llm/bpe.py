@@ -146,6 +146,12 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
             at = at[place % 2 == 0]
         gone = after[at]
         beyond = after[gone]
+        # where the next pair waits too, the merged symbol meets its first symbol
+        meets = rank[beyond] == r
+        lower = meets.copy()
+        lower[meets] = ranks.pair(np.full(int(meets.sum()), r), symbol[beyond[meets]]) < r
+        if lower.any():
+            alone.append(np.unique(word[at[lower]]))
         symbol[at] = r
         after[at] = beyond
         before[beyond] = at

@@ -28,6 +28,8 @@ from pvlens.llm.common import written
 # bucket holds about a million.
 SLOT_BUCKETS = 256
 ROW_OVERHEAD = 16
+# Shards of the first tree; a larger count has grown from it one by one.
+BASE_SHARDS = 40
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,9 @@ class Shard:
     epoch: int = 0
 
 
-def topology(shards: int, base: int = 40, regions: int = 4, racks: int = 2) -> list[Shard]:
+def topology(shards: int, base: int = BASE_SHARDS, regions: int = 4, racks: int = 2) -> list[Shard]:
     """``base`` shards in equal racks; each further shard is an epoch of its
-    own, dealt round the regions and racks. Fewer than ``base``: the first ones."""
+    own, dealt round the regions and racks."""
     per_rack = max(1, base // (regions * racks))
     out = []
     for s in range(shards):
@@ -94,7 +96,8 @@ def place_documents(docs: DataFrame, shards: int, key: str = "doc_id",
     bytes and 16 more; a null text counts as no bytes and has the CRC of none.
     Rows that repeat a key get the same shard and slots of their own. An empty
     table gives an empty one. Slots follow no order of the keys."""
-    now, grown = topology(shards), topology(shards + 1)
+    base = min(shards, BASE_SHARDS)
+    now, grown = topology(shards, base), topology(shards + 1, base)
     placed = docs.select(
         F.col(key).alias("key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
