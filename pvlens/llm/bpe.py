@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import cut_before_spaces, gathered, schema_with, text_blocks, with_column
+from pvlens.llm.common import PieceTable, gathered, schema_with, text_blocks, with_column
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Pieces whose ids a worker keeps between blocks.
@@ -184,19 +184,13 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return ids, bounds
 
 
-class Encoder:
-    """Encodes blocks of texts. Pieces it has met have a slot: their ids stand in
-    ``ids[bounds[slot]:bounds[slot + 1]]``. The slots are kept between blocks
-    until they are more than ``KEPT_PIECES``."""
+class Encoder(PieceTable):
+    """Encodes blocks of texts by replaying the merges of their new pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__(KEPT_PIECES, self._tokens)
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after the other, and the bounds of each."""
@@ -232,23 +226,6 @@ class Encoder:
         back[order] = np.arange(len(pieces))
         return gathered(ids, ends[firsts], back)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the bounds of each."""
-        if len(self.slot) > KEPT_PIECES or len(self.ids) > 8 * KEPT_PIECES:
-            self._forget()
-        cut = cut_before_spaces(texts)
-        missing = [p for p in cut.vocabulary if p not in self.slot]
-        if missing:
-            ids, bounds = self._tokens(missing)
-            self.slot.update(zip(missing, range(len(self.bounds) - 1,
-                                                len(self.bounds) - 1 + len(missing))))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-            self.ids = np.concatenate([self.ids, ids])
-        slots = np.fromiter(map(self.slot.__getitem__, cut.vocabulary), np.int64,
-                            len(cut.vocabulary))
-        ids, ends = gathered(self.ids, self.bounds, slots[cut.codes])
-        return ids, ends[cut.first]
-
 
 @lru_cache(maxsize=2)
 def worker_encoder(path: str, pattern: str) -> Encoder:

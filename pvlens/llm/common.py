@@ -197,6 +197,65 @@ def gathered(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple
     return values[at], out
 
 
+def sub_pieces(piece: str) -> list[str]:
+    """Cut a piece further where byte-level pre-tokenizers cut as well: round a
+    line feed between two characters that are no white space, and before a comma
+    or full stop that ends a line behind a letter or digit."""
+    out: list[str] = []
+    for i, line in enumerate(piece.split("\n")):
+        if i:
+            out.append("\n")
+        if not line or line[-1].isspace() or (i and line[0].isspace()):
+            return [piece] if i or "\n" in piece else [line]
+        if line[-1] in ",." and len(line) > 1 and (line[-2].isalpha() or "0" <= line[-2] <= "9"):
+            out += [line[:-1], line[-1]]
+        else:
+            out.append(line)
+    return out
+
+
+class PieceTable:
+    """Encodes texts piece by piece. Pieces that were met have a slot: their ids
+    stand in ``ids[bounds[slot]:bounds[slot + 1]]``. Slots are kept between blocks
+    until there are more than ``limit``. ``encode_new`` gives the ids of pieces,
+    one after the other, and the bounds of each."""
+
+    def __init__(self, limit: int, encode_new):
+        self.limit, self.encode_new = limit, encode_new
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        at = len(self.bounds) - 1
+        self.slot.update(zip(pieces, range(at, at + len(pieces))))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the bounds of each."""
+        if len(self.slot) > self.limit or len(self.ids) > 8 * self.limit:
+            self._forget()
+        cut = cut_before_spaces(texts)
+        missing = [p for p in cut.vocabulary if p not in self.slot]
+        if missing:
+            parts = list(map(sub_pieces, missing))
+            fresh = list(dict.fromkeys(s for ps in parts for s in ps if s not in self.slot))
+            if fresh:
+                self._add(fresh, *self.encode_new(fresh))
+            joint = [i for i, ps in enumerate(parts) if len(ps) > 1]
+            slots = np.fromiter((self.slot[s] for i in joint for s in parts[i]), np.int64)
+            ids, ends = gathered(self.ids, self.bounds, slots)
+            counts = np.fromiter((len(parts[i]) for i in joint), np.int64, len(joint))
+            self._add([missing[i] for i in joint], ids, ends[np.append(0, np.cumsum(counts))])
+        slots = np.fromiter(map(self.slot.__getitem__, cut.vocabulary), np.int64,
+                            len(cut.vocabulary))
+        ids, ends = gathered(self.ids, self.bounds, slots[cut.codes])
+        return ids, ends[cut.first]
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     """``batch`` with ``values`` as its last column; one of that name is replaced."""
     keep = [i for i, n in enumerate(batch.schema.names) if n != name]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from pvlens.llm.bpe import binary_array
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import cut_before_spaces, gathered, text_blocks
+from pvlens.llm.common import PieceTable, text_blocks
 from pvlens.session import scratch_path
 
 VOCABULARY_FILE = "byte_bpe_50k.json"
@@ -41,7 +42,7 @@ CHUNK_IDS = 65_536
 # Ids after which a segment is closed (4 bytes each before compression).
 SEGMENT_IDS = 1 << 20
 LEVEL = 3
-KEPT_PIECES = 700_000
+KEPT_PIECES = 500_000
 
 SEGMENT = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()),
@@ -104,71 +105,52 @@ def unpack(index: list[dict], data: bytes, kind: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-class LibraryEncoder:
+# Byte-level vocabularies write a byte as the character of its number if that is
+# printable, and the others, in order, as the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _byte_characters(piece: str) -> str:
+    """A piece of a space and letters as the vocabulary writes it."""
+    if piece.isascii():
+        return chr(_BYTES[32]) + piece[1:]
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
+
+def _one_token(piece: str) -> bool:
+    """Whether a piece is a space and letters: one pre-token. Only letters below
+    U+0250 count, which every version of Unicode takes for letters."""
+    return piece[:1] == " " and piece[1:].isalpha() and (piece.isascii() or max(piece) < "\u0250")
+
+
+class LibraryEncoder(PieceTable):
     """Ids by the tokenizers library. Pieces between safe cuts are encoded once:
-    the library cuts a piece into its pre-tokens, its model encodes each
-    distinct pre-token, and a worker keeps the ids of the pieces it has met."""
+    a space with letters is one pre-token and goes to the library's model; any
+    other piece is first cut by the library's pre-tokenizer, or goes to the
+    library whole if it holds an added token."""
 
     def __init__(self, path: str):
+        super().__init__(KEPT_PIECES, self._tokens)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _whole(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
         model = self.tokenizer.model.tokenize
-        # the library cuts between a piece without white space at its end and a
-        # follower that begins with a space, so such pieces go together
-        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and not p[-1:].isspace()
-                 and not self.added.search(p)]
-        others = sorted(set(range(len(pieces))).difference(plain))
-        known: dict[str, list[int]] = {}
-        found: list[list[int]] = [[]] * len(pieces)
-        for start in range(0, len(plain), 4096):
-            group = plain[start:start + 4096]
-            ends = iter(np.cumsum([len(pieces[i]) for i in group]).tolist())
-            at = iter(group)
-            ids: list[int] = []
-            end = next(ends)
-            for token, (_, stop) in cut("".join([pieces[i] for i in group])):
-                if (known_ids := known.get(token)) is None:
-                    known_ids = known[token] = [t.id for t in model(token)]
-                ids += known_ids
-                if stop == end:
-                    found[next(at)], ids, end = ids, [], next(ends, -1)
-        for i in others:
-            found[i] = self._whole(pieces[i])
+        found = [[t.id for t in model(_byte_characters(p))] if _one_token(p) else None for p in pieces]
+        rest = [i for i, f in enumerate(found) if f is None]
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for i in rest:
+            p = pieces[i]
+            found[i] = (self.tokenizer.encode(p, add_special_tokens=False).ids if self.added.search(p)
+                        else [t.id for token, _ in cut(p) for t in model(token)])
         bounds = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=bounds[1:])
-        return np.fromiter((x for f in found for x in f), np.uint32, bounds[-1]), bounds
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the bounds of each."""
-        if len(self.slot) > KEPT_PIECES or len(self.ids) > 8 * KEPT_PIECES:
-            self._forget()
-        cut = cut_before_spaces(texts)
-        missing = [p for p in cut.vocabulary if p not in self.slot]
-        if missing:
-            ids, bounds = self._tokens(missing)
-            self.slot.update(zip(missing, range(len(self.bounds) - 1,
-                                                len(self.bounds) - 1 + len(missing))))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-            self.ids = np.concatenate([self.ids, ids])
-        slots = np.fromiter(map(self.slot.__getitem__, cut.vocabulary), np.int64,
-                            len(cut.vocabulary))
-        ids, ends = gathered(self.ids, self.bounds, slots[cut.codes])
-        return ids, ends[cut.first]
+        return np.fromiter(chain.from_iterable(found), np.uint32, bounds[-1]), bounds
 
 
 @lru_cache(maxsize=2)
