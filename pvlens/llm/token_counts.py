@@ -31,9 +31,10 @@ from pvlens.llm.catalog import register, table
 from pvlens.llm.common import schema_with, text_blocks, with_column
 
 MODEL_FILE = "piece_bpe_32k.model"
-FREQUENT, FREQUENT_CHARS = 8192, 48
-# Items that the sketch of one task tracks.
-TRACKED = 32768
+FREQUENT, FREQUENT_CHARS = 4096, 48
+# Items that a sketch tracks (some 200 KB), and sketches that a task merges at
+# least: partitions / FAN_IN^2 are left for the last merge.
+TRACKED, FAN_IN = 16384, 64
 KEPT_PIECES = 700_000
 MARK = "▁"
 
@@ -88,12 +89,19 @@ def worker_counter(model_path: str) -> Counter:
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
     """The most frequent short pre-tokens of all documents (at most ``FREQUENT``).
 
-    Partial sketches are merged; a sketch tracks ``TRACKED`` items however large
-    its part. An empty table has none."""
-    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).where(
+    A sketch tracks ``TRACKED`` items however large its part. The sketches of
+    ``FAN_IN`` neighbouring partitions are merged, then those of as many groups,
+    so a task reads a bounded number of them. An empty table has none."""
+    words = docs.select(F.spark_partition_id().alias("part"),
+                        F.explode(F.split(F.col(text), " ")).alias("w")).where(
         F.length("w").between(1, FREQUENT_CHARS))
-    top = words.agg(F.expr(f"approx_top_k(w, {FREQUENT}, {TRACKED})").alias("top")).first()
-    return [r["item"] for r in (top["top"] or [])]
+    group = (F.col("part") / FAN_IN).cast("int").alias("part")
+    combine = F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state")
+    states = words.groupBy(group).agg(
+        F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("state"))
+    states = states.groupBy(group).agg(combine).groupBy(F.lit("all")).agg(combine)
+    top = states.select(F.expr(f"approx_top_k_estimate(state, {FREQUENT})").alias("top")).first()
+    return [r["item"] for r in (top and top["top"] or [])]
 
 
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens",
