@@ -75,15 +75,10 @@ def contains_ci(text_lower: Column, term: str) -> Column:
     return F.instr(text_lower, term.lower()) > 0
 
 
-def first_pos(text_lower: Column, term: str) -> Column:
-    """SC6: 0-based position of the first occurrence, -1 when absent."""
-    return F.instr(text_lower, term) - 1
-
-
 def capitalize(c: str | Column) -> Column:
     """SC19: first letter upper, rest lower (not per word)."""
     c = col_(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def position_label(start: Column, end: Column) -> Column:
@@ -102,9 +97,37 @@ def split_list(c: Column) -> Column:
     return F.transform(F.split(c, ","), lambda x: F.trim(x))
 
 
-def stringify(c: Column) -> Column:
-    """SC23: ``str(v)``; null becomes 'nan' as pandas prints it."""
-    return F.coalesce(c.cast("string"), F.lit("nan"))
+def stringify(c: Column, dtype: str = "string") -> Column:
+    """SC23: ``str(v)`` of a column of type ``dtype``; null becomes 'nan' as
+    pandas prints it. Booleans are capitalised; a double is written plainly from
+    1e-4 up to 1e16 and with a two-digit exponent beyond, as ``str`` does."""
+    text = c.cast("string")
+    if dtype == "boolean":
+        text = F.initcap(text)
+    elif dtype in ("double", "float"):
+        # digits and exponent of Java's shortest form
+        sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        mantissa = F.regexp_extract(text, r"^-?([0-9]+)\.([0-9]+)", 1)
+        fraction = F.regexp_extract(text, r"^-?([0-9]+)\.([0-9]+)", 2)
+        exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        digits = F.concat(mantissa, F.regexp_replace(fraction, "0+$", ""))
+        shown = F.when(exponent >= 0, F.concat(
+            F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), "0")))
+        big = F.concat(sign, F.substring(shown, F.lit(1), exponent + 1), F.lit("."),
+                       F.when(F.length(shown) > exponent + 1, F.substr(shown, exponent + 2)).otherwise(F.lit("0")))
+        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        tail = F.substr(digits, F.lit(2))
+        far = F.concat(sign, F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(F.lit("")),
+                       F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                       F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"))
+        text = (F.when(~text.contains("E"), text).when(exponent >= 16, far).when(exponent >= 0, big)
+                 .when(exponent >= -4, small).otherwise(far))
+        text = F.when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.concat(sign_of(c), F.lit("inf"))).otherwise(text)
+    return F.coalesce(text, F.lit("nan"))
+
+
+def sign_of(c: Column) -> Column:
+    return F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
 
 
 def null_tokens_to_null(c: Column, tokens: list[str]) -> Column:

@@ -57,44 +57,6 @@ def pattern_mentions(text, patterns: list[tuple[str, str]] = EXTRA_ENTITY_PATTER
     return F.flatten(F.array(*per_type))
 
 
-def corrupt_annotations(key: Column, text: Column, spans: Column) -> Column:
-    """Fixture annotations: gold mention spans with one deliberate defect in
-    six of every seven documents, chosen by ``key % 7`` — 1 first span moved
-    right by one, 2 time words added to the first SYMPTOM span, 3 last span
-    dropped, 4 an overlapping copy of the first span added, 5 a skip-list
-    span ('not feeling well') recorded, 6 the first SYMPTOM span stretched
-    to the end of the last SYMPTOM span (a compound)."""
-    m = key % 7
-
-    def build(sp, t):
-        n = F.size(sp)
-        first_sym = F.array_position(F.transform(sp, lambda s: s["label"]), F.lit("SYMPTOM")) - 1
-        last_sym_end = F.array_max(F.transform(F.filter(sp, lambda s: s["label"] == "SYMPTOM"),
-                                               lambda s: s["end"]))
-
-        def span(label, start, end, txt):
-            return F.struct(label.alias("label"), start.cast("int").alias("start"),
-                            end.cast("int").alias("end"), txt.alias("text"))
-        moved = F.transform(sp, lambda s, i: F.when(i == 0, span(
-            s["label"], s["start"] + 1, s["end"] + 1, s["text"])).otherwise(s))
-        timed = F.transform(sp, lambda s, i: F.when(i == first_sym, span(
-            s["label"], s["start"], s["end"] + 11, F.concat(s["text"], F.lit(" for 2 days"))))
-            .otherwise(s))
-        dropped = F.slice(sp, 1, F.greatest(n - 1, F.lit(0)))
-        overlap = F.when(n > 0, F.concat(sp, F.array(span(
-            sp[0]["label"], sp[0]["start"] + 1, sp[0]["end"] + 1,
-            F.substring(t, sp[0]["start"] + 2, sp[0]["end"] - sp[0]["start"]))))).otherwise(sp)
-        skip = F.concat(sp, F.array(span(F.lit("SYMPTOM"), F.lit(0), F.lit(16),
-                                         F.lit("not feeling well"))))
-        compound = F.transform(sp, lambda s, i: F.when(i == first_sym, span(
-            s["label"], s["start"], last_sym_end,
-            F.substring(t, s["start"] + 1, last_sym_end - s["start"]))).otherwise(s))
-        return (F.when(m == 1, moved).when(m == 2, timed).when(m == 3, dropped)
-                 .when(m == 4, overlap).when(m == 5, skip).when(m == 6, compound)
-                 .otherwise(sp))
-    return let(build, spans, F.coalesce(text, F.lit("")))
-
-
 # ---------------------------------------------------------------- export shape
 
 def to_export(df: DataFrame, text_col: str, spans_col: str,
@@ -123,25 +85,74 @@ def from_export(export: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- BIO tags and the NER set
 
+def broken_annotations(df: DataFrame, keys: list[str], spans_col: str = "spans") -> DataFrame:
+    """The rejects table of E7: results without a start or an end, with their
+    index. The original stops at the first one."""
+    return (df.select(*keys, F.posexplode(spans_col).alias("ann_idx", "s"))
+              .where("s.start is null or s.end is null")
+              .select(*keys, "ann_idx", F.col("s.label").alias("label"), F.col("s.start").alias("start"),
+                      F.col("s.end").alias("end")))
+
+
+def whole_annotations(spans) -> Column:
+    """The results of a span array that have a start and an end."""
+    return F.filter(col_(spans), lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+
+
 def bio_tags(text, spans) -> Column:
     """One tag per character; for each span in order, ``B-`` at start
     (when inside the text) and ``I-`` up to min(end, len); later spans
-    overwrite earlier ones."""
-    def build(t, n):
-        def step(acc, s):
-            st, en = s["start"], F.least(s["end"], n)
-            b, i_tag = F.concat(F.lit("B-"), s["label"]), F.concat(F.lit("I-"), s["label"])
-            # one span = one splice of native array slices (the lambda runs
-            # once per span, not once per character)
-            m = F.greatest(en - st - 1, F.lit(0))
-            spliced = F.concat(F.slice(acc, 1, st), F.array(b), F.array_repeat(i_tag, m),
-                               F.slice(acc, st + m + 2, F.greatest(n - st - m - 1, F.lit(0))))
-            per_char = F.transform(acc, lambda tag, i: F.when(i == st, b)
-                                   .when((i > st) & (i < en), i_tag).otherwise(tag))
-            return F.when(st >= n, acc).when(st >= 0, spliced).otherwise(per_char)
-        return F.aggregate(col_(spans), F.array_repeat(F.lit("O"), n), step)
+    overwrite earlier ones. Results without bounds are left out
+    (:func:`broken_annotations` lists them).
+
+    A later span that begins inside an earlier one may leave a rest of it. So the
+    spans' starts, seconds and ends cut the text into runs of one tag; the last
+    span that covers a run names it, and the runs are joined once. The cost is
+    the text's length and, for spans that overlap, their number."""
+    def build(t, n, spans):
+        first = F.transform(spans, lambda s: s["start"])
+        stop = F.transform(spans, lambda s: F.least(s["end"], n))
+        cuts = F.array_sort(F.array_distinct(F.filter(F.concat(
+            F.array(F.lit(0), n), first, F.transform(first, lambda x: x + 1), stop),
+            lambda x: (x >= 0) & (x <= n))))
+        # spans in order of their starts, to search from the run's end backwards
+        ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(
+            s["start"].alias("start"), F.greatest(F.least(s["end"], n), s["start"] + 1).alias("end"),
+            i.alias("i"), s["label"].alias("label"))))
+
+        def runs(cuts, ordered, starts, longest):
+            def run(a, k):
+                # spans that cover position a begin in (a - longest, a]
+                lo = _first_at_least(starts, a - longest + 1)
+                hi = _first_at_least(starts, a + 1)
+                over = F.filter(F.slice(ordered, lo + 1, hi - lo), lambda s: s["end"] > a)
+                last = F.array_max(F.transform(over, lambda s: F.struct(
+                    s["i"].alias("i"), s["start"].alias("start"), s["label"].alias("label"))))
+                tag = F.when(last.isNull(), F.lit("O")).when(
+                    last["start"] == a, F.concat(F.lit("B-"), last["label"])).otherwise(
+                    F.concat(F.lit("I-"), last["label"]))
+                return F.array_repeat(tag, cuts[k + 1] - a)
+            return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), run))
+        def with_starts(ordered):
+            return let(runs, cuts, ordered, F.transform(ordered, lambda s: s["start"]), F.coalesce(
+                F.array_max(F.transform(ordered, lambda s: s["end"] - s["start"])), F.lit(0)))
+        return let(with_starts, ordered)
     text = col_(text)
-    return let(build, text, F.length(text))
+    return let(build, text, F.length(text), whole_annotations(spans))
+
+
+def _first_at_least(values: Column, x: Column) -> Column:
+    """Index of the first of sorted ``values`` at or above ``x`` (bisection in
+    31 steps, each one element access)."""
+    init = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.try_element_at(values, mid + 1) < x
+        return F.when(s["lo"] >= s["hi"], s).when(
+            below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+    return F.aggregate(F.array_repeat(F.lit(0), 31), init, step, lambda s: s["lo"])
 
 
 def ner_dataset(annotated: DataFrame, order_cols: list[str], fraction: float = 0.8,
@@ -150,8 +161,8 @@ def ner_dataset(annotated: DataFrame, order_cols: list[str], fraction: float = 0
     validation split (first ``int(0.8 n)`` documents in order are train)."""
     from pvlens.operators.splits import positional_split
     kept = annotated.filter((F.size("spans") > 0) & (F.col("text") != ""))
-    tagged = kept.select(*order_cols, "text", bio_tags(F.col("text"), F.col("spans")).alias("tags"))
-    return positional_split(tagged, order_cols, fraction, **kw)
+    split = positional_split(kept, order_cols, fraction, **kw)
+    return split.select(*order_cols, "text", bio_tags(F.col("text"), F.col("spans")).alias("tags"), "split")
 
 
 # ---------------------------------------------------------------- QA (Q1-Q7)

@@ -26,43 +26,48 @@ def year_status(presence: DataFrame, roles: list[str] = ROLES) -> DataFrame:
                     (F.size("roles") == len(roles)).alias("complete"))
 
 
-def rename_overlaps(left: DataFrame, right: DataFrame, key: str,
+def rename_overlaps(left: DataFrame, right: DataFrame, key: str | list[str],
                     suffixes: tuple[str, str] = ("_x", "_y")) -> tuple[DataFrame, DataFrame]:
     """Give shared non-key columns pandas-style suffixes before a join."""
-    shared = [c for c in left.columns if c in right.columns and c != key]
+    keys = [key] if isinstance(key, str) else key
+    shared = [c for c in left.columns if c in right.columns and c not in keys]
     for c in shared:
         left = left.withColumnRenamed(c, c + suffixes[0])
         right = right.withColumnRenamed(c, c + suffixes[1])
     return left, right
 
 
-def blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame, key: str = "VAERS_ID",
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
+    left, right = rename_overlaps(left, right, keys)
+    if not null_safe:
+        left, right = left.dropna(subset=keys), right.dropna(subset=keys)
+    key = F.struct(*keys)
+    return left.withColumn("_k", key).join(
+        right.withColumn("_k", key).drop(*keys), "_k").drop("_k")
+
+
+def blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame, key: str | list[str] = "VAERS_ID",
           null_safe: bool = False) -> DataFrame:
-    """``data ⋈ symptoms ⋈ vax`` inner on the report id; the many-to-many
-    fan-out is kept. All three sides are hash-partitioned on the same key, so
-    the second join reuses the first join's partitioning (no extra shuffle of
-    the joined side); AQE splits skewed keys. ``null_safe`` makes null ids
-    match each other (J3, pandas ``merge`` semantics)."""
-    d, s = rename_overlaps(data, symptoms, key)
-    if null_safe:
-        j = d.join(s.withColumnRenamed(key, "_k1"), F.col(key).eqNullSafe(F.col("_k1"))).drop("_k1")
-    else:
-        j = d.join(s, key, "inner")
-    j, v = rename_overlaps(j, vax, key)
-    if null_safe:
-        return j.join(v.withColumnRenamed(key, "_k2"), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2")
-    return j.join(v, key, "inner")
+    """``data ⋈ symptoms ⋈ vax`` inner on the report key; the many-to-many
+    fan-out is kept. ``null_safe`` makes null keys match each other (J3, pandas
+    ``merge`` semantics).
+
+    Each join is on the key as one struct value made for that join. Its
+    partitioning therefore does not carry over from the first join to the
+    second, so AQE may split a hot report in either of them; two joins that
+    share a partitioning may not be split."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return _matched(_matched(data, symptoms, keys, null_safe), vax, keys, null_safe)
 
 
 def blend_complete_years(data: DataFrame, symptoms: DataFrame, vax: DataFrame,
                          key: str = "VAERS_ID", year_col: str = "year") -> DataFrame:
     """Keep years with all three parts (left-semi on the J4 table, a
-    handful of rows broadcast), then J1."""
+    row for each year), then J1 within each year: a report id may recur in
+    another year and is another report there."""
     status = year_status(role_presence({"DATA": data, "SYMPTOMS": symptoms, "VAX": vax}, year_col))
-    ok = F.broadcast(status.filter("complete").select(F.col("year").alias(year_col)))
-    return blend(data.join(ok, year_col, "left_semi"),
-                 symptoms.join(ok, year_col, "left_semi").drop(year_col),
-                 vax.join(ok, year_col, "left_semi").drop(year_col), key)
+    ok = status.filter("complete").select(F.col("year").alias(year_col))
+    return blend(data.join(ok, year_col, "left_semi"), symptoms, vax, [year_col, key])
 
 
 def union_years(frames: dict[str, DataFrame], year_col: str = "year") -> DataFrame:

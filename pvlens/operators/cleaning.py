@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvlens.functions.lexicons import CLEAN_KEEP_COLUMNS, STATE_CASE_FIXES, TERRITORY_FIXES
-from pvlens.operators.ordering import BUCKET, fill_pinned, forward_fill, pin_ranges
+from pvlens.operators.blend import blend
+from pvlens.operators.ordering import forward_fill
+from pvlens.session import written
 
 
 def project_keep(df: DataFrame, keep: list[str] = CLEAN_KEEP_COLUMNS,
@@ -49,42 +51,57 @@ def count_equal(col: Column, value) -> Column:
     return F.count_if(col == F.lit(value))
 
 
+FILLED = ["AGE_YRS", "SYMPTOM_TEXT", "RECOVD"]
+
+
 def clean_reports(df: DataFrame, order_cols: list[str], method: str = "ranges",
-                  num_buckets: int | None = None) -> DataFrame:
+                  num_ranges: int | None = None) -> DataFrame:
     """R2, in the original order: A9 dedup -> F2 keep list -> SC11 state case
     -> SC12 territory codes -> SEX 'U' -> drop ALLERGIES -> forward fill age
     and text -> forward fill RECOVD then 'U' -> STATE 'Unknown' -> drop
-    HISTORY. ``order_cols`` must be unique after the dedup.
-
-    With ``method='ranges'`` the rows are range-partitioned on the order key
-    once, first: equal rows share the order key, so they share a bucket, and
-    the dedup runs inside the buckets (no shuffle of its own), as do the
-    fills."""
-    if method == "ranges":
-        pinned = pin_ranges(df, order_cols, num_buckets).dropDuplicates()
-        out = _steps_before_fill(pinned, keep_extra=[BUCKET])
-        fill = [c for c in ("AGE_YRS", "SYMPTOM_TEXT", "RECOVD") if c in out.columns]
-        cols = [c for c in out.columns if c != BUCKET]
-        out = fill_pinned(out, fill, order_cols, cols) if fill else out.select(*cols)
-    else:
-        out = _steps_before_fill(df.dropDuplicates())
-        fill = [c for c in ("AGE_YRS", "SYMPTOM_TEXT", "RECOVD") if c in out.columns]
-        if fill:
-            out = forward_fill(out, fill, order_cols, method=method, num_buckets=num_buckets)
-    if "RECOVD" in out.columns:
-        out = fill_value(out, "RECOVD", "U")
-    if "STATE" in out.columns:
-        out = fill_value(out, "STATE", "Unknown")
-    return out.drop("HISTORY")
-
-
-def _steps_before_fill(df: DataFrame, keep_extra: list[str] | None = None) -> DataFrame:
+    HISTORY. ``order_cols`` must be unique after the dedup. For blended parts
+    :func:`clean_blend` fills the reports before they fan out."""
+    out = _steps_before_fill(df.dropDuplicates())
+    fill = [c for c in FILLED if c in out.columns]
+    if fill:
+        out = forward_fill(out, fill, order_cols, method=method, num_ranges=num_ranges)
+    return _steps_after_fill(out)
+
+
+def clean_blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame,
+                key: str | list[str] = "VAERS_ID", order_cols: list[str] | None = None,
+                num_ranges: int | None = None) -> DataFrame:
+    """J1 + R2 on the parts: the same rows as ``clean_reports(blend(...))`` when
+    the filled columns belong to the report and the order begins with a report's
+    unique order columns (``order_cols``, by default the key).
+
+    The distinct rows of a join are the join of the distinct rows. All rows of a
+    report share its values, so filling the reports that survive the joins, in
+    their order, fills their rows; only narrow reports are ordered."""
+    keys = [key] if isinstance(key, str) else list(key)
+    s, v = symptoms.dropDuplicates(), vax.dropDuplicates()
+    d = data.dropDuplicates().dropna(subset=keys)
+    d = d.join(s.select(*keys), keys, "left_semi").join(v.select(*keys), keys, "left_semi")
+    fill = [c for c in FILLED if c in d.columns]
+    if fill:  # written once: the ranges, the carried values and the fill read it
+        d = forward_fill(written(d, "reports"), fill, order_cols or keys, num_ranges=num_ranges)
+    return _steps_after_fill(_steps_before_fill(blend(d, s, v, keys)))
+
+
+def _steps_before_fill(df: DataFrame) -> DataFrame:
     """F2 keep list -> SC11 -> SC12 -> SEX 'U' -> drop ALLERGIES."""
-    keep = project_keep(df).columns + (keep_extra or [])
-    out = df.select(*[F.col(f"`{c}`") for c in keep])
+    out = project_keep(df)
     if "STATE" in out.columns:
         out = replace_values(out, "STATE", STATE_CASE_FIXES)
         out = replace_values(out, "STATE", TERRITORY_FIXES)
     if "SEX" in out.columns:
         out = fill_value(out, "SEX", "U")
     return out.drop("ALLERGIES")
+
+
+def _steps_after_fill(df: DataFrame) -> DataFrame:
+    """RECOVD 'U' -> STATE 'Unknown' -> drop HISTORY."""
+    for c, value in (("RECOVD", "U"), ("STATE", "Unknown")):
+        if c in df.columns:
+            df = fill_value(df, c, value)
+    return df.drop("HISTORY")

@@ -92,7 +92,6 @@ def highlight(text, entities) -> Column:
         return (F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1)
                  .when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
     ordered = F.array_sort(indexed, cmp)
-    big = F.lit(1 << 30)
 
     def step(acc, e):
         return F.concat(
@@ -101,20 +100,20 @@ def highlight(text, entities) -> Column:
             F.lit(';" title="'), e["type"], F.lit('">'),
             F.substring(acc, e["start"] + 1, F.greatest(e["end"] - e["start"], F.lit(0))),
             F.lit("</span>"),
-            F.substring(acc, e["end"] + 1, big))
+            F.substr(acc, e["end"] + 1))
     return F.when(F.size(ents) == 0, t).otherwise(F.aggregate(ordered, t, step))
 
 
 def all_mentions(text, rules: list[tuple[str, str]]) -> Column:
-    """Every non-overlapping occurrence of each term (substring of the
-    lower-cased text), rule order then text order:
-    ``array<struct<type,text,start,end>>``. Row-local: split on the quoted
+    """Every non-overlapping occurrence of each term in any case, rule order
+    then text order: ``array<struct<type,text,start,end>>``. Row-local: split
+    the text itself, not its lower case (which may be longer), on the quoted
     term, then a running offset over the pieces."""
-    t = F.lower(F.coalesce(col_(text), F.lit("")))
+    t = F.coalesce(col_(text), F.lit(""))
     per_rule = []
     for typ, term in rules:
         L = len(term)
-        parts = F.split(t, regex_quote(term), -1)
+        parts = F.split(t, "(?i)" + regex_quote(term), -1)
         # pieces p0..pk; occurrence j starts at len(p0..pj) + j*L
         acc0 = F.struct(F.lit(0).alias("off"), F.array().cast("array<int>").alias("starts"))
         folded = F.aggregate(

@@ -3,109 +3,155 @@ forward fill (W1, W2).
 
 Row order does not exist in Spark, so callers name unique order columns.
 A single un-partitioned window would funnel every row through one task; the
-scalable form runs in three phases instead:
-
-1. range-partition on the order key and pin each row's partition id by
-   writing the rows once as a table bucketed on that id, in the session's
-   shared checkpoint folder (range bounds are sampled, so recomputation could
-   move them; the written table also cuts the lineage). Reading it back, Spark
-   knows the rows are hash-partitioned by bucket, so the per-bucket
-   aggregates and windows below need no further shuffle of the data;
-2. one tiny aggregate per partition (count, or last non-null value), carried
-   across partitions by a window over at most ``num_buckets`` rows;
-3. a window partitioned by bucket — balanced, because the range split is on
-   the full (unique) order key, so even one hot report id is spread out — plus
-   a broadcast join of the tiny carry table (size bounded by ``num_buckets``).
+scalable form splits the order into ranges instead:
+
+1. the order columns alone are range-partitioned and aggregated to the last
+   key and the row count of each range (``num_ranges`` rows on the driver);
+2. the keys become literal bounds of a range expression, and the rows are
+   dealt to partitions by range (``repartitionById``: one range to a task, no
+   hash that could put two ranges together);
+3. a window within each range, plus what is carried over from the ranges
+   before (the counts, or the last non-null values: one row for each range).
+
+The rows are shuffled once. Nothing is written, so nothing is left behind.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pvlens.session import scratch_path
-
-BUCKET = "_pv_bucket"
+RANGE = "_pv_range"
+# Rows of a range where the caller names no number of ranges.
+ROWS_PER_RANGE = 1_000_000
 
 
 def _order_exprs(order_cols: list[str]):
     return [F.col(c).asc_nulls_first() for c in order_cols]
 
 
-def pin_ranges(df: DataFrame, order_cols: list[str], num_buckets: int | None = None) -> DataFrame:
-    """Phase 1: range partitions on the order key, ids pinned by checkpoint."""
-    spark = df.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *_order_exprs(order_cols)).withColumn(
-        BUCKET, F.spark_partition_id())
-    # every task holds exactly one bucket id, so it writes one file
-    name = f"pv_ranges_{uuid.uuid4().hex[:16]}"
-    (ranged.write.mode("error").bucketBy(n, BUCKET)
-           .option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name))
-    return spark.table(name)
+def order_key(order_cols: list[str]) -> Column:
+    """The order columns as one comparable value (nulls first)."""
+    return F.struct(*[F.col(c) for c in order_cols])
+
+
+def key_literal(df: DataFrame, order_cols: list[str], key: Row) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c)
+                      for c, v in zip(order_cols, key)])
+
+
+@dataclass
+class Ranges:
+    """Ranges of an order: the last key and the rows of each, in order."""
+
+    order_cols: list[str]
+    last: list[Row]
+    counts: list[int]
+
+    @property
+    def rows(self) -> int:
+        return sum(self.counts)
+
+    def number(self, df: DataFrame) -> Column:
+        """Range of each row, by binary search over the literal bounds."""
+        key = order_key(self.order_cols)
+
+        def search(lo: int, hi: int) -> Column:
+            if lo >= hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(key <= key_literal(df, self.order_cols, self.last[mid]),
+                          search(lo, mid)).otherwise(search(mid + 1, hi))
+        return search(0, len(self.last) - 1)
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """``df`` with its range, one range to a partition."""
+        return df.withColumn(RANGE, self.number(df)).repartitionById(
+            max(1, len(self.last)), F.col(RANGE))
+
+    def starts(self) -> Column:
+        """Rows before each range, as a literal array."""
+        before = [0]
+        for n in self.counts[:-1]:
+            before.append(before[-1] + n)
+        return F.array(*[F.lit(b).cast("long") for b in before])
+
+
+def find_ranges(df: DataFrame, order_cols: list[str], num_ranges: int | None = None) -> Ranges:
+    """Cut the order of ``df`` into even ranges. Only the order columns are
+    read; ``num_ranges`` defaults to one for ``ROWS_PER_RANGE`` rows, at least
+    one for each shuffle partition of the session."""
+    keys = df.select(*order_cols)
+    if num_ranges is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        num_ranges = max(least, -(-keys.count() // ROWS_PER_RANGE))
+    found = (keys.repartitionByRange(num_ranges, *_order_exprs(order_cols))
+                 .groupBy(F.spark_partition_id().alias("p"))
+                 .agg(F.max(order_key(order_cols)).alias("last"), F.count(F.lit(1)).alias("n"))
+                 .orderBy("p").collect())  # one row for each range
+    return Ranges(order_cols, [r["last"] for r in found], [r["n"] for r in found])
+
+
+def key_at(df: DataFrame, ranges: Ranges, position: int) -> Row | None:
+    """The order key at 0-based ``position``: the range that holds it is known
+    from the counts, so only that range's keys are sorted."""
+    before = 0
+    for i, n in enumerate(ranges.counts):
+        if position < before + n:
+            keys = df.select(*ranges.order_cols).where(ranges.number(df) == i)
+            return keys.orderBy(*_order_exprs(ranges.order_cols)).offset(position - before).limit(1).first()
+        before += n
+    return None
 
 
 def with_row_index(df: DataFrame, order_cols: list[str], out: str = "row_idx",
-                   num_buckets: int | None = None, method: str = "ranges") -> DataFrame:
+                   num_ranges: int | None = None, method: str = "ranges") -> DataFrame:
     """0-based position in ``order_cols`` order (``reset_index``).
     ``method='window'`` is the one-task form for small inputs."""
     if method == "window":
         w = Window.orderBy(*_order_exprs(order_cols))
         return df.withColumn(out, F.row_number().over(w) - 1)
-    pinned = pin_ranges(df, order_cols, num_buckets)
-    counts = pinned.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(BUCKET, F.coalesce(F.sum("_n").over(
-        Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    w = Window.partitionBy(BUCKET).orderBy(*_order_exprs(order_cols))
-    return (pinned.join(F.broadcast(offsets), BUCKET)
-                  .withColumn(out, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-                  .drop(BUCKET, "_off"))
+    ranges = find_ranges(df, order_cols, num_ranges)
+    w = Window.partitionBy(RANGE).orderBy(*_order_exprs(order_cols))
+    return (ranges.deal(df)
+                  .withColumn(out, F.row_number().over(w) - 1 + ranges.starts()[F.col(RANGE)])
+                  .drop(RANGE))
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
-                 num_buckets: int | None = None, method: str = "ranges",
+                 num_ranges: int | None = None, method: str = "ranges",
                  partition_by: list[str] | None = None) -> DataFrame:
     """Each null takes the last non-null value above it in ``order_cols``
     order; leading nulls stay null. ``partition_by`` confines the fill to a
     group (then the plain per-group window is already distributed)."""
-    if partition_by:
-        w = (Window.partitionBy(*partition_by).orderBy(*_order_exprs(order_cols))
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        return df.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols
-                           else F.col(c) for c in df.columns])
-    if method == "window":
-        w = Window.orderBy(*_order_exprs(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols
-                           else F.col(c) for c in df.columns])
-    return fill_pinned(pin_ranges(df, order_cols, num_buckets), cols, order_cols, df.columns)
-
-
-def fill_pinned(pinned: DataFrame, cols: list[str], order_cols: list[str],
-                out_columns: list[str]) -> DataFrame:
-    """W1 phases 2 and 3 on rows already pinned to range buckets (a
-    ``pin_ranges`` result, possibly transformed row-wise or de-duplicated
-    since — anything that keeps the bucket column and its partitioning)."""
-    key = F.struct(*[F.col(c) for c in order_cols])
-    # last non-null value of each column inside each bucket
-    per_bucket = pinned.groupBy(BUCKET).agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last_{i}")
-        for i, c in enumerate(cols)])
-    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(BUCKET, *[
+    def filled(w):
+        return [F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
+                for c in df.columns]
+    if partition_by or method == "window":
+        w = Window.partitionBy(*partition_by) if partition_by else Window
+        return df.select(*filled(w.orderBy(*_order_exprs(order_cols)).rowsBetween(
+            Window.unboundedPreceding, 0)))
+    ranges = find_ranges(df, order_cols, num_ranges)
+    key = order_key(order_cols)
+    # last non-null value of each column inside each range
+    per_range = df.select(*order_cols, *[c for c in cols if c not in order_cols]).withColumn(
+        RANGE, ranges.number(df)).groupBy(RANGE).agg(*[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last_{i}")
+            for i, c in enumerate(cols)])
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range; Spark chooses the join by its size in bytes
+    carry = per_range.select(RANGE, *[
         F.last(F.col(f"_last_{i}"), ignorenulls=True).over(before).alias(f"_carry_{i}")
         for i in range(len(cols))])
-    within = (Window.partitionBy(BUCKET).orderBy(*_order_exprs(order_cols))
+    within = (Window.partitionBy(RANGE).orderBy(*_order_exprs(order_cols))
                     .rowsBetween(Window.unboundedPreceding, 0))
-    joined = pinned.join(F.broadcast(carry), BUCKET)
+    joined = ranges.deal(df).select(*filled(within), RANGE).join(carry, RANGE)
     idx = {c: i for i, c in enumerate(cols)}
-    return joined.select(*[
-        F.coalesce(F.last(F.col(c), ignorenulls=True).over(within),
-                   F.col(f"_carry_{idx[c]}")).alias(c) if c in idx else F.col(c)
-        for c in out_columns])
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_carry_{idx[c]}")).alias(c) if c in idx
+                           else F.col(c) for c in df.columns])
 
 
 def forward_fill_then(df: DataFrame, col: str, default, order_cols: list[str],

@@ -3,55 +3,55 @@
 Random choices are replaced by a fixed hash order — ``md5('42:' || key)``
 then the key — which is the same in every engine and on every run. numpy's
 exact row choice is not reproduced.
+
+A split compares each row's key with the key at the cut, which is found from
+the order columns alone: the rows themselves are not moved.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pvlens.functions.lexicons import BATCH_PAGE_LIMIT, SAMPLE_SEED, TRAIN_FRACTION
-from pvlens.operators.ordering import with_row_index
+from pvlens.functions.lexicons import SAMPLE_SEED, TRAIN_FRACTION
+from pvlens.operators.ordering import find_ranges, key_at, key_literal, order_key
 
 
 def seeded_hash(key_col: str, seed: int = SAMPLE_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
 
 
-def fixed_sample(df: DataFrame, key_col: str, n: int, seed: int = SAMPLE_SEED,
-                 max_n: int = BATCH_PAGE_LIMIT) -> DataFrame:
+def fixed_sample(df: DataFrame, key_col: str, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the first in seeded hash order.
     Planned as a distributed top-k (``TakeOrderedAndProject``): each task keeps
     n rows, the driver merges at most n x tasks rows."""
-    if n > max_n:
-        raise ValueError(f"sample size {n} exceeds the page limit {max_n}")
     return df.orderBy(seeded_hash(key_col, seed), F.col(key_col)).limit(n)
 
 
+def _split_at(df: DataFrame, order_cols: list[str], rows_of, out: str,
+              num_ranges: int | None) -> DataFrame:
+    ranges = find_ranges(df, order_cols, num_ranges)
+    cut = key_at(df, ranges, rows_of(ranges.rows))
+    train = F.lit(True) if cut is None else (
+        order_key(order_cols) < key_literal(df, order_cols, cut))
+    return df.withColumn(out, F.when(train, F.lit("train")).otherwise(F.lit("validation")))
+
+
 def hash_split(df: DataFrame, key_col: str, fraction: float = TRAIN_FRACTION,
                seed: int = SAMPLE_SEED, out: str = "split",
-               num_buckets: int | None = None) -> DataFrame:
+               num_ranges: int | None = None) -> DataFrame:
     """Exactly ``round(fraction * n)`` rows are 'train' (the first in
-    seeded hash order), the rest 'validation'. The rank comes from the
-    range-partitioned global index, not a one-task window."""
+    seeded hash order), the rest 'validation'. ``key_col`` is unique."""
     hashed = df.withColumn("_h", seeded_hash(key_col, seed))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    n_train = F.bround(n.cast("double") * F.lit(fraction), 0)
-    ranked = with_row_index(hashed, ["_h", key_col], "_rank", num_buckets)
-    return (ranked.withColumn(out, F.when(F.col("_rank") < n_train, F.lit("train"))
-                                    .otherwise(F.lit("validation")))
-                  .drop("_h", "_rank"))
+    return _split_at(hashed, ["_h", key_col], lambda n: round(n * fraction), out, num_ranges).drop("_h")
 
 
 def positional_split(df: DataFrame, order_cols: list[str], fraction: float = TRAIN_FRACTION,
-                     out: str = "split", num_buckets: int | None = None) -> DataFrame:
-    """The first ``int(fraction * n)`` rows in order are 'train'."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    cut = F.floor(n.cast("double") * F.lit(fraction))
-    ranked = with_row_index(df, order_cols, "_pos", num_buckets)
-    return (ranked.withColumn(out, F.when(F.col("_pos") < cut, F.lit("train"))
-                                    .otherwise(F.lit("validation")))
-                  .drop("_pos"))
+                     out: str = "split", num_ranges: int | None = None) -> DataFrame:
+    """The first ``int(fraction * n)`` rows in (unique) order are 'train'."""
+    return _split_at(df, order_cols, lambda n: math.floor(n * fraction), out, num_ranges)
 
 
 def complement(df: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:

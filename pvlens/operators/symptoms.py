@@ -15,8 +15,8 @@ from pvlens.functions.text import alternation, col_, let
 def extract_symptoms(text, dictionary: list[str] | None = None) -> Column:
     """D4 per row: distinct lower-case dictionary matches with word bounds,
     leftmost match, first alternative wins; sorted (the original returns a
-    set). Null text -> []."""
-    pattern = alternation(dictionary or DEFAULT_SYMPTOMS)
+    set). Terms match in any case. Null text -> []."""
+    pattern = alternation(list(dict.fromkeys(t.lower() for t in dictionary or DEFAULT_SYMPTOMS)))
     t = col_(text)
     found = F.regexp_extract_all(F.lower(t), F.lit(pattern), 1)
     return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(
@@ -106,13 +106,13 @@ def cluster_summary(points: DataFrame, digits: int = 9) -> DataFrame:
 
 # A run of word characters as Java's ``\b`` sees them (letters, digits, '_').
 WORD_RUN = r"[\p{L}\p{Nd}_]+"
-# Dictionaries up to this many terms are shipped whole to every task.
-BROADCAST_TERMS_LIMIT = 1_000_000
 
 
 def dictionary_frame(spark, terms: list[str]) -> DataFrame:
-    """(term, priority) in list order — priority is the alternation order."""
-    return spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, priority int")
+    """(term, priority) in list order — priority is the alternation order.
+    Terms match in any case, so they are kept in lower case."""
+    return spark.createDataFrame([(t.lower(), i) for i, t in enumerate(terms)],
+                                 "term string, priority int")
 
 
 def _ngrams(pieces: Column, tokens: Column, max_words: int) -> Column:
@@ -121,7 +121,7 @@ def _ngrams(pieces: Column, tokens: Column, max_words: int) -> Column:
     n_tok = F.size(tokens)
 
     def at(k):
-        return F.struct(k.alias("k"), F.array(*grams(k)).alias("g"))
+        return F.struct(k.alias("_k"), F.array(*grams(k)).alias("_g"))
 
     def grams(k):
         out, cur = [], None
@@ -144,29 +144,26 @@ def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], diction
     1. Tokenise the lower-cased text into word runs; every token start is a
        candidate match start (a match needs ``\\b`` before it).
     2. Emit each token's n-grams (n up to the longest term) exactly as
-       written and equi-join them to the dictionary: broadcast when the
-       dictionary has a checked, bounded size, else a shuffle join (AQE
-       splits hot n-grams).
+       written and equi-join them to the dictionary. Spark chooses the join by
+       the dictionary's size in bytes; a shuffle join's hot n-grams are split
+       by AQE.
     3. Per text, replay the regex scan over the few matched candidates in
        token order: take the first-priority term at the earliest token not
        inside the previous match, skip past it, repeat.
     Terms must begin and end with a word character."""
-    d = dictionary.groupBy("term").agg(F.min("priority").alias("priority"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size(F.regexp_extract_all(F.col("term"), F.lit(WORD_RUN), 0))).alias("w")).first()
-    max_words = max(int(stats["w"] or 1), 1)
-    if stats["n"] <= BROADCAST_TERMS_LIMIT:
-        d = F.broadcast(d)
+    d = dictionary.groupBy(F.lower("term").alias("term")).agg(F.min("priority").alias("priority"))
+    longest = d.agg(F.max(F.size(F.regexp_extract_all(F.col("term"), F.lit(WORD_RUN), 0)))).first()[0]
+    max_words = max(int(longest or 1), 1)
     t = F.lower(F.col(text_col))
     toks = df.select(*keys, let(lambda p, w: _ngrams(p, w, max_words),
                                 F.split(t, WORD_RUN, -1),
                                 F.regexp_extract_all(t, F.lit(WORD_RUN), 0)).alias("_at"))
     grams = (toks.select(*keys, F.inline("_at"))
-                 .select(*keys, "k", F.posexplode("g").alias("_n", "term"))
+                 .select(*keys, "_k", F.posexplode("_g").alias("_n", "term"))
                  .filter(F.col("term").isNotNull()))
     cands = grams.join(d, "term")
     per_doc = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "k", "priority", (F.col("_n") + 1).alias("n"), "term"))).alias("_c"))
+        F.col("_k").alias("k"), "priority", (F.col("_n") + 1).alias("n"), "term"))).alias("_c"))
     init = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("found"))
 
     def step(acc, c):

@@ -38,7 +38,7 @@ def annotation_tasks(df: DataFrame, text_col: str, meta_cols: list[str] | None =
     present = [c for c in (meta_cols or []) if c in df.columns]
     if present:
         meta = F.map_from_arrays(F.array(*[F.lit(c) for c in present]),
-                                 F.array(*[stringify(F.col(c)) for c in present]))
+                                 F.array(*[stringify(F.col(c), dict(df.dtypes)[c]) for c in present]))
     else:
         meta = F.create_map().cast("map<string,string>")
     return df.select(*(keys or []), F.struct(F.struct(F.col(text_col).alias("text")).alias("data"),

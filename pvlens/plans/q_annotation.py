@@ -10,7 +10,7 @@ seven reports get one defect (see :func:`corrupt_annotations`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvlens.functions.lexicons import (
@@ -18,7 +18,7 @@ from pvlens.functions.lexicons import (
     HIGHLIGHT_COLOR_DEFAULT, HIGHLIGHT_COLORS,
     QA_MODIFIERS, QA_SKIP_TERMS, QA_TIME_PATTERN, SEVERITY_ENTITY_TERMS,
 )
-from pvlens.functions.text import with_evaluated
+from pvlens.functions.text import let, with_evaluated
 from pvlens.operators import annotation as A
 from pvlens.operators import severity as V
 from pvlens.operators.entities import all_mentions, extract_entities, highlight
@@ -31,6 +31,46 @@ KEYS = ["VAERS_ID"]
 METRIC_TYPES = ["DRUG", "SYMPTOM", "SEVERITY"]
 
 
+# ---------------------------------------------------------------- the annotation set's defects
+
+def corrupt_annotations(key: Column, text: Column, spans: Column) -> Column:
+    """Fixture annotations: gold mention spans with one deliberate defect in
+    six of every seven documents, chosen by ``key % 7`` — 1 first span moved
+    right by one, 2 time words added to the first SYMPTOM span, 3 last span
+    dropped, 4 an overlapping copy of the first span added, 5 a skip-list
+    span ('not feeling well') recorded, 6 the first SYMPTOM span stretched
+    to the end of the last SYMPTOM span (a compound)."""
+    m = key % 7
+
+    def build(sp, t):
+        n = F.size(sp)
+        first_sym = F.array_position(F.transform(sp, lambda s: s["label"]), F.lit("SYMPTOM")) - 1
+        last_sym_end = F.array_max(F.transform(F.filter(sp, lambda s: s["label"] == "SYMPTOM"),
+                                               lambda s: s["end"]))
+
+        def span(label, start, end, txt):
+            return F.struct(label.alias("label"), start.cast("int").alias("start"),
+                            end.cast("int").alias("end"), txt.alias("text"))
+        moved = F.transform(sp, lambda s, i: F.when(i == 0, span(
+            s["label"], s["start"] + 1, s["end"] + 1, s["text"])).otherwise(s))
+        timed = F.transform(sp, lambda s, i: F.when(i == first_sym, span(
+            s["label"], s["start"], s["end"] + 11, F.concat(s["text"], F.lit(" for 2 days"))))
+            .otherwise(s))
+        dropped = F.slice(sp, 1, F.greatest(n - 1, F.lit(0)))
+        overlap = F.when(n > 0, F.concat(sp, F.array(span(
+            sp[0]["label"], sp[0]["start"] + 1, sp[0]["end"] + 1,
+            F.substring(t, sp[0]["start"] + 2, sp[0]["end"] - sp[0]["start"]))))).otherwise(sp)
+        skip = F.concat(sp, F.array(span(F.lit("SYMPTOM"), F.lit(0), F.lit(16),
+                                         F.lit("not feeling well"))))
+        compound = F.transform(sp, lambda s, i: F.when(i == first_sym, span(
+            s["label"], s["start"], last_sym_end,
+            F.substring(t, s["start"] + 1, last_sym_end - s["start"]))).otherwise(s))
+        return (F.when(m == 1, moved).when(m == 2, timed).when(m == 3, dropped)
+                 .when(m == 4, overlap).when(m == 5, skip).when(m == 6, compound)
+                 .otherwise(sp))
+    return let(build, spans, F.coalesce(text, F.lit("")))
+
+
 # ---------------------------------------------------------------- shared Spark plans
 
 def annotated_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +79,7 @@ def annotated_reports(spark: SparkSession, sf: str) -> DataFrame:
     r = T.reports(spark, sf).select("VAERS_ID", F.coalesce(F.col("SYMPTOM_TEXT"), F.lit("")).alias("text"))
     r = with_evaluated(r, "gold", A.mention_spans(F.col("text"), ANNOTATION_RULES))
     return r.select("VAERS_ID", "text", "gold",
-                    A.corrupt_annotations(F.col("VAERS_ID"), F.col("text"), F.col("gold")).alias("spans"))
+                    corrupt_annotations(F.col("VAERS_ID"), F.col("text"), F.col("gold")).alias("spans"))
 
 
 def annotation_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pvlens.sources import tables as TB
 
 def _write_parts(spark: SparkSession, sf: str) -> str:
     """K1: the three report parts as CSV, one folder per part, partitioned by
-    year (latin-1, as the original files are)."""
+    year."""
     base = scratch_path(spark, "parts")
     IO.write_report_parts({
         "DATA": TB.reports(spark, sf),
@@ -52,21 +52,20 @@ def _prepared(spark: SparkSession, sf: str) -> dict[str, str]:
 @register("preparation_outputs", ORACLES["preparation_summary"])
 def q_preparation_outputs(spark, sf):
     """R3 end to end: the summary record (K7) read back from its JSON sink,
-    as (metric, value) rows."""
+    as (metric, value) rows (the list of entity types by its length)."""
     paths = _prepared(spark, sf)
     s = spark.read.schema("total_records long, candidate_descriptions long, "
                           "labeled_severity_examples long, unique_symptoms long, "
-                          "entity_types long").json(paths["summary"])
+                          "entity_types array<string>").json(paths["summary"])
+    s = s.withColumn("entity_types", F.size("entity_types").cast("long"))
     return s.unpivot([], ["total_records", "candidate_descriptions", "labeled_severity_examples",
                           "unique_symptoms", "entity_types"], "metric", "value")
 
 
-@register("ranked_symptoms_file", ORACLES["symptom_frequency"])
+@register("ranked_symptoms_file", f"SELECT symptom FROM ({ORACLES['symptom_frequency']})")
 def q_ranked_symptoms_file(spark, sf):
     """The ranked symptom list read back from its CSV sink."""
-    paths = _prepared(spark, sf)
-    return IO.read_csv_raw(spark, paths["symptoms"], ["symptom", "n_docs"]).select(
-        "symptom", F.col("n_docs").cast("long").alias("n_docs"))
+    return IO.read_csv_raw(spark, _prepared(spark, sf)["symptoms"], ["symptom"])
 
 
 EXPORT_SCHEMA = T.StructType([T.StructField("VAERS_ID", T.LongType())] + IO.ANNOTATION_SCHEMA.fields)

@@ -322,4 +322,4 @@ WINDOW w AS (ORDER BY {order} {_W})""",
 @register("clean_blend", _clean_sql())
 def q_clean_blend(spark, sf):
     """R1 + R2: the blended reports through the whole clean job."""
-    return C.clean_reports(blended(spark, sf), _CLEAN_ORDER)
+    return C.clean_blend(T.reports(spark, sf), T.report_symptoms(spark, sf), T.report_vax(spark, sf))

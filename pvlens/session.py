@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every pvlens job expects; cluster launchers may override any of them.
 DEFAULT_CONF = {
@@ -47,7 +49,8 @@ EXCLUDED_RULES = ["org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGener
 
 
 def tune_session(spark: SparkSession) -> None:
-    """Runtime SQL settings the pvlens plans rely on (safe to call often)."""
+    """Settings of a session that pvlens builds itself; a caller's session is
+    left as it is (results do not depend on them)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = "spark.sql.optimizer.excludedRules"
     current = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
@@ -57,8 +60,11 @@ def tune_session(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only when
-    the session has none configured (local runs and tests)."""
+    """The shared checkpoint folder of the session (``spark.checkpoint.dir``).
+
+    Only a local session, whose driver and tasks are one process, may do
+    without: it gets a temporary folder. On a cluster a folder of one machine
+    would be lost to the others, so an unset folder is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -66,6 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="pvlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -75,6 +83,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for job outputs that
     must be re-read (sinks, stream sources, lineage cuts)."""
     base = checkpoint_dir(spark)
-    import uuid
-
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again:
+    its lineage is cut and an executor that is lost takes nothing with it. The
+    shuffle files of the write are dropped when it ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,17 +1,20 @@
 """File sources and sinks (S1-S8, K1-K8, SC15).
 
-Layout written and read here: ``{base}/{ROLE}/year=YYYY/part-*.csv`` — one
-folder per report part, partitioned by year, so a year filter prunes whole
-folders and every part is one parallel multi-file scan. The original yearly
-``{year}...Data/{year}...{ROLE}.csv`` naming is understood by
-:func:`classify_files` as well.
+Two layouts are read: the original yearly folders
+``{year}...Data/{year}...{ROLE}.csv`` and ``{base}/{ROLE}/year=YYYY/part-*.csv``,
+one folder per report part partitioned by year, as written here. Files are
+listed and classified first, so only the files of wanted years are opened, and
+columns are bound by each file's own header.
 """
 
 from __future__ import annotations
 
+import csv
 import os
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,18 +71,68 @@ def classify_files(files: DataFrame) -> DataFrame:
                         year.alias("year"), role_of(key).alias("role"))
 
 
+def file_report(classified: DataFrame) -> DataFrame:
+    """S3: the files that no blend can use, with the reason: ``stray`` (no part
+    of a report), ``no year``, or ``doubled`` (a second file of the same part and
+    year in the yearly layout, where a part is one file)."""
+    yearly = F.col("folder") != ""
+    first = F.min("key").over(Window.partitionBy("year", "role", yearly))
+    problem = (F.when(F.col("role") == "OTHER", F.lit("stray"))
+                .when(F.col("year") == "", F.lit("no year"))
+                .when(yearly & (F.col("key") != first), F.lit("doubled")))
+    return classified.select("path", "year", "role", problem.alias("problem")).where("problem is not null")
+
+
 # ---------------------------------------------------------------- CSV (S2, S4, SC15, K1-K3, K8)
 
+def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, ...]:
+    """Column names of a CSV file: its first line, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), encoding))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), ()))
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], columns: list[str],
+                   encoding: str = "UTF-8") -> DataFrame:
+    """``columns`` of CSV files as text, by name, with the file's path as
+    ``_path``; SC15 null tokens -> null.
+
+    The first line of each file is read on the driver (one open for each file);
+    files with the same header are one multi-file scan. A file that lacks a
+    column is an error; further columns are not read. Multi-line quoted
+    narratives are understood, which makes a file one task: convert large files
+    to Parquet once."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda p: read_header(spark, p, encoding), paths))
+    for path, header in zip(paths, headers):
+        missing = [c for c in columns if c not in header]
+        if missing:
+            raise ValueError(f"{path}: no columns {missing}")
+        groups.setdefault(header, []).append(path)
+    frames = []
+    for header, files in sorted(groups.items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).schema(schema).csv(files)
+        frames.append(raw.select(*[null_tokens_to_null(F.col(f"`{c}`"), NULL_TOKENS).alias(c)
+                                   for c in columns], F.col("_metadata.file_path").alias("_path")))
+    if not frames:
+        return spark.createDataFrame([], T.StructType(
+            [T.StructField(c, T.StringType()) for c in [*columns, "_path"]]))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_csv_raw(spark: SparkSession, path: str, columns: list[str],
-                 encoding: str = "UTF-8", partition_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Every column as text (no inference pass), multi-line quoted
-    narratives, then SC15 null tokens -> null. Partition columns (taken
-    from folder names) are passed through untouched, so filters on them
-    stay partition filters and prune folders."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).schema(schema).csv(path)
-    return df.select(*[F.col(f"`{c}`") if c in partition_columns else
-                       null_tokens_to_null(F.col(f"`{c}`"), NULL_TOKENS).alias(c) for c in columns])
+                 encoding: str = "UTF-8") -> DataFrame:
+    """``columns`` of all CSV files under ``path`` as text, by name."""
+    paths = [r["path"] for r in list_files(spark, path).collect()]
+    return read_csv_files(spark, sorted(paths), columns, encoding).drop("_path")
 
 
 def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -92,14 +145,24 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+YEAR_IN_PATH = r"/year=(\d{4})/|/(\d{4})[^/]*Data/"
+
+
 def read_report_part(spark: SparkSession, base: str, role: str, schema: T.StructType,
-                     encoding: str = "ISO-8859-1") -> DataFrame:
-    """One part of every year, typed, with its ``year`` partition column
-    (taken from the folder name; a year filter prunes folders)."""
-    fields = [f for f in schema.fields if f.name != "year"] + [T.StructField("year", T.StringType())]
-    raw = read_csv_raw(spark, os.path.join(base, role), [f.name for f in fields], encoding,
-                       partition_columns=("year",))
-    return apply_schema(raw, T.StructType(fields))
+                     encoding: str = "ISO-8859-1", years: list[str] | None = None,
+                     files: list[Row] | None = None) -> DataFrame:
+    """One part of all (or the given) years, typed, with its ``year`` taken
+    from the path. ``files`` are rows of :func:`classify_files`, if at hand."""
+    if files is None:
+        files = classify_files(list_files(spark, base)).collect()
+    paths = sorted(f["path"] for f in files if f["role"] == role and f["year"] != ""
+                   and (years is None or f["year"] in years))
+    fields = [f for f in schema.fields if f.name != "year"]
+    raw = read_csv_files(spark, paths, [f.name for f in fields], encoding)
+    year = F.concat(F.regexp_extract("_path", YEAR_IN_PATH, 1), F.regexp_extract("_path", YEAR_IN_PATH, 2))
+    typed = apply_schema(raw.withColumn("year", year),
+                         T.StructType([*fields, T.StructField("year", T.StringType())]))
+    return typed
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -113,13 +176,26 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def write_report_parts(parts: dict[str, DataFrame], base: str, encoding: str = "ISO-8859-1") -> str:
-    """K1: each part partitioned by year under ``{base}/{ROLE}``."""
+def write_report_parts(parts: dict[str, DataFrame], base: str, encoding: str = "UTF-8") -> str:
+    """K1: each part partitioned by year under ``{base}/{ROLE}``. A narrower
+    encoding replaces what it lacks; only UTF-8 keeps every text."""
     for role, df in parts.items():
         write_csv(df, os.path.join(base, role), ["year"], encoding=encoding)
     return base
 
 
+def write_yearly_files(parts: dict[str, DataFrame], base: str, years: list[str],
+                       name: str = "VAERS", encoding: str = "UTF-8") -> str:
+    """K1 in the original layout: ``{base}/{year}{name}Data/{year}{name}{ROLE}.csv``,
+    each a folder of part files; one write for each year and part."""
+    for role, df in parts.items():
+        for year in years:
+            write_csv(df.where(F.col("year") == year).drop("year"),
+                      os.path.join(base, f"{year}{name}Data", f"{year}{name}{role}.csv"),
+                      encoding=encoding)
+    return base
+
+
 # ---------------------------------------------------------------- text / JSON
 
 def strip_unicode(c: Column) -> Column:
@@ -138,12 +214,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def load_symptom_dictionary(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(term, priority) from a one-term-per-line file when it exists,
-    else the built-in list. Priority keeps the alternation order."""
+    else the built-in list. Terms match in any case and are kept in lower
+    case, each once; priority keeps the alternation order."""
     if path and _exists(spark, path):
         lines = read_lines(spark, path)
-        return lines.select(F.col("text").alias("term"), F.col("line_no").alias("priority"))
-    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(DEFAULT_SYMPTOMS)],
-                                 "term string, priority int")
+        return lines.groupBy(F.lower("text").alias("term")).agg(F.min("line_no").alias("priority"))
+    return spark.createDataFrame([(t.lower(), i + 1) for i, t in enumerate(DEFAULT_SYMPTOMS)],
+                                 "term string, priority long")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -180,8 +257,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_ranked(df: DataFrame, path: str, order: list[Column]) -> str:
-    """K4: globally sorted output (range-partitioned sort; part files are in
-    order)."""
-    df.orderBy(*order).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_ranked(df: DataFrame, path: str, order: list[Column], columns: list[str]) -> str:
+    """K4: ``columns`` in global ``order`` (range-partitioned sort; part files
+    are in order)."""
+    df.orderBy(*order).select(*columns).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path

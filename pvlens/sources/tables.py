@@ -30,34 +30,8 @@ VAX_TYPES = ["COVID19", "FLU4", "VARZOS"]
 VAX_MANUS = ["MODERNA", "PFIZER", "JANSSEN", None]
 
 
-# Hash keys used to spread a table whose scan yields too few splits.
-SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id",
-               "customer": "c_custkey", "part": "p_partkey", "events": "event_id",
-               "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Give a scan at least the session's parallelism.
-
-    A Parquet file is split by row group; a file written as one row group is
-    read by ONE task however large it is, and every row-local text function
-    after it runs serially. When the scan has fewer splits than the session
-    can run at once, hash-partition on the table key (deterministic, and the
-    same key the report joins use). On a cluster reading many files the scan
-    already has thousands of splits and this is a no-op."""
-    if key is None:
-        return df
-    spark = df.sparkSession
-    want = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    want = min(want, spark.sparkContext.defaultParallelism * 2)
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, F.col(key))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, SPREAD_KEYS.get(name))
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _lit(v):
@@ -163,6 +137,64 @@ def with_year(df: DataFrame, key: str = "VAERS_ID") -> DataFrame:
     return df.withColumn("year", (F.lit(2020) + F.col(key) % 6).cast("string"))
 
 
+# FIXED VALUES: pools of the further report columns, in the order of their parts
+EXTRA_DATA = {"ONSET_DATE": ["01/02/2021", None, "03/04/2022"], "V_ADMINBY": ["PVT", "PUB", "UNK", None],
+              "HISTORY": ["asthma", None, "none, known", "NA"], "ALLERGIES": ["nuts", None, 'says "milk"'],
+              "FORM_VERS": ["1", "2"]}
+EXTRA_SYMPTOMS = {"SYMPTOMVERSION1": ["24.1", "25.0", None], "SYMPTOMVERSION2": ["24.1", None],
+                  "SYMPTOM3": ["fatigue", None, "chills"], "SYMPTOMVERSION3": ["25.1", None, None]}
+EXTRA_VAX = {"VAX_LOT": ["EN6201", None, "039K20A"], "VAX_DOSE_SERIES": ["1", "2", "UNK"],
+             "VAX_ROUTE": ["IM", None, "SYR"], "VAX_SITE": ["LA", "RA", None],
+             "VAX_NAME": ["COVID19 (MODERNA)", "FLU (FLUZONE)", None]}
+EXTRA_TYPES = {"FORM_VERS": "int", "SYMPTOMVERSION1": "double", "SYMPTOMVERSION2": "double",
+               "SYMPTOMVERSION3": "double"}
+# The year whose VAX part is missing.
+INCOMPLETE_YEAR = "2023"
+
+
+def yearly_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The three parts with every column of the clean job and a ``year``. An id
+    is ``key div 6`` and a year ``2020 + key % 6``, so ids recur in the years; one
+    year has no VAX part."""
+    def yearly(df: DataFrame, key: str) -> DataFrame:
+        k = F.col(key)
+        return df.withColumn("year", (F.lit(2020) + k % 6).cast("string")).withColumn(
+            key, F.floor(k / 6).cast("long"))
+
+    def extra(pools: dict[str, list], key: Column) -> list[Column]:
+        return [pick(v, key).cast(EXTRA_TYPES.get(c, "string")).alias(c) for c, v in pools.items()]
+    data = reports(spark, sf_dir).select("*", *extra(EXTRA_DATA, F.col("VAERS_ID")))
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    k, p, u = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    symptoms = li.select(k.alias("VAERS_ID"), pick(SY, p).alias("SYMPTOM1"),
+                         pick(SY + [None, None], u).alias("SYMPTOM2"), *extra(EXTRA_SYMPTOMS, p))
+    vax = li.select(k.alias("VAERS_ID"), F.col("l_linenumber").cast("int").alias("ORDER"),
+                    pick(VAX_TYPES, p).alias("VAX_TYPE"), pick(VAX_MANUS, u).alias("VAX_MANU"),
+                    *extra(EXTRA_VAX, u))
+    return {"DATA": yearly(data.drop("year"), "VAERS_ID"), "SYMPTOMS": yearly(symptoms, "VAERS_ID"),
+            "VAX": yearly(vax, "VAERS_ID").where(F.col("year") != INCOMPLETE_YEAR)}
+
+
+def _extra_sql(pools: dict[str, list], key: str) -> str:
+    return ", ".join(f"CAST({pick_sql(v, key)} AS {EXTRA_TYPES.get(c, 'varchar')}) AS {c}"
+                     for c, v in pools.items())
+
+
+_YEARLY = "CAST(2020 + {k} % 6 AS VARCHAR) AS year, {k} // 6 AS VAERS_ID"
+YEARLY_SQL = f"""y_data AS (
+  SELECT {_YEARLY.format(k='r.VAERS_ID')}, STATE, AGE_YRS, SEX, RECOVD, NUMDAYS, VAX_DATE, SYMPTOM_TEXT,
+         {_extra_sql(EXTRA_DATA, 'VAERS_ID')} FROM reports r),
+y_symptoms AS (
+  SELECT {_YEARLY.format(k='l_orderkey')}, {pick_sql(SY, 'l_partkey')} AS SYMPTOM1,
+         {pick_sql(SY + [None, None], 'l_suppkey')} AS SYMPTOM2, {_extra_sql(EXTRA_SYMPTOMS, 'l_partkey')}
+  FROM lineitem),
+y_vax AS (
+  SELECT {_YEARLY.format(k='l_orderkey')}, CAST(l_linenumber AS INTEGER) AS "ORDER",
+         {pick_sql(VAX_TYPES, 'l_partkey')} AS VAX_TYPE, {pick_sql(VAX_MANUS, 'l_suppkey')} AS VAX_MANU,
+         {_extra_sql(EXTRA_VAX, 'l_suppkey')}
+  FROM lineitem WHERE 2020 + l_orderkey % 6 <> {INCOMPLETE_YEAR})"""
+
+
 REPORT_COLUMNS = ["VAERS_ID", "year", "STATE", "AGE_YRS", "SEX", "RECOVD", "NUMDAYS",
                   "VAX_DATE", "SYMPTOM_TEXT"]
 NUMERIC_REPORT_COLUMNS = {"VAERS_ID", "AGE_YRS", "NUMDAYS", "ORDER"}

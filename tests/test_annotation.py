@@ -85,3 +85,46 @@ def test_gold_mentions_cover_rules(spark, sf):
     a = annotated_reports(spark, sf)
     gold = a.select(F.explode("gold").alias("s")).select("s.label").distinct().collect()
     assert {r["label"] for r in gold} <= {t for t, _ in ANNOTATION_RULES}
+
+
+def tags_by_hand(text, spans):
+    tags = ["O"] * len(text)
+    for label, start, end in spans:
+        if start is None or end is None:
+            continue
+        for i in range(max(start, 0), min(max(end, start + 1), len(text))):
+            if i == start or i < min(end, len(text)):
+                tags[i] = ("B-" if i == start else "I-") + label
+    return tags
+
+
+def test_bio_tags_of_random_spans(spark):
+    """Overlapping, empty, late and unbounded spans against a loop over them."""
+    import random
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        text = "x" * rng.randint(0, 40)
+        spans = [(rng.choice("AB"), rng.choice([None, *range(-2, 45)]), rng.choice([None, *range(0, 60)]))
+                 for _ in range(rng.randint(0, 8))]
+        rows.append((n, text, spans))
+    df = spark.createDataFrame(rows, "n int, text string, spans array<struct<label:string,start:int,end:int>>")
+    got = {r["n"]: r["tags"] for r in df.select("n", A.bio_tags(F.col("text"), F.col("spans")).alias("tags")).collect()}
+    assert got == {n: tags_by_hand(t, s) for n, t, s in rows}
+
+
+def test_bio_tags_of_many_spans_are_quick(spark):
+    import time
+    spans = [("S", 10 * i, 10 * i + 7) for i in range(4000)]
+    df = spark.createDataFrame([("y" * 40_000, spans)], "text string, spans array<struct<label:string,start:int,end:int>>")
+    out = df.select(F.size(A.bio_tags(F.col("text"), F.col("spans"))).alias("n"))
+    out.collect()
+    began = time.time()
+    assert out.collect()[0]["n"] == 40_000
+    assert time.time() - began < 5
+
+
+def test_span_text_where_lower_case_is_longer(spark):
+    df = spark.createDataFrame([("\u0130\u0130 Fever",)], "t string")
+    got = df.select(A.mention_spans(F.col("t"), [("SYMPTOM", "fever")]).alias("s")).first()["s"]
+    assert [(x["start"], x["end"], x["text"]) for x in got] == [(3, 8, "Fever")]

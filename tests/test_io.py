@@ -3,6 +3,7 @@ dictionary and line files, JSON sinks."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,14 +21,53 @@ def test_csv_round_trip_keeps_quotes_newlines_spaces(spark):
     df = spark.createDataFrame(data, SCHEMA)
     base = scratch_path(spark, "csv")
     IO.write_report_parts({"DATA": df}, base)
-    back = IO.read_report_part(spark, base, "DATA", SCHEMA).orderBy("VAERS_ID").collect()
+    back = IO.read_report_part(spark, base, "DATA", SCHEMA, "UTF-8").orderBy("VAERS_ID").collect()
     assert back[0]["SYMPTOM_TEXT"] == data[0][3]
     assert back[0]["AGE_YRS"] == 3.5 and back[0]["year"] == "2021"
     assert back[1]["SYMPTOM_TEXT"] is None and back[1]["AGE_YRS"] is None
     assert back[2]["SYMPTOM_TEXT"] is None  # 'NA' is a null token
-    # a year filter prunes folders
-    plan = IO.read_report_part(spark, base, "DATA", SCHEMA).filter(F.col("year") == "2022")
-    assert "PartitionFilters: [isnotnull(year" in plan._jdf.queryExecution().executedPlan().toString()
+    # years that are not asked for are not opened
+    only = IO.read_report_part(spark, base, "DATA", SCHEMA, "UTF-8", years=["2022"])
+    assert [r["VAERS_ID"] for r in only.collect()] == [3] and len(only.inputFiles()) == 1
+
+
+def test_columns_are_bound_by_header(spark):
+    base = scratch_path(spark, "header")
+    row = spark.createDataFrame([("CA", 7, "it’s 日本 – ok")], "STATE string, VAERS_ID long, SYMPTOM_TEXT string")
+    IO.write_csv(row, base + "/a.csv")
+    IO.write_csv(row.select("SYMPTOM_TEXT", "VAERS_ID", F.lit(1).alias("more"), "STATE"), base + "/b.csv")
+    got = IO.read_csv_raw(spark, base, ["VAERS_ID", "STATE", "SYMPTOM_TEXT"]).collect()
+    assert [tuple(r) for r in got] == [("7", "CA", "it’s 日本 – ok")] * 2
+    with pytest.raises(ValueError, match="no columns"):
+        IO.read_csv_raw(spark, base, ["VAERS_ID", "more"])
+
+
+def test_two_files_for_one_part_are_an_error(spark):
+    from pvlens.plans.jobs import read_complete_parts
+    base = scratch_path(spark, "doubled")
+    row = spark.createDataFrame([(1,)], "VAERS_ID long")
+    for name in ("2021VAERSVAX.csv", "2021oldVAX.csv"):
+        IO.write_csv(row, f"{base}/2021VAERSData/{name}")
+    with pytest.raises(ValueError, match="more than one file"):
+        read_complete_parts(spark, base)
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    from pvlens.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)
 
 
 def test_classify_yearly_folders(spark):

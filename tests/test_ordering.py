@@ -10,7 +10,7 @@ from pvlens.sources import tables as T
 
 def test_row_index_ranges_equals_window(spark, sf):
     r = T.reports(spark, sf).select("VAERS_ID")
-    a = with_row_index(r, ["VAERS_ID"], num_buckets=5).collect()
+    a = with_row_index(r, ["VAERS_ID"], num_ranges=5).collect()
     b = with_row_index(r, ["VAERS_ID"], method="window").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     idx = sorted(x["row_idx"] for x in a)
@@ -20,7 +20,7 @@ def test_row_index_ranges_equals_window(spark, sf):
 def test_forward_fill_ranges_equals_window(spark, sf):
     r = T.reports(spark, sf).select("VAERS_ID", "AGE_YRS", "RECOVD", "SYMPTOM_TEXT")
     cols = ["AGE_YRS", "RECOVD", "SYMPTOM_TEXT"]
-    a = forward_fill(r, cols, ["VAERS_ID"], num_buckets=7).orderBy("VAERS_ID").collect()
+    a = forward_fill(r, cols, ["VAERS_ID"], num_ranges=7).orderBy("VAERS_ID").collect()
     b = forward_fill(r, cols, ["VAERS_ID"], method="window").orderBy("VAERS_ID").collect()
     assert a == b
     # the first rows' leading nulls stay null; later nulls are filled
@@ -29,14 +29,14 @@ def test_forward_fill_ranges_equals_window(spark, sf):
 
 def test_forward_fill_then_constant(spark):
     df = spark.createDataFrame([(1, None), (2, "Y"), (3, None)], "k long, v string")
-    got = forward_fill_then(df, "v", "U", ["k"], num_buckets=2).orderBy("k").collect()
+    got = forward_fill_then(df, "v", "U", ["k"], num_ranges=2).orderBy("k").collect()
     assert [x["v"] for x in got] == ["U", "Y", "Y"]
 
 
 def test_hash_split_exact_and_disjoint(spark, sf):
     r = T.reports(spark, sf).select("VAERS_ID")
     n = r.count()
-    s = hash_split(r, "VAERS_ID", num_buckets=4)
+    s = hash_split(r, "VAERS_ID", num_ranges=4)
     train = s.filter(F.col("split") == "train")
     assert train.count() == round(0.8 * n)
     val = complement(r, train, ["VAERS_ID"])
@@ -46,7 +46,7 @@ def test_hash_split_exact_and_disjoint(spark, sf):
 
 def test_positional_split(spark):
     df = spark.range(0, 11).withColumnRenamed("id", "k")
-    s = positional_split(df, ["k"], num_buckets=3).orderBy("k").collect()
+    s = positional_split(df, ["k"], num_ranges=3).orderBy("k").collect()
     assert [x["split"] for x in s] == ["train"] * 8 + ["validation"] * 3
 
 
@@ -55,3 +55,30 @@ def test_fixed_sample_is_deterministic(spark, sf):
     a = [x["VAERS_ID"] for x in fixed_sample(r, "VAERS_ID", 25).collect()]
     b = [x["VAERS_ID"] for x in fixed_sample(r, "VAERS_ID", 25).collect()]
     assert a == b and len(set(a)) == 25
+
+
+def test_ranges_are_even(spark):
+    """One range to a task, and none much larger than the rest."""
+    from pvlens.operators.ordering import find_ranges
+    df = spark.range(0, 20_000, 1, 4).select((F.col("id") * 7919 % 20_000).alias("k"))
+    ranges = find_ranges(df, ["k"], 16)
+    dealt = ranges.deal(df).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    sizes = [r["count"] for r in dealt]
+    assert sum(sizes) == 20_000 and len(sizes) == len(ranges.last) >= 14
+    assert max(sizes) <= 1.5 * 20_000 / len(sizes)
+    plan = with_row_index(df, ["k"], num_ranges=16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not [t for t in spark.catalog.listTables() if "pv_" in t.name]
+
+
+def test_ranges_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (3, None), (3, 4), (1, 9)] * 1, "a int, b int")
+    got = with_row_index(df, ["a", "b"], num_ranges=3).orderBy("row_idx").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(None, 1), (None, 2), (1, 9), (3, None), (3, 4)]
+    empty = df.where("a > 5")
+    assert with_row_index(empty, ["a"]).count() == 0
+    assert positional_split(empty, ["a"]).count() == 0
+    assert forward_fill(empty, ["b"], ["a"]).count() == 0
+
+
+def test_sample_has_no_page_limit(spark):
+    assert fixed_sample(spark.range(500).withColumnRenamed("id", "k"), "k", 300).count() == 300

@@ -67,3 +67,23 @@ def test_ngram_join_equals_alternation(spark, sf):
     join = extract_symptoms_join(names, "t", ["p_partkey"], dictionary_frame(spark, terms))
     a = sorted(map(tuple, alt.collect()))
     assert a and a == sorted(map(tuple, join.collect()))
+
+
+def test_stringify_as_str(spark):
+    from pvlens.functions.text import stringify
+    values = [0.0, 1.0, -2.5, 1e10, 1.5e15, 1e16, 123456789012345680.0, 0.0001, 0.00012, 1e-5, -3.25e-7, 1e300,
+              float("nan"), float("inf"), float("-inf"), 0.1, 12345678.9, 1e7, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(stringify(F.col("v"), "double")).collect()]
+    assert got == ["nan" if v is None else str(v) for v in values]
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert [r[0] for r in flags.select(stringify(F.col("b"), "boolean")).collect()] == ["True", "False", "nan"]
+
+
+def test_dictionary_terms_match_in_any_case(spark):
+    from pvlens.operators.symptoms import dictionary_frame, extract_symptoms_join
+    terms = ["Rash", "Chest PAIN", "rash"]
+    df = spark.createDataFrame([(1, "a RASH and chest pain")], "k int, t string")
+    found = extract_symptoms_join(df, "t", ["k"], dictionary_frame(spark, terms))
+    assert sorted(r["symptom"] for r in found.collect()) == ["chest pain", "rash"]
+    assert df.select(extract_symptoms(F.col("t"), terms)).first()[0] == ["chest pain", "rash"]
