@@ -18,30 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pvlens.session import scratch_path
+from pvlens.session import written  # noqa: F401  (general helper that the operators share)
 
 # Text bytes that a Python task looks at together.
 BLOCK_BYTES = 8 << 20
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read again:
-    its lineage is cut and an executor that is lost takes nothing with it. The
-    shuffle files of the write are dropped when it ends."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one hold about ``block_bytes``

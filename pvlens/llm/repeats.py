@@ -195,20 +195,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     place = "ord long, hash long, start int, count int"
     anchors = written(rows.select("ord", "hash", "text").mapInArrow(
         lambda b: _anchors(b, size), f"name long, span long, {place}"), "anchors")
-    names = anchors.groupBy("name").agg(
+    # what is joined back is a table of its own: both sides of the join are then
+    # shuffled for it, and AQE may split a name that a third of all anchors have
+    names = written(anchors.groupBy("name").agg(
         F.min("ord").alias("least"), F.max("ord").alias("greatest"),
         (F.min("span") == F.max("span")).alias("one_span"))
-    shared = written(anchors.join(
-        names.where("least < greatest").select("name", "least", "one_span"), "name"), "shared-anchors")
-    spans = shared.where("not one_span").groupBy("name", "span").agg(F.min("ord").alias("first"))
+        .where("least < greatest").select("name", "least", "one_span"), "shared-names")
+    shared = written(anchors.join(names, "name"), "shared-anchors")
+    spans = written(shared.where("not one_span").groupBy("name", "span").agg(
+        F.min("ord").alias("first")), "spans")
     several = written(shared.where("not one_span").drop("least", "one_span").join(
         spans, ["name", "span"]).drop("name", "span"), "span-anchors")
     open_ = several.where("first = ord").groupBy("ord", "hash").agg(
         F.collect_set(F.struct("start", "count")).alias("ranges"))
     found = written(rows.select("ord", "hash", "text").join(open_, ["ord", "hash"]).mapInArrow(
         lambda b: _windows(b, size), "h1 long, h2 long, ord long, hash long, start int"), "windows")
-    least = found.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("greatest"))
-    repeated = found.join(least.where("first < greatest").select("h1", "h2", "first"), ["h1", "h2"])
+    least = written(found.groupBy("h1", "h2").agg(
+        F.min("ord").alias("first"), F.max("ord").alias("greatest"))
+        .where("first < greatest").select("h1", "h2", "first"), "repeated-windows")
+    repeated = found.join(least, ["h1", "h2"])
     columns = ["ord", "hash", "start", "count"]
     covered = (shared.where("one_span and least < ord").select(*columns)
                .union(several.where("first < ord").select(*columns))
