@@ -70,7 +70,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``ids`` (little-endian unsigned 32-bit), ``n_tokens`` and
     whether the ids decode to the text's bytes."""
     ship(spark)
-    coded = bpe.decode_documents(bpe.encode_documents(docs, out="ids"), "ids", "_decoded")
+    coded = bpe.encode_documents(docs, out="ids", decoded="_decoded")
     own = [c for c in _columns(docs.drop("ids", "n_tokens", "round_trip"))]
     return coded.select(
         *own, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -37,9 +37,9 @@ from pvlens.llm.common import PieceTable, gathered, schema_with, text_blocks, wi
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Pieces whose ids a worker keeps between blocks.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 # Large enough that a block holds many new pre-tokens for each rank it replays.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -242,22 +242,32 @@ def binary_array(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def encode_documents(docs: DataFrame, text: str = "text", out: str = "ids",
-                     ranks_path: str | None = None,
+                     decoded: str | None = None, ranks_path: str | None = None,
                      pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``docs`` with ``out``: the text's token ids as little-endian unsigned
-    32-bit integers.
+    32-bit integers. With ``decoded``, the ids are also decoded again, in the same
+    task, into a column of that name (see :func:`decode_documents`).
 
-    A null or empty text has no ids. Other columns pass through; one named like
-    ``out`` is replaced. Each row stands alone, so repeated rows repeat their
-    ids and an empty table gives an empty one."""
+    A null or empty text has no ids. Other columns pass through; ones named like
+    the results are replaced. Each row stands alone, so repeated rows repeat
+    their ids and an empty table gives an empty one."""
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches):
         encoder = worker_encoder(path, pattern)
         for block in text_blocks(batches, text, BLOCK_BYTES):
             ids, bounds = encoder.encode(block.column(text).fill_null("").cast(pa.string()))
-            yield with_column(block, out, binary_array(ids, bounds))
-    return docs.mapInArrow(run, schema_with(docs, out, T.BinaryType()))
+            block = with_column(block, out, binary_array(ids, bounds))
+            yield with_column(block, decoded, _decoded(ids, bounds, encoder.ranks)) if decoded else block
+    fields = [f for f in docs.schema.fields if f.name not in (out, decoded)]
+    fields += [T.StructField(n, T.BinaryType()) for n in (out, decoded) if n]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def _decoded(ids: np.ndarray, bounds: np.ndarray, ranks: Ranks) -> pa.Array:
+    token = ranks.bytes.__getitem__
+    return pa.array([b"".join(map(token, ids[a:b].tolist()))
+                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
 
 
 def decode_documents(docs: DataFrame, ids: str = "ids", out: str = "decoded",
@@ -266,18 +276,18 @@ def decode_documents(docs: DataFrame, ids: str = "ids", out: str = "decoded",
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches):
-        token = load_ranks(path).bytes.__getitem__
+        ranks = load_ranks(path)
         for block in text_blocks(batches, ids, BLOCK_BYTES):
-            rows = [b"".join(map(token, np.frombuffer(r, "<u4").tolist()))
-                    for r in block.column(ids).fill_null(b"").to_pylist()]
-            yield with_column(block, out, pa.array(rows, pa.binary()))
+            rows = block.column(ids).fill_null(b"").to_pylist()
+            bounds = np.cumsum([0, *(len(r) // 4 for r in rows)])
+            yield with_column(block, out, _decoded(np.frombuffer(b"".join(rows), "<u4"), bounds, ranks))
     return docs.mapInArrow(run, schema_with(docs, out, T.BinaryType()))
 
 
 @register("op6_byte_bpe")
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs).select("doc_id", "ids"))
+    coded = encode_documents(docs, decoded="decoded")
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
