@@ -14,7 +14,7 @@ ALPHABET = st.sampled_from(list("abcdefghij ") + ["\t", "\n", " ", " ", "\x1c
 TEXTS = st.lists(ALPHABET, max_size=30).map("".join)
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(TEXTS, min_size=40, max_size=40))
 def test_text_functions_match_python(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
