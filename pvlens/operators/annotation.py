@@ -233,6 +233,24 @@ def overlapping_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return with_prev.filter(F.col("prev_max_end") > F.col("start"))
 
 
+def overlaps(spans) -> Column:
+    """Q7a in the row: ``array<struct<ann_idx, start, end, prev_max_end>>`` of the
+    spans that begin before an earlier one (by start, then list index) has
+    ended. A running maximum, no shuffle."""
+    ordered = F.array_sort(F.transform(col_(spans), lambda s, i: F.struct(
+        s["start"].alias("start"), i.alias("ann_idx"), s["end"].alias("end"))))
+    init = F.struct(F.lit(None).cast("int").alias("top"), F.array().cast(
+        "array<struct<ann_idx:int,start:int,end:int,prev_max_end:int>>").alias("found"))
+
+    def step(acc, s):
+        hit = F.struct(s["ann_idx"].alias("ann_idx"), s["start"].alias("start"), s["end"].alias("end"),
+                       acc["top"].alias("prev_max_end"))
+        return F.struct(F.greatest(acc["top"], s["end"]).alias("top"),
+                        F.when(acc["top"] > s["start"], F.array_append(acc["found"], hit))
+                         .otherwise(acc["found"]).alias("found"))
+    return F.aggregate(ordered, init, step, lambda acc: acc["found"])
+
+
 def missing_mentions(expected, annotated) -> Column:
     """Expected (label, start, end) mentions that no annotation has
     (set difference per row)."""

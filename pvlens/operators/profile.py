@@ -7,6 +7,8 @@ aggregation per task) and then unpivoted — never a job per column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -78,21 +80,34 @@ def unique_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Distinct non-null values per column and % of rows. ``approx`` uses
     HyperLogLog sketches (one pass, no row expansion) for wide, huge tables."""
     cols = df.columns
-    fn = (lambda c: F.approx_count_distinct(_c(c))) if approx else (lambda c: F.count_distinct(_c(c)))
-    agg = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[fn(c).alias(f"m{i}") for i, c in enumerate(cols)])
-    out = _long_form(agg, cols, "n_unique")
+    if approx:
+        agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+            F.approx_count_distinct(_c(c)).alias(f"m{i}") for i, c in enumerate(cols)])
+        out = _long_form(agg, cols, "n_unique")
+    else:
+        out = _value_totals(df, cols)
     return out.select("column_name", "n_unique",
                       pct2(F.col("n_unique"), F.col("_rows")).alias("unique_pct"))
 
 
+def _value_totals(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per column: distinct values, whether a null occurs, and rows. Each column
+    is a scan of its own that reads nothing else and shuffles its distinct
+    values, pre-aggregated; counting all at once would copy every row for each
+    column."""
+    def totals(c: str) -> DataFrame:
+        return df.groupBy(_c(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
+            F.count("v").alias("n_unique"), F.coalesce(F.max(F.col("v").isNull()), F.lit(False)).alias("has_null"),
+            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("_rows")).select(
+            F.lit(c).alias("column_name"), "n_unique", "has_null", "_rows")
+    return reduce(DataFrame.union, map(totals, cols))
+
+
 def distinct_with_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``len(unique())`` — distinct values counting null as one."""
     cols = cols or df.columns
-    agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[
-        (F.count_distinct(_c(c)) + F.max(_c(c).isNull().cast("int"))).cast("long").alias(f"m{i}")
-        for i, c in enumerate(cols)])
-    return _long_form(agg, cols, "n_distinct").drop("_rows")
+    return _value_totals(df, cols).select("column_name", (
+        F.col("n_unique") + F.col("has_null").cast("int")).cast("long").alias("n_distinct"))
 
 
 def group_summary(df: DataFrame, key: str) -> DataFrame:

@@ -253,8 +253,7 @@ def q_qa_compound_spans(spark, sf):
   FROM ann_rows) WHERE prev_max_end > start"""))
 def q_qa_overlaps(spark, sf):
     """Spans overlapping an earlier span of the same report."""
-    return A.overlapping_spans(annotation_rows(spark, sf), KEYS).select(
-        "VAERS_ID", "ann_idx", "start", "end", "prev_max_end")
+    return annotated_reports(spark, sf).select("VAERS_ID", F.inline(A.overlaps(F.col("spans"))))
 
 
 @register("qa_missing_mentions", _ann(
