@@ -30,6 +30,8 @@ BITS = 48
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 # Groups whose sketches a task merges at once, and parts that a hot group's are dealt to.
 MERGE_GROUPS, MERGE_SALT = 10_000, 64
+# Quantiles of the keys of this many partitions.
+QUANTILES, SKETCH_FAN_IN = 1000, 64
 
 
 def sketches(texts: list[bytes], k: int = K) -> list[np.ndarray]:
@@ -175,8 +177,13 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))).alias("order"),
                         "key", "text")
+    # quantiles of the quantiles of some partitions each: sketches of bounded size,
+    # of which no task merges many. They only cut the order into even parts.
+    near = keyed.groupBy((F.spark_partition_id() / SKETCH_FAN_IN).cast("int").alias("part")).agg(
+        F.percentile_approx("order", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES).alias("q"))
     shares = [i / parts for i in range(1, parts)]
-    bounds = keyed.agg(F.percentile_approx("order", shares or [0.5], 100_000)).first()[0]
+    bounds = near.select(F.explode("q").alias("order")).agg(
+        F.percentile_approx("order", shares or [0.5], 10 * QUANTILES)).first()[0]
     bounds = np.array(sorted(set(bounds or [])), np.int64)
 
     def bucket_of(order: pd.Series) -> pd.Series:

@@ -248,13 +248,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: each node with many neighbours hands them
     to the least one, pre-aggregated, until nothing changes; every round is a
-    table in the shared folder."""
+    table in the shared folder. The least neighbours are tables too, so both
+    sides of their joins are shuffled for the join and AQE may split the node in
+    the middle of a large star."""
     edges = written(links.where("src != dst").distinct(), "edges")
     last = None
     while True:
         both = edges.union(edges.select("dst", "src"))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select(
-            "src", F.least("src", "m").alias("m"))
+        least = written(both.groupBy("src").agg(F.min("dst").alias("m")).select(
+            "src", F.least("src", "m").alias("m")), "least")
         # large star: larger neighbours go to the least one
         large = both.where("dst > src").join(least, "src").select(
             F.col("dst").alias("src"), F.col("m").alias("dst")).where("src != dst").distinct()
@@ -262,7 +264,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the least one
         low = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low = low.where("src != dst")
-        best = low.groupBy("src").agg(F.min("dst").alias("m"))
+        best = written(low.groupBy("src").agg(F.min("dst").alias("m")), "best")
         small = (low.join(best, "src").select(F.col("dst").alias("a"), "m")
                  .union(best.select(F.col("src").alias("a"), "m"))
                  .where("a != m").distinct().select(F.col("a").alias("src"), F.col("m").alias("dst")))
@@ -295,7 +297,7 @@ def classes(marked: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     grouped = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "key", F.coalesce("root", "fingerprint").alias("root"))
     # one row for each fingerprint; the least key of each component
-    named = grouped.groupBy("root").agg(F.min("key").alias("component"))
+    named = written(grouped.groupBy("root").agg(F.min("key").alias("component")), "components")
     of = written(grouped.join(named, "root").select("fingerprint", "component"), "classes")
     return marked.join(of, "fingerprint").select("key", "fingerprint", "component")
 
