@@ -37,9 +37,9 @@ from pvlens.llm.common import PieceTable, gathered, schema_with, text_blocks, wi
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Pieces whose ids a worker keeps between blocks.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 # Large enough that a block holds many new pre-tokens for each rank it replays.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 NONE = np.int32(2**31 - 1)
 
 

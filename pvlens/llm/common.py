@@ -7,6 +7,7 @@ words are cut in its UTF-8 bytes; a null text is an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pvlens.session import written  # noqa: F401  (general helper that the operators share)
 
 # Text bytes that a Python task looks at together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
@@ -41,6 +42,25 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(row + 1, int(np.searchsorted(ends, before + block_bytes, "right")))
             yield batch.slice(row, stop - row)
             row = stop
+            give_back()
+
+
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # a C library without it
+        return None
+
+
+_TRIM = _trim()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on after a task and
+    would keep their largest block's worth beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

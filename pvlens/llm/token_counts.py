@@ -35,7 +35,7 @@ FREQUENT, FREQUENT_CHARS = 4096, 48
 # Items that a sketch tracks (some 200 KB), and sketches that a task merges at
 # least: partitions / FAN_IN^2 are left for the last merge.
 TRACKED, FAN_IN = 16384, 64
-KEPT_PIECES = 700_000
+KEPT_PIECES = 400_000
 MARK = "▁"
 
 
