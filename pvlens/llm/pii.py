@@ -172,7 +172,7 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by ``[KIND]``; of spans
-    that touch or overlap, one label of the first covers all. A null text stays null."""
+    that overlap, one label of the first covers all. A null text stays null."""
     columns = docs.columns
     marked = find_spans(docs, text, "_pii_spans")
     spans = F.col("_pii_spans")
