@@ -16,6 +16,12 @@ the same rest and fail the same way, so the matches are the leftmost ones while
 a long run costs one pass instead of one for each of its characters. Groups
 repeat possessively: nothing follows them, and the JVM then loops instead of
 recursing through very long matches.
+
+An ``iban`` is no run of its own: the next word may look like its next group.
+Its pattern finds heads (country code and check digits) and looks ahead at what
+follows; of that, the prefix that has the country's length, ends at a word's edge
+and passes mod-97 is the number. Every head is tried, also one behind a head that
+failed.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}(?s:.{0,93})))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ["email", "ip", "card", "phone"]
@@ -56,6 +62,16 @@ CONTEXT_CHARS = 40
 CONTEXT_STEP = 0.3
 KEEP_SCORE = 0.7
 
+# Characters of an account number by country (ISO 13616 registry); a country that
+# is not listed may have 15 to 34.
+IBAN_LENGTH = {c: int(e[:2]) for e in (
+    "15 NO,16 BE,18 DK FI FK FO GL NL SD,19 MK SI,20 AT BA EE KZ LT LU MN XK,21 CH HR LI LV,"
+    "22 BG BH CR DE GB GE IE ME RS VA,23 AE GI IL IQ OM SO TL,24 AD CZ ES MD PK RO SA SE SK TN VG,"
+    "25 LY PT ST,26 IS TR,27 BI DJ FR GR IT MC MR SM,28 AL AZ BY CY DO GT HN HU LB NI PL SV,"
+    "29 BR EG PS QA UA,30 JO KW MU YE,31 MT SC,32 LC,33 RU").split(",") for c in e.split()[1:]}
+# The longest number with a space between any two characters.
+IBAN_SPACED = 67
+
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -84,6 +100,27 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, "(?!$)(?=.)"), F.lit(0), add) == 1
 
 
+def _iban_length(number: Column) -> Column:
+    """Length of the account numbers of a number's country, null if not known."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTH.items() for x in pair])
+    return lengths[F.left(number, F.lit(2))]
+
+
+def iban(ahead: Column) -> Column:
+    """The account number that ``ahead`` begins with, null if there is none. Of a
+    country without a known length the longest that passes is taken."""
+    run = F.length(F.regexp_extract(ahead, "^(?:[A-Z0-9]| (?=[A-Z0-9]))+", 0))
+
+    def passes(n: Column) -> Column:
+        plain = F.length(F.regexp_replace(F.left(ahead, n), " ", ""))
+        return ((F.substring(ahead, n, F.lit(1)) != " ")
+                & ~F.substring(ahead, n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+                & F.coalesce(plain == _iban_length(ahead), plain.between(15, 34))
+                & mod97(F.left(ahead, n)))
+    ends = F.sequence(F.least(run, F.lit(IBAN_SPACED)), F.lit(15), F.lit(-1))
+    return F.left(ahead, F.get(F.filter(ends, passes), F.lit(0)))
+
+
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return ~F.exists(F.split(match, r"\."), lambda p: (
@@ -94,8 +131,6 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(n.between(12, 19), luhn(_digits(match))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        return mod97(match)
     if kind == "ssn":
         return ~(F.substring(match, 1, 3).isin("000", "666") | (F.substring(match, 1, 1) == "9")
                  | (F.substring(match, 5, 2) == "00") | (F.substring(match, 8, 4) == "0000"))
@@ -112,21 +147,37 @@ def _spans_of(kind: str, text: Column) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda a, v: a + v)
 
-    def scored(piece: Column, before: Column, after: Column, start: Column) -> Column:
+    def scored(piece: Column, before: Column, after: Column, start: Column, against=True) -> Column:
         near = F.lower(F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit(" "),
                                 F.left(after, F.lit(CONTEXT_CHARS))))
         score = (F.lit(PRIOR[kind])
                  + F.when(near.rlike(f"\\b(?:{CONTEXT[kind]})"), CONTEXT_STEP).otherwise(0.0)
-                 - F.when(near.rlike(f"\\b(?:{AGAINST})"), CONTEXT_STEP).otherwise(0.0))
+                 - F.when(near.rlike(f"\\b(?:{AGAINST})") & against, CONTEXT_STEP).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"),
                         (start + F.length(piece)).alias("end"),
                         F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
-    def spans(pieces: Column, lengths: Column, chunk: Column, sums: Column) -> Column:
+    def ibans(pieces: Column, aheads: Column, at) -> Column:
+        def before(i: Column) -> Column:  # heads are short: context goes back over several
+            first = F.greatest(i - CONTEXT_CHARS // 2, F.lit(0))
+            return F.array_join(F.transform(F.slice(pieces, first + 1, i - first),
+                                            lambda p: F.right(p, F.lit(CONTEXT_CHARS))), "")
+        numbers = F.filter(F.transform(aheads, lambda a, n: F.struct(
+            (2 * n + 1).alias("i"), a.alias("ahead"), iban(a).alias("number"))),
+            lambda x: x["number"].isNotNull())
+        # length and checksum of a known country outweigh words against it
+        return F.transform(numbers, lambda x: scored(
+            x["number"], before(x["i"]),
+            F.substring(x["ahead"], F.length(x["number"]) + 1, F.lit(CONTEXT_CHARS)),
+            at(x["i"]), _iban_length(x["number"]).isNull()))
+
+    def spans(pieces: Column, lengths: Column, chunk: Column, sums: Column, *aheads: Column) -> Column:
         def at(i: Column) -> Column:
             k = F.floor(i / chunk).cast("int")
             return total(F.slice(sums, F.lit(1), k)) + total(
                 F.slice(lengths, k * chunk + 1, i - k * chunk))
+        if aheads:
+            return ibans(pieces, *aheads, at)
         matches = F.filter(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)),
                            lambda i: _valid(kind, pieces[i]))
         return F.transform(matches, lambda i: scored(pieces[i], pieces[i - 1], pieces[i + 1], at(i)))
@@ -135,7 +186,8 @@ def _spans_of(kind: str, text: Column) -> Column:
         sums = F.transform(
             F.sequence(F.lit(0), F.floor(F.size(pieces) / chunk).cast("int")),
             lambda k: total(F.slice(lengths, k * chunk + 1, chunk)))
-        return let(spans, pieces, lengths, chunk, sums)
+        aheads = [F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))] if kind == "iban" else []
+        return let(spans, pieces, lengths, chunk, sums, *aheads)
 
     def located(pieces: Column) -> Column:
         return F.when(F.size(pieces) >= 3, let(

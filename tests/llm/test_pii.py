@@ -74,6 +74,23 @@ def test_method_kinds(spark):
     assert [k for k in KINDS if k not in BASE] == ["iban", "ssn"]
 
 
+def test_ibans_before_words_and_digits(spark):
+    de, gb, mt = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    unknown = "ZZ33 1234 5678 9012 345"  # no country of the registry
+    cases = [(f"IBAN {de} Bitte zahlen", [de]), ("IBAN: DE89370400440532013000 BIC COBADEFFXXX", [de.replace(" ", "")]),
+             (f"bank account {gb} Please", [gb]), (f"{de} 2024 end", [de]), (f"{de} 2 {gb} X", [de, gb]),
+             (f"REF AB12 3456 7890 {de} BIC", [de]), (f"\U0001F600 é {mt} OK", [mt]), (f"{mt} {de} {mt}", [mt, de, mt]),
+             (f"order 7, invoice serial {de} Bitte", [de]), (f"iban {unknown} ABC", [unknown]),
+             (f"serial {unknown} ABC", []), (f"{de}1", []), (f"x{de}", []), ("DE89 3704 0044 0532 0130 01 Bitte", []),
+             ("AB12 " * 3000 + de, [de]), (f"{de} " * 500, [de] * 500)]
+    rows = find_spans(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "n int, text string"))
+    got = [[t[s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"]
+           for r, (t, _) in zip(rows.orderBy("n").collect(), cases)]
+    assert got == [found for _, found in cases]
+    one = spark.createDataFrame([(f"IBAN {de} Bitte",)], "text string")
+    assert redact(one).first()["text"] == "IBAN [IBAN] Bitte"
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "mail x@y.org, 10.0.0.1 end"), (2, None), (3, ""), (4, "+1.1.1.1.1.1.1.1.1 é")],
                                  "n int, text string")
