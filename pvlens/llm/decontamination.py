@@ -19,6 +19,9 @@ shards of at most ``SHARD_ROWS`` pieces, which bounds a shard to
 ``SHARD_ROWS * PIECE`` postings and a block table of some 20 MB. Shards go to the
 tasks one after the other; document frequencies are those of all pieces. No
 document leaves its row: nothing is shuffled.
+
+An item is a pair of ``item_id`` and text, known by a hash of both: ids may
+repeat or be null and are only carried to the result.
 """
 
 from __future__ import annotations
@@ -50,6 +53,9 @@ LEAKS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())]))
 
+# Between shards a hit carries its item's key.
+KEYED = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), *LEAKS.elementType.fields]))
+
 
 def term(word: str) -> str:
     """A word as it is indexed: lower case, without marks at its ends."""
@@ -85,14 +91,15 @@ class Index:
     impacts: np.ndarray
     greatest: np.ndarray
     in_block: np.ndarray  # term x block
-    item: list[int]  # of each piece
-    questions: dict[int, tuple[set, set]] = field(default_factory=dict)
+    item: list[tuple[int | None, str]]  # of each piece: id and key
+    questions: dict[str, tuple[set, set]] = field(default_factory=dict)  # by key
     longest: int = PIECE
 
 
-def build(rows: list[tuple[int, list[str]]], texts: dict[int, str], frequency: dict[str, int],
-          n_pieces: int, mean_length: float) -> Index:
-    """Index of pieces (item, terms); ``frequency`` and the two totals are of all pieces."""
+def build(rows: list[tuple[tuple[int | None, str], list[str]]], texts: dict[str, str],
+          frequency: dict[str, int], n_pieces: int, mean_length: float) -> Index:
+    """Index of pieces ((item, key), terms) and of texts by key; ``frequency`` and
+    the two totals are of all pieces."""
     number = {t: i for i, t in enumerate(sorted({t for _, ts in rows for t in ts}))}
     found = []
     for p, (_, ts) in enumerate(rows):
@@ -113,9 +120,9 @@ def build(rows: list[tuple[int, list[str]]], texts: dict[int, str], frequency: d
     np.maximum.at(in_block, (term_of, pieces // BLOCK), np.nextafter(impacts.astype(np.float32), np.float32(2)))
     index = Index(number, np.searchsorted(term_of, np.arange(len(number) + 1)), pieces, impacts,
                   in_block.max(1, initial=0).astype(float), in_block, [i for i, _ in rows])
-    for item, text in texts.items():
+    for key, text in texts.items():
         question, answer = question_and_answer(text)
-        index.questions[item] = (pairs(question) if question else set(), pairs(answer) if answer else set())
+        index.questions[key] = (pairs(question) if question else set(), pairs(answer) if answer else set())
         index.longest = max(index.longest, len(question) + len(answer))
     return index
 
@@ -206,63 +213,69 @@ def search(texts: list[bytes], index: Index, threshold: float) -> list[list[dict
                 around = [vocabulary[c] for c in codes[lo:hi].tolist()]
                 present = pairs(around) | {(a,) for a in around}
                 for piece, score in hits:
-                    item = index.item[piece]
-                    question, answer = index.questions[item]
+                    item, key = index.item[piece]
+                    question, answer = index.questions[key]
                     shares = [len(x & present) / len(x) if x else 1.0 for x in (question, answer)]
                     if shares[0] >= QUESTION_OVERLAP and shares[1] >= ANSWER_OVERLAP:
-                        out[t].append({"item_id": item, "score": score,
+                        out[t].append({"key": key, "item_id": item, "score": score,
                                        "question_overlap": shares[0], "answer_overlap": shares[1]})
         begin = end
     return [_best(found) for found in out]
 
 
 def _best(found: list[dict]) -> list[dict]:
-    """The best hit of each item, by item."""
-    best: dict[int, dict] = {}
+    """The best hit of each item, by id (null last) and key."""
+    best: dict[str, dict] = {}
     for hit in found:
-        if hit["item_id"] not in best or hit["score"] > best[hit["item_id"]]["score"]:
-            best[hit["item_id"]] = hit
-    return [best[i] for i in sorted(best)]
+        if hit["key"] not in best or hit["score"] > best[hit["key"]]["score"]:
+            best[hit["key"]] = hit
+    return sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0, h["key"]))
 
 
 def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The shards of the index. Items without a key or without words are left out."""
+    """The shards of the index. Items without words are left out."""
     def cut(batches):
         for batch in batches:
-            rows = [(i, n, ts[at:at + PIECE], t) for i, t in zip(
-                batch.column("item").to_pylist(), batch.column("text").to_pylist())
+            rows = [(i, n, ts[at:at + PIECE], t, k) for i, t, k in zip(
+                *(batch.column(c).to_pylist() for c in ("item", "text", "key")))
                 for ts in [terms(t)] for n, at in enumerate(range(0, len(ts), PIECE))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                 pa.array([r[3] for r in rows], pa.string())], names=["item", "n", "terms", "text"])
+                 pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.string())],
+                names=["item", "n", "terms", "text", "key"])
     items = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(
-        "item is not null and text is not null").distinct()
-    pieces = written(items.mapInArrow(cut, "item long, n int, terms array<string>, text string"), "pieces")
+        "text is not null").distinct()
+    # an id is never empty text, so items without one have keys of their own
+    items = items.withColumn("key", F.sha2(F.concat(
+        F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary"), 256))
+    pieces = written(items.mapInArrow(
+        cut, "item long, n int, terms array<string>, text string, key string"), "pieces")
     totals = pieces.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("length")).first()
     if not totals["n"]:
         return
     shards = -(-totals["n"] // (SHARD_ROWS // 2)) if totals["n"] > SHARD_ROWS else 1
     frequency = pieces.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "n", "text"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "n"), F.lit(shards)))
     for shard in range(shards):
         mine = dealt.where(F.col("shard") == shard)
-        rows = mine.orderBy("item", "n", "text").collect()
+        rows = mine.orderBy("item", "key", "n").collect()
         counts = frequency.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-        yield build([(r["item"], r["terms"]) for r in rows], {r["item"]: r["text"] for r in rows},
+        yield build([((r["item"], r["key"]), r["terms"]) for r in rows], {r["key"]: r["text"] for r in rows},
                     {r["term"]: r["count"] for r in counts}, totals["n"], totals["length"])
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks",
                threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``out``: the test items found in the text, best hit of each,
-    as array<struct<item_id, score, question_overlap, answer_overlap>>.
+    as array<struct<item_id, score, question_overlap, answer_overlap>>. Texts that
+    share an id, or have none, are items of their own, each with its own entry.
 
     Null, empty and wordless texts and an empty benchmark give empty arrays.
     Other columns pass through; one named like ``out`` is replaced; rows stand alone."""
     spark = docs.sparkSession
     found = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out],
-                        F.array().cast(LEAKS).alias(out))
+                        F.array().cast(KEYED).alias(out))
     for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
@@ -271,8 +284,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
                 leaks = search(utf8(block.column(text)), shared.value, threshold)
                 both = [_best(a + b) for a, b in zip(block.column(out).to_pylist(), leaks)]
                 yield with_column(block, out, pa.array(both, block.schema.field(out).type))
-        found = found.mapInArrow(run, schema_with(found, out, LEAKS))
-    return found
+        found = found.mapInArrow(run, schema_with(found, out, KEYED))
+    return found.withColumn(out, F.transform(out, lambda h: F.struct(
+        *[h[f.name].alias(f.name) for f in LEAKS.elementType.fields])))
 
 
 @register("op4_decontamination")

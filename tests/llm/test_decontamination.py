@@ -73,3 +73,14 @@ def test_long_items_and_odd_rows(spark, odd, empty, benchmark):
     assert dc.with_leaks(odd, benchmark, out="score").count() == odd.count()
     assert dc.with_leaks(empty, benchmark).count() == 0
     assert all(r["leaks"] == [] for r in dc.with_leaks(odd, benchmark.limit(0)).collect())
+
+
+@pytest.mark.parametrize("shard_rows", [1024, 2])
+def test_repeated_and_missing_ids(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(dc, "SHARD_ROWS", shard_rows)
+    texts = [" ".join(f"{a}{i}" for i in range(30)) + f". the {a} answer" for a in "pqrstu"]
+    items = spark.createDataFrame(list(zip([1, 1, None, None, 2, 2], texts)), "item_id long, text string")
+    docs = [(n, f"noise {t} noise") for n, t in enumerate(texts)] + [(6, " ".join(texts)), (7, "noise")]
+    rows = dc.with_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in rows}
+    assert got == {0: [1], 1: [1], 2: [None], 3: [None], 4: [2], 5: [2], 6: [1, 1, 2, 2, None, None], 7: []}
