@@ -10,9 +10,13 @@ pieces and in each block.
 A passage's bound in a block is the sum of its terms' greatest impacts there. It
 is computed for all passages of a batch at once, and only passages that reach
 the threshold in some block are searched by block-max WAND, which returns *all*
-pieces at or above the threshold (there is no top-k). A hit is then verified:
+pieces at or above the threshold (there is no top-k). A hit is then verified by
 the pairs of neighbouring words of the item's question and of its answer (its
-last sentence) must occur around the passage.
+last sentence) that occur around the passage: half of the piece's share of both,
+all of the piece's share of the question where that is the larger part of it, or
+half of the whole item's both. The
+check looks as far around the passage as the item itself is long. Pieces of a
+longer item are all ``PIECE`` words, the last one reaches back for them.
 
 Items are a small table, but not one of a known size: the index is built in
 shards of at most ``SHARD_ROWS`` pieces, which bounds a shard to
@@ -48,7 +52,8 @@ QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
 BOUND_ROWS = 1 << 16
 
 _EDGES = re.compile(r"^\W+|\W+$")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+# Cut at the white space that ``terms`` cuts at, so that sentences' terms are the text's.
+_SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 LEAKS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())]))
@@ -81,6 +86,11 @@ def pairs(sequence: list) -> set:
     return set(zip(sequence, sequence[1:])) if len(sequence) != 1 else {(sequence[0],)}
 
 
+def starts(n: int) -> list[int]:
+    """Where the pieces of ``n`` terms begin."""
+    return [min(at, max(0, n - PIECE)) for at in range(0, n, PIECE)]
+
+
 @dataclass
 class Index:
     """An inverted index of pieces with block maxima."""
@@ -92,17 +102,19 @@ class Index:
     greatest: np.ndarray
     in_block: np.ndarray  # term x block
     item: list[tuple[int | None, str]]  # of each piece: id and key
-    questions: dict[str, tuple[set, set]] = field(default_factory=dict)  # by key
-    longest: int = PIECE
+    # pairs of question and answer: of each piece, and of each item by key
+    of_piece: list[tuple[set, set]] = field(default_factory=list)
+    questions: dict[str, tuple[set, set]] = field(default_factory=dict)
+    lengths: dict[str, int] = field(default_factory=dict)
 
 
-def build(rows: list[tuple[tuple[int | None, str], list[str]]], texts: dict[str, str],
+def build(rows: list[tuple[tuple[int | None, str], list[str], int]], texts: dict[str, str],
           frequency: dict[str, int], n_pieces: int, mean_length: float) -> Index:
-    """Index of pieces ((item, key), terms) and of texts by key; ``frequency`` and
-    the two totals are of all pieces."""
-    number = {t: i for i, t in enumerate(sorted({t for _, ts in rows for t in ts}))}
+    """Index of pieces ((item, key), terms, first term's place in the item) and of
+    texts by key; ``frequency`` and the two totals are of all pieces."""
+    number = {t: i for i, t in enumerate(sorted({t for _, ts, _ in rows for t in ts}))}
     found = []
-    for p, (_, ts) in enumerate(rows):
+    for p, (_, ts, _) in enumerate(rows):
         counts: dict[str, int] = {}
         for t in ts:
             counts[t] = counts.get(t, 0) + 1
@@ -119,11 +131,16 @@ def build(rows: list[tuple[tuple[int | None, str], list[str]]], texts: dict[str,
     # rounded up, so that a bound stays one
     np.maximum.at(in_block, (term_of, pieces // BLOCK), np.nextafter(impacts.astype(np.float32), np.float32(2)))
     index = Index(number, np.searchsorted(term_of, np.arange(len(number) + 1)), pieces, impacts,
-                  in_block.max(1, initial=0).astype(float), in_block, [i for i, _ in rows])
+                  in_block.max(1, initial=0).astype(float), in_block, [i for i, _, _ in rows])
+    asked: dict[str, int] = {}
     for key, text in texts.items():
         question, answer = question_and_answer(text)
         index.questions[key] = (pairs(question) if question else set(), pairs(answer) if answer else set())
-        index.longest = max(index.longest, len(question) + len(answer))
+        index.lengths[key] = len(question) + len(answer)
+        asked[key] = len(question)
+    for (_, key), ts, at in rows:
+        cut = max(0, asked[key] - at)
+        index.of_piece.append(tuple(pairs(x) if x else set() for x in (ts[:cut], ts[cut:])))
     return index
 
 
@@ -172,6 +189,19 @@ def block_max_wand(query: list[int], index: Index, threshold: float) -> list[tup
                 forward(c, target)
 
 
+def verified(index: Index, piece: int, present: set) -> list[float] | None:
+    """Overlaps of question and answer, of the piece or else of its whole item,
+    if the ``present`` pairs confirm a hit."""
+    of_piece, of_item = index.of_piece[piece], index.questions[index.item[piece][1]]
+    for both in (of_piece, of_item):
+        shares = [len(x & present) / len(x) if x else 1.0 for x in both]
+        if shares[0] >= QUESTION_OVERLAP and shares[1] >= ANSWER_OVERLAP:
+            return shares
+        if both is of_piece and shares[0] == 1.0 and len(both[0]) > len(both[1]):
+            return shares
+    return None
+
+
 def search(texts: list[bytes], index: Index, threshold: float) -> list[list[dict]]:
     """The verified leaks of each text."""
     words = cut_words(texts)
@@ -208,15 +238,17 @@ def search(texts: list[bytes], index: Index, threshold: float) -> list[list[dict
             hits = block_max_wand(query[edges[e]:edges[e + 1]].tolist(), index, threshold)
             if hits:
                 t = int(text[p])
-                lo = max(int(first[t]), int(start[p]) - index.longest)
-                hi = min(int(first[t + 1]), int(stop[p]) + index.longest)
-                around = [vocabulary[c] for c in codes[lo:hi].tolist()]
-                present = pairs(around) | {(a,) for a in around}
+                within: dict[int, set] = {}
                 for piece, score in hits:
                     item, key = index.item[piece]
-                    question, answer = index.questions[key]
-                    shares = [len(x & present) / len(x) if x else 1.0 for x in (question, answer)]
-                    if shares[0] >= QUESTION_OVERLAP and shares[1] >= ANSWER_OVERLAP:
+                    margin = max(PIECE, index.lengths[key])
+                    if margin not in within:
+                        lo = max(int(first[t]), int(start[p]) - margin)
+                        hi = min(int(first[t + 1]), int(stop[p]) + margin)
+                        around = [vocabulary[c] for c in codes[lo:hi].tolist()]
+                        within[margin] = pairs(around) | {(a,) for a in around}
+                    shares = verified(index, piece, within[margin])
+                    if shares:
                         out[t].append({"key": key, "item_id": item, "score": score,
                                        "question_overlap": shares[0], "answer_overlap": shares[1]})
         begin = end
@@ -236,32 +268,32 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> I
     """The shards of the index. Items without words are left out."""
     def cut(batches):
         for batch in batches:
-            rows = [(i, n, ts[at:at + PIECE], t, k) for i, t, k in zip(
+            rows = [(i, at, ts[at:at + PIECE], t, k) for i, t, k in zip(
                 *(batch.column(c).to_pylist() for c in ("item", "text", "key")))
-                for ts in [terms(t)] for n, at in enumerate(range(0, len(ts), PIECE))]
+                for ts in [terms(t)] for at in starts(len(ts))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.list_(pa.string())),
                  pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.string())],
-                names=["item", "n", "terms", "text", "key"])
+                names=["item", "at", "terms", "text", "key"])
     items = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(
         "text is not null").distinct()
     # an id is never empty text, so items without one have keys of their own
     items = items.withColumn("key", F.sha2(F.concat(
         F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary"), 256))
     pieces = written(items.mapInArrow(
-        cut, "item long, n int, terms array<string>, text string, key string"), "pieces")
+        cut, "item long, at int, terms array<string>, text string, key string"), "pieces")
     totals = pieces.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("length")).first()
     if not totals["n"]:
         return
     shards = -(-totals["n"] // (SHARD_ROWS // 2)) if totals["n"] > SHARD_ROWS else 1
     frequency = pieces.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "n"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "at"), F.lit(shards)))
     for shard in range(shards):
         mine = dealt.where(F.col("shard") == shard)
-        rows = mine.orderBy("item", "key", "n").collect()
+        rows = mine.orderBy("item", "key", "at").collect()
         counts = frequency.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-        yield build([((r["item"], r["key"]), r["terms"]) for r in rows], {r["key"]: r["text"] for r in rows},
+        yield build([((r["item"], r["key"]), r["terms"], r["at"]) for r in rows], {r["key"]: r["text"] for r in rows},
                     {r["term"]: r["count"] for r in counts}, totals["n"], totals["length"])
 
 

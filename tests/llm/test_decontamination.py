@@ -84,3 +84,24 @@ def test_repeated_and_missing_ids(spark, monkeypatch, shard_rows):
     rows = dc.with_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in rows}
     assert got == {0: [1], 1: [1], 2: [None], 3: [None], 4: [2], 5: [2], 6: [1, 1, 2, 2, None, None], 7: []}
+
+
+def test_parts_of_items(spark):
+    words = [f"w{i}" for i in range(330)]
+    long = " ".join(words) + ". the answer is here"
+    question = " ".join(f"q{i}" for i in range(20))
+    short = f"{question}. first second third fourth"
+    noise = " ".join(f"zz{i}" for i in range(150))
+    far = f"{question.replace('q9', 'other')} {noise} {noise} first second third fourth"
+    docs = [(0, f"{noise} {' '.join(words[128:192])} {noise}"), (1, f"{noise} {question} {noise}"), (2, far),
+            (3, f"{noise} the answer is here {noise}"), (4, f"{noise} {' '.join(words[135:165])} {noise}"),
+            (5, f"{noise} {' '.join(words[-60:])} the answer is here {noise}"), (6, short), (7, long)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def found(*items):
+        rows = dc.with_leaks(docs, spark.createDataFrame(list(items), "item_id long, text string")).collect()
+        return {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in rows}
+    both = found((1, long), (2, short))
+    assert both == {0: [1], 1: [2], 2: [], 3: [], 4: [], 5: [1], 6: [2], 7: [1]}
+    alone = found((2, short))
+    assert {d: [i for i in x if i == 2] for d, x in both.items()} == alone
