@@ -146,13 +146,19 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           label: str = "quality", rows: int = TRAIN_ROWS) -> Machine:
     """Fit on at most ``rows`` labelled documents that are not held out. Rows
-    without a label and labels without a document are left aside."""
+    without a label and labels without a document are left aside. An id counts
+    once, with its least label and of its documents the one whose text's hash is
+    least, so that no more than ``rows`` rows come to the driver."""
     chosen = (labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
               .where(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key")))
-              .orderBy(F.xxhash64("key"), "key", "label").limit(rows))
+              .groupBy("key").agg(F.min("label").alias("label"))
+              .orderBy(F.xxhash64("key"), "key").limit(rows))
     # at most ``rows`` rows of two numbers
     sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
         F.broadcast(chosen), "key")
+    # partial minima leave each task one text an id before anything moves
+    sample = sample.groupBy("key", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("key", "least.text", "label")
 
     def made(batches):
         for block in text_blocks(batches):

@@ -70,3 +70,19 @@ def test_sample_is_bounded_and_leaves_out_held_rows(spark, odd):
         q.fit = original
     kept = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
     assert seen == [50, kept]
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    seen = []
+    fit = q.fit
+    monkeypatch.setattr(q, "fit", lambda pairs, labels: seen.append((len(pairs), sorted(labels.tolist()))) or fit(pairs, labels))
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:10]
+    hot = free[0]
+    docs = [(i, f"text {i}") for i in free] + [(hot, f"other {n}") for n in range(500)]
+    labels = [(i, n % 2) for n, i in enumerate(free)] + [(hot, 0)] * 50 + [(hot, 1)] * 50
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = q.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    again = q.train(docs.orderBy(docs.text.desc()), spark.createDataFrame(labels[::-1], "doc_id long, quality int"))
+    q.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), rows=10)
+    assert seen == [(10, [0.0] * 5 + [1.0] * 5)] * 3
+    assert machine.bias == again.bias and np.array_equal(machine.linear, again.linear)
