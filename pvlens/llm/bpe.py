@@ -23,17 +23,19 @@ import base64
 from collections import defaultdict
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import PieceTable, gathered, schema_with, text_blocks, with_column
+from pvlens.llm.common import PLAIN, PieceTable, back_in_order, gathered, raw_bytes, schema_with, text_blocks, whole_texts, with_column
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Pieces whose ids a worker keeps between blocks.
@@ -185,46 +187,39 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder(PieceTable):
-    """Encodes blocks of texts by replaying the merges of their new pre-tokens."""
+    """Encodes blocks of texts by replaying the merges of their new pre-tokens. Texts
+    are cut into pieces as :data:`public_tokenizers.PATTERN` cuts; by any other
+    pattern they are matched whole."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__(KEPT_PIECES, self._tokens)
+        known = pattern == public_tokenizers.PATTERN
+        super().__init__(KEPT_PIECES, self._tokens, *(() if known else (whole_texts, whole_texts)))
         self.ranks = load_ranks(path)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.known = regex.compile(pattern), known
 
-    def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _tokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after the other, and the bounds of each."""
-        # a piece that ends in no white space may be matched together with its
-        # follower, which begins with a space: the pattern cuts between them
-        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and not p[-1:].isspace()]
-        others = sorted(set(range(len(pieces))).difference(plain))
-        tokens = self.pattern.findall("".join([pieces[i] for i in plain]))
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-        cuts = np.cumsum([len(pieces[i]) for i in plain], dtype=np.int64)
-        counts = np.zeros(len(pieces), np.int64)
-        counts[plain] = np.diff(np.searchsorted(ends, cuts, "right"), prepend=0)
-        for i in others:
-            more = self.pattern.findall(pieces[i])
-            counts[i] = len(more)
-            tokens += more
-        distinct = pa.array(tokens, pa.string()).dictionary_encode()
-        raw = distinct.dictionary.cast(pa.binary()).to_pylist()
-        whole = np.fromiter((self.ranks.of.get(t, -1) for t in raw), np.int64, len(raw))
-        ids, bounds = replay([t for t, w in zip(raw, whole.tolist()) if w < 0], self.ranks)
+        # letters, with or without a space before them, are one match
+        simple = pc.match_substring_regex(pieces, PLAIN) if self.known else pa.array([False] * len(pieces))
+        rest = [self.pattern.findall(p) for p in pieces.filter(pc.invert(simple)).to_pylist()]
+        tokens = pa.concat_arrays([pieces.filter(simple), pa.array(list(chain.from_iterable(rest)), pa.string())])
+        counts = np.append(np.ones(len(pieces) - len(rest), np.int64), np.fromiter(map(len, rest), np.int64, len(rest)))
+        distinct = tokens.dictionary_encode()
+        raw, ends = raw_bytes(distinct.dictionary)
+        data, ends = raw.tobytes(), ends.tolist()
+        words = [data[a:b] for a, b in zip(ends, ends[1:])]
+        whole = np.fromiter((self.ranks.of.get(w, -1) for w in words), np.int64, len(words))
+        ids, bounds = replay([w for w, r in zip(words, whole.tolist()) if r < 0], self.ranks)
         # a token that is whole is one id; put those behind the replayed ones
         place = np.where(whole < 0, np.cumsum(whole < 0) - 1,
                          len(bounds) - 1 + np.cumsum(whole >= 0) - 1)
         ids = np.concatenate([ids, whole[whole >= 0].astype(np.uint32)])
         bounds = np.concatenate([bounds, bounds[-1] + 1 + np.arange(int((whole >= 0).sum()))])
-        codes = distinct.indices.to_numpy()
-        ids, ends = gathered(ids, bounds, place[codes] if len(codes) else codes.astype(np.int64))
-        # tokens came in the order plain, others; back to the order of the pieces
-        order = np.array([*plain, *others], np.int64)
+        codes = distinct.indices.to_numpy().astype(np.int64)
+        ids, ends = gathered(ids, bounds, place[codes] if len(codes) else codes)
         firsts = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(counts[order], out=firsts[1:])
-        back = np.empty(len(pieces), np.int64)
-        back[order] = np.arange(len(pieces))
-        return gathered(ids, ends[firsts], back)
+        np.cumsum(counts, out=firsts[1:])
+        return back_in_order(ids, np.diff(ends[firsts]), simple)
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,6 @@ words are cut in its UTF-8 bytes; a null text is an empty one.
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,19 +140,37 @@ def windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return start + first[:-1][text], text
 
 
+# White space as byte-level pre-tokenizers know it (for RE2, whose own class is smaller).
+_WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # A space that stands inside a run of white space, or ends one at the end of a text.
-_INSIDE_RUN = re.compile("[\\s᠎] (?:[\\s᠎]|\\Z)")
+_INSIDE_RUN = _WHITE + " (?:" + _WHITE + r"|\z)"
+# Letters below U+0250, which every version of Unicode takes for letters, and marks
+# that form one pre-token with their like (the apostrophe may begin a contraction).
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"
+PLAIN = f"^ ?{_LETTERS}\\z"
+_LINES = (f"^(?P<a> ?{_LETTERS})(?P<b>{_MARKS})(?:(?P<c>\n)(?P<d>{_LETTERS})(?P<e>{_MARKS})"
+          f"(?:(?P<f>\n)(?P<g>{_LETTERS})(?P<h>{_MARKS}))?)?\\z")
 
 
 @dataclass
 class Pieces:
-    """Texts cut before single spaces: piece ``p`` is ``vocabulary[codes[p]]``
-    and text ``t`` owns pieces ``first[t]`` up to ``first[t + 1]``."""
+    """Texts cut before single spaces: piece ``p`` is ``pieces[codes[p]]`` and text
+    ``t`` owns pieces ``first[t]`` up to ``first[t + 1]``."""
 
     codes: np.ndarray
-    vocabulary: list[str]
+    pieces: pa.Array
     first: np.ndarray
 
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.pieces.to_pylist()
+
+
+def whole_texts(texts: pa.Array) -> Pieces:
+    """Texts as one piece each."""
+    found = texts.dictionary_encode()
+    return Pieces(found.indices.to_numpy().astype(np.int64), found.dictionary, np.arange(len(texts) + 1))
+
 
 def cut_before_spaces(texts: pa.Array) -> Pieces:
     """Cut texts where byte-level pre-tokenizers always cut as well.
@@ -163,31 +180,22 @@ def cut_before_spaces(texts: pa.Array) -> Pieces:
     unless that space stands inside such a run. A text with a space of that kind
     stays one piece. Every other piece but the first begins with its space;
     pieces are matched separately with the same result as the text."""
-    split = pc.split_pattern(texts, " ")
-    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    parts = split.flatten().dictionary_encode()
-    codes = parts.indices.to_numpy().astype(np.int64)
-    plain = parts.dictionary.to_pylist()
-    vocabulary = [" " + w for w in plain]
+    odd = pc.match_substring_regex(texts, _INSIDE_RUN)
+    any_odd = pc.any(odd).as_py()
+    split = pc.split_pattern(pc.if_else(odd, "", texts) if any_odd else texts, " ")
     first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(counts, out=first[1:])
+    np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), out=first[1:])
+    parts = split.flatten().dictionary_encode()
+    codes, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary
     # the first piece of a text has no space before it
-    heads: dict[str, int] = {}
-    odd = [t for t, s in enumerate(texts.to_pylist()) if _INSIDE_RUN.search(s)]
-    for t in range(len(texts)):
-        word = plain[codes[first[t]]]
-        codes[first[t]] = len(vocabulary) + heads.setdefault(word, len(heads))
-    vocabulary += heads
-    if odd:
-        keep = np.ones(len(codes), bool)
-        for t in odd:
-            keep[first[t] + 1:first[t + 1]] = False
-            codes[first[t]] = len(vocabulary)
-            vocabulary.append(texts[t].as_py())
-            counts[t] = 1
-        codes = codes[keep]
-        np.cumsum(counts, out=first[1:])
-    return Pieces(codes, vocabulary, first)
+    heads, of = np.unique(codes[first[:-1]], return_inverse=True)
+    codes[first[:-1]] = len(words) + of
+    pieces = [pc.binary_join_element_wise(" ", words, ""), words.take(pa.array(heads))]
+    if any_odd:
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        codes[first[at]] = len(words) + len(heads) + np.arange(len(at))
+        pieces.append(texts.take(pa.array(at)))
+    return Pieces(codes, pa.concat_arrays(pieces), first)
 
 
 def gathered(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,46 +225,111 @@ def sub_pieces(piece: str) -> list[str]:
     return out
 
 
-class PieceTable:
-    """Encodes texts piece by piece. Pieces that were met have a slot: their ids
-    stand in ``ids[bounds[slot]:bounds[slot + 1]]``. Slots are kept between blocks
-    until there are more than ``limit``. ``encode_new`` gives the ids of pieces,
-    one after the other, and the bounds of each."""
+def cut_pieces(pieces: pa.Array) -> Pieces:
+    """Cut pieces further. Most are letters alone, or letters and marks in up to
+    three lines; those are told apart and cut by Arrow, the rest by :func:`sub_pieces`."""
+    plain = pc.match_substring_regex(pieces, PLAIN)
+    others = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    lined = pc.extract_regex(pieces.take(pa.array(others)), _LINES)
+    found = lined.is_valid().to_numpy(zero_copy_only=False)
+    columns = lined.filter(pa.array(found)).flatten()
+    n = int(found.sum())
+    # part j of piece i at i * 8 + j, empty parts left out
+    parts = pa.concat_arrays(columns) if n else pa.array([], pa.string())
+    order = np.arange(n * len(columns)).reshape(len(columns), n).T.ravel()
+    held = (pc.binary_length(parts).to_numpy(zero_copy_only=False)[order] > 0) if n else order > 0
+    rest = [sub_pieces(p) for p in pieces.take(pa.array(others[~found])).to_pylist()]
+    alike = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+    coded = pa.concat_arrays([pieces.take(pa.array(alike)), parts.take(pa.array(order[held])),
+                              pa.array([s for r in rest for s in r], pa.string())]).dictionary_encode()
+    counts = np.concatenate([np.ones(len(alike), np.int64), held.reshape(-1, len(columns)).sum(1),
+                             np.fromiter(map(len, rest), np.int64, len(rest))])
+    bounds = np.zeros(len(pieces) + 1, np.int64)
+    np.cumsum(counts, out=bounds[1:])
+    back = np.empty(len(pieces), np.int64)
+    back[np.concatenate([alike, others[found], others[~found]])] = np.arange(len(pieces))
+    codes, first = gathered(coded.indices.to_numpy().astype(np.int64), bounds, back)
+    return Pieces(codes, coded.dictionary, first)
+
+
+def back_in_order(values: np.ndarray, counts: np.ndarray, chosen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ``counts`` values, first of all ``chosen`` rows and then of the
+    others, in the order of the rows, and the bounds of each."""
+    chosen = chosen.to_numpy(zero_copy_only=False)
+    bounds = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=bounds[1:])
+    place = np.where(chosen, np.cumsum(chosen) - 1, chosen.sum() + np.cumsum(~chosen) - 1)
+    return gathered(values, bounds, place)
+
+
+def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, one after the other, and the bounds of each."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    offsets = offsets.astype(np.int64)
+    data = values.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+# Byte-level vocabularies write a byte as the character of its number if that is
+# printable, and the others, in order, as the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = np.arange(256, dtype="<u2")
+BYTE_CHARACTERS[[b for b in range(256) if b not in _SHOWN]] = 256 + np.arange(256 - len(_SHOWN))
+
+
+def byte_level(pieces: pa.Array) -> list[str]:
+    """Pieces as byte-level vocabularies write them: one character for each byte."""
+    raw, bounds = raw_bytes(pieces)
+    shown = BYTE_CHARACTERS[raw].tobytes().decode("utf-16-le")
+    ends = bounds.tolist()
+    return [shown[a:b] for a, b in zip(ends, ends[1:])]
 
-    def __init__(self, limit: int, encode_new):
-        self.limit, self.encode_new = limit, encode_new
-        self._forget()
 
-    def _forget(self) -> None:
+class PieceTable:
+    """Encodes texts piece by piece. Pieces that were met have a slot: their ids
+    stand in ``ids[bounds[slot]:bounds[slot + 1]]``. Slots are kept between blocks in
+    two generations: with more than ``limit`` the younger becomes the elder, and
+    pieces that are met again come back from there. ``encode_new`` gives the ids of
+    an array of pieces, one after the other, and the bounds of each. ``cut`` cuts
+    texts into pieces, and ``cut_more`` new pieces into the ones that are kept."""
+
+    def __init__(self, limit: int, encode_new, cut=cut_before_spaces, cut_more=cut_pieces):
+        self.limit, self.encode_new, self.cut, self.cut_more = limit, encode_new, cut, cut_more
+        self.elder: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._young()
+
+    def _young(self) -> None:
         self.slot: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+    def _add(self, keys: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
         at = len(self.bounds) - 1
-        self.slot.update(zip(pieces, range(at, at + len(pieces))))
+        self.slot.update(zip(keys, range(at, at + len(keys))))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the bounds of each."""
         if len(self.slot) > self.limit or len(self.ids) > 8 * self.limit:
-            self._forget()
-        cut = cut_before_spaces(texts)
-        missing = [p for p in cut.vocabulary if p not in self.slot]
-        if missing:
-            parts = list(map(sub_pieces, missing))
-            fresh = list(dict.fromkeys(s for ps in parts for s in ps if s not in self.slot))
-            if fresh:
-                self._add(fresh, *self.encode_new(fresh))
-            joint = [i for i, ps in enumerate(parts) if len(ps) > 1]
-            slots = np.fromiter((self.slot[s] for i in joint for s in parts[i]), np.int64)
-            ids, ends = gathered(self.ids, self.bounds, slots)
-            counts = np.fromiter((len(parts[i]) for i in joint), np.int64, len(joint))
-            self._add([missing[i] for i in joint], ids, ends[np.append(0, np.cumsum(counts))])
-        slots = np.fromiter(map(self.slot.__getitem__, cut.vocabulary), np.int64,
-                            len(cut.vocabulary))
-        ids, ends = gathered(self.ids, self.bounds, slots[cut.codes])
-        return ids, ends[cut.first]
+            self.elder = (self.slot, self.ids, self.bounds)
+            self._young()
+        cut = self.cut(texts)
+        more = self.cut_more(cut.pieces)
+        keys = byte_level(more.pieces)
+        known, ids, bounds = self.elder
+        again = [k for k in keys if k not in self.slot and k in known] if known else []
+        if again:
+            self._add(again, *gathered(ids, bounds, np.fromiter(map(known.__getitem__, again), np.int64, len(again))))
+        slots = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            slots[fresh] = len(self.bounds) - 1 + np.arange(len(fresh))
+            self._add([keys[i] for i in fresh.tolist()], *self.encode_new(more.pieces.take(pa.array(fresh))))
+        # ids of the kept pieces, of the pieces, of the texts
+        at, ends = gathered(slots[more.codes], more.first, cut.codes)
+        ids, bounds = gathered(self.ids, self.bounds, at)
+        return ids, bounds[ends[cut.first]]
 
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from pvlens.llm.bpe import binary_array
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import PieceTable, text_blocks
+from pvlens.llm.common import PLAIN, PieceTable, back_in_order, byte_level, raw_bytes, text_blocks
 from pvlens.session import scratch_path
 
 VOCABULARY_FILE = "byte_bpe_50k.json"
@@ -105,52 +106,42 @@ def unpack(index: list[dict], data: bytes, kind: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-# Byte-level vocabularies write a byte as the character of its number if that is
-# printable, and the others, in order, as the characters from 256 on.
-_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-
-
-def _byte_characters(piece: str) -> str:
-    """A piece of a space and letters as the vocabulary writes it."""
-    if piece.isascii():
-        return chr(_BYTES[32]) + piece[1:]
-    return piece.encode().decode("latin-1").translate(_BYTES)
-
-
-def _one_token(piece: str) -> bool:
-    """Whether a piece is a space and letters: one pre-token. Only letters below
-    U+0250 count, which every version of Unicode takes for letters."""
-    return piece[:1] == " " and piece[1:].isalpha() and (piece.isascii() or max(piece) < "\u0250")
-
-
 class LibraryEncoder(PieceTable):
     """Ids by the tokenizers library. Pieces between safe cuts are encoded once:
-    a space with letters is one pre-token and goes to the library's model; any
-    other piece is first cut by the library's pre-tokenizer, or goes to the
-    library whole if it holds an added token."""
+    letters, with or without a space before them, are one pre-token, and all new
+    ones go to the library's model in one call; any other piece is first cut by
+    the library's pre-tokenizer, or goes to the library whole if it holds an added
+    token (with ``plain`` added tokens inside texts are plain text)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         super().__init__(KEPT_PIECES, self._tokens)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.model = Tokenizer(self.tokenizer.model)  # nothing but the model
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
-
-    def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        model = self.tokenizer.model.tokenize
-        found = [[t.id for t in model(_byte_characters(p))] if _one_token(p) else None for p in pieces]
-        rest = [i for i, f in enumerate(found) if f is None]
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        for i in rest:
-            p = pieces[i]
-            found[i] = (self.tokenizer.encode(p, add_special_tokens=False).ids if self.added.search(p)
-                        else [t.id for token, _ in cut(p) for t in model(token)])
-        bounds = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=bounds[1:])
-        return np.fromiter(chain.from_iterable(found), np.uint32, bounds[-1]), bounds
+        words = self.model.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(words.values()) + 1, np.int64)
+        self.length[list(words.values())] = list(map(len, words))
+
+    def _tokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        simple = pc.match_substring_regex(pieces, PLAIN)
+        words = pieces.filter(simple)
+        ids = [np.array(self.model.encode_batch_fast(
+            [byte_level(words)], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)]
+        # a character of the vocabulary is a byte of the text
+        ends = np.cumsum(self.length[ids[0]])
+        counts = [np.diff(np.searchsorted(ends, raw_bytes(words)[1], "right"))]
+        cut, model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        rest = [self.tokenizer.encode(p, add_special_tokens=False).ids if self.added.search(p)
+                else [t.id for token, _ in cut(p) for t in model(token)]
+                for p in pieces.filter(pc.invert(simple)).to_pylist()]
+        ids.append(np.fromiter(chain.from_iterable(rest), np.uint32))
+        counts.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        return back_in_order(np.concatenate(ids), np.concatenate(counts), simple)
 
 
 @lru_cache(maxsize=2)
