@@ -49,6 +49,7 @@ from pvlens.llm.token_files import LibraryEncoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIP = 128
+BLOCK_BYTES = 2 << 20
 # Distinct pairs after which a task closes a group (16 bytes each).
 GROUP_PAIRS = 1 << 20
 KEPT_PIECES = 300_000
@@ -274,7 +275,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], names: li
             + [one(documents[i] if documents else None, k) for i, k in enumerate(kinds)]
             + [one(links, pa.int32()), one(pairs, pa.int64()), one(counts, pa.int64())], names=names)
 
-    for block in text_blocks(batches, "text"):
+    for block in text_blocks(batches, "text", BLOCK_BYTES):
         key_type = block.column("key").type
         found = aligner.align(block.column("text").fill_null("").cast(pa.string()))
         links = group.add(found.pairs)
