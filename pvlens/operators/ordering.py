@@ -6,27 +6,32 @@ A single un-partitioned window would funnel every row through one task; the
 scalable form splits the order into ranges instead:
 
 1. the order columns alone are range-partitioned and aggregated to the last
-   key and the row count of each range (``num_ranges`` rows on the driver);
-2. the keys become literal bounds of a range expression, and the rows are
-   dealt to partitions by range (``repartitionById``: one range to a task, no
-   hash that could put two ranges together);
+   key and the row count of each range, written as one row of sorted arrays;
+2. each row finds its range by bisection over that array (a scalar subquery: the
+   plan holds no bound and is as large for any number of ranges), and the rows are dealt to partitions by range (``repartitionById``: one range
+   to a task, no hash that could put two ranges together);
 3. a window within each range, plus what is carried over from the ranges
-   before (the counts, or the last non-null values: one row for each range).
+   before: the counts, or the last non-null values, combined as a prefix scan
+   in two levels (blocks of ranges, then ranges of a block).
 
-The rows are shuffled once. Nothing is written, so nothing is left behind.
+The rows are shuffled once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGE = "_pv_range"
+from pvlens.session import written
+
+RANGE, LAST = "_pv_range", "_pv_last"
 # Rows of a range where the caller names no number of ranges.
 ROWS_PER_RANGE = 1_000_000
+# Ranges of a block in the prefix scan of carried values.
+BLOCK_RANGES = 1_000
 
 
 def _order_exprs(order_cols: list[str]):
@@ -38,46 +43,36 @@ def order_key(order_cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order_cols])
 
 
-def key_literal(df: DataFrame, order_cols: list[str], key: Row) -> Column:
-    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c)
-                      for c, v in zip(order_cols, key)])
-
-
 @dataclass
 class Ranges:
-    """Ranges of an order: the last key and the rows of each, in order."""
+    """Ranges of an order: ``table`` is one row with the last key of each range
+    (``last``) and the rows before it (``before``), in order."""
 
     order_cols: list[str]
-    last: list[Row]
-    counts: list[int]
-
-    @property
-    def rows(self) -> int:
-        return sum(self.counts)
-
-    def number(self, df: DataFrame) -> Column:
-        """Range of each row, by binary search over the literal bounds."""
-        key = order_key(self.order_cols)
-
-        def search(lo: int, hi: int) -> Column:
-            if lo >= hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(key <= key_literal(df, self.order_cols, self.last[mid]),
-                          search(lo, mid)).otherwise(search(mid + 1, hi))
-        return search(0, len(self.last) - 1)
+    table: DataFrame
+    size: int
+
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """``df`` with the range of each row: how many ranges end before its key.
+        Each step of the fold settles one bit of the number."""
+        key, last = order_key(self.order_cols), F.col(LAST)
+        bits = range(max(0, self.size - 1).bit_length() - 1, -1, -1)
+        steps = F.array(*[F.lit(1 << b) for b in bits]) if self.size > 1 else F.array().cast("array<int>")
+
+        def step(low: Column, size: Column) -> Column:
+            after = low + size
+            return F.when((after < self.size) & (F.get(last, after - 1) < key), after).otherwise(low)
+        # a subquery may not be written inside a lambda; the optimizer puts it there
+        return df.withColumn(LAST, self.table.select("last").scalar()).withColumn(
+            RANGE, F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))).drop(LAST)
 
     def deal(self, df: DataFrame) -> DataFrame:
         """``df`` with its range, one range to a partition."""
-        return df.withColumn(RANGE, self.number(df)).repartitionById(
-            max(1, len(self.last)), F.col(RANGE))
+        return self.numbered(df).repartitionById(max(1, self.size), F.col(RANGE))
 
-    def starts(self) -> Column:
-        """Rows before each range, as a literal array."""
-        before = [0]
-        for n in self.counts[:-1]:
-            before.append(before[-1] + n)
-        return F.array(*[F.lit(b).cast("long") for b in before])
+    def before(self) -> Column:
+        """Rows before a row's range."""
+        return F.get(self.table.select("before").scalar(), F.col(RANGE))
 
 
 def find_ranges(df: DataFrame, order_cols: list[str], num_ranges: int | None = None) -> Ranges:
@@ -90,21 +85,32 @@ def find_ranges(df: DataFrame, order_cols: list[str], num_ranges: int | None = N
         num_ranges = max(least, -(-keys.count() // ROWS_PER_RANGE))
     found = (keys.repartitionByRange(num_ranges, *_order_exprs(order_cols))
                  .groupBy(F.spark_partition_id().alias("p"))
-                 .agg(F.max(order_key(order_cols)).alias("last"), F.count(F.lit(1)).alias("n"))
-                 .orderBy("p").collect())  # one row for each range
-    return Ranges(order_cols, [r["last"] for r in found], [r["n"] for r in found])
-
-
-def key_at(df: DataFrame, ranges: Ranges, position: int) -> Row | None:
-    """The order key at 0-based ``position``: the range that holds it is known
-    from the counts, so only that range's keys are sorted."""
-    before = 0
-    for i, n in enumerate(ranges.counts):
-        if position < before + n:
-            keys = df.select(*ranges.order_cols).where(ranges.number(df) == i)
-            return keys.orderBy(*_order_exprs(ranges.order_cols)).offset(position - before).limit(1).first()
-        before += n
-    return None
+                 .agg(F.max(order_key(order_cols)).alias("last"), F.count(F.lit(1)).alias("n")))
+    # one row for each range from here on
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    in_order = F.sort_array(F.collect_list(F.struct("p", "last", "before")))
+    table = written(found.select("p", "last", before).agg(in_order.alias("r")).select(
+        F.col("r.last").alias("last"), F.col("r.before").alias("before")), "ranges")
+    return Ranges(order_cols, table, table.select(F.size("last")).first()[0])
+
+
+def carried(per_range: DataFrame, cols: list[str]) -> DataFrame:
+    """For each range the last non-null value of ``cols`` in the ranges before it:
+    within its block of ranges, else in the blocks before."""
+    block = F.floor(F.col(RANGE) / BLOCK_RANGES).alias("_block")
+    ranges = per_range.select(RANGE, block, *cols)
+    blocks = ranges.groupBy("_block").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(RANGE))).alias(c) for c in cols])
+
+    def last(w, mark):
+        w = w.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.last(F.col(c), ignorenulls=True).over(w).alias(f"{c}{mark}") for c in cols]
+    # one row for each block
+    from_blocks = blocks.select("_block", *last(Window.orderBy("_block"), "_block"))
+    inside = ranges.select(RANGE, "_block", *last(Window.partitionBy("_block").orderBy(RANGE), ""))
+    return inside.join(from_blocks, "_block").select(
+        RANGE, *[F.coalesce(F.col(c), F.col(f"{c}_block")).alias(c) for c in cols])
 
 
 def with_row_index(df: DataFrame, order_cols: list[str], out: str = "row_idx",
@@ -117,7 +123,7 @@ def with_row_index(df: DataFrame, order_cols: list[str], out: str = "row_idx",
     ranges = find_ranges(df, order_cols, num_ranges)
     w = Window.partitionBy(RANGE).orderBy(*_order_exprs(order_cols))
     return (ranges.deal(df)
-                  .withColumn(out, F.row_number().over(w) - 1 + ranges.starts()[F.col(RANGE)])
+                  .withColumn(out, F.row_number().over(w) - 1 + ranges.before())
                   .drop(RANGE))
 
 
@@ -135,17 +141,12 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
         return df.select(*filled(w.orderBy(*_order_exprs(order_cols)).rowsBetween(
             Window.unboundedPreceding, 0)))
     ranges = find_ranges(df, order_cols, num_ranges)
-    key = order_key(order_cols)
+    key, names = order_key(order_cols), [f"_carry_{i}" for i in range(len(cols))]
     # last non-null value of each column inside each range
-    per_range = df.select(*order_cols, *[c for c in cols if c not in order_cols]).withColumn(
-        RANGE, ranges.number(df)).groupBy(RANGE).agg(*[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last_{i}")
-            for i, c in enumerate(cols)])
-    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranges.numbered(df.select(*order_cols, *[c for c in cols if c not in order_cols])).groupBy(
+        RANGE).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(n) for c, n in zip(cols, names)])
     # one row for each range; Spark chooses the join by its size in bytes
-    carry = per_range.select(RANGE, *[
-        F.last(F.col(f"_last_{i}"), ignorenulls=True).over(before).alias(f"_carry_{i}")
-        for i in range(len(cols))])
+    carry = carried(per_range, names)
     within = (Window.partitionBy(RANGE).orderBy(*_order_exprs(order_cols))
                     .rowsBetween(Window.unboundedPreceding, 0))
     joined = ranges.deal(df).select(*filled(within), RANGE).join(carry, RANGE)

@@ -4,8 +4,8 @@ Random choices are replaced by a fixed hash order — ``md5('42:' || key)``
 then the key — which is the same in every engine and on every run. numpy's
 exact row choice is not reproduced.
 
-A split compares each row's key with the key at the cut, which is found from
-the order columns alone: the rows themselves are not moved.
+A split compares each row's key with the key at the cut, which is selected from
+the order columns alone: neither the rows nor their keys are moved.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvlens.functions.lexicons import SAMPLE_SEED, TRAIN_FRACTION
-from pvlens.operators.ordering import find_ranges, key_at, key_literal, order_key
+from pvlens.operators.ordering import order_key
+from pvlens.operators.selection import LIMIT, key_at
 
 
 def seeded_hash(key_col: str, seed: int = SAMPLE_SEED) -> Column:
@@ -30,28 +31,27 @@ def fixed_sample(df: DataFrame, key_col: str, n: int, seed: int = SAMPLE_SEED) -
     return df.orderBy(seeded_hash(key_col, seed), F.col(key_col)).limit(n)
 
 
-def _split_at(df: DataFrame, order_cols: list[str], rows_of, out: str,
-              num_ranges: int | None) -> DataFrame:
-    ranges = find_ranges(df, order_cols, num_ranges)
-    cut = key_at(df, ranges, rows_of(ranges.rows))
-    train = F.lit(True) if cut is None else (
-        order_key(order_cols) < key_literal(df, order_cols, cut))
+def _split_at(df: DataFrame, order_cols: list[str], rows_of, out: str, limit: int) -> DataFrame:
+    cut = key_at(df, order_cols, rows_of, limit)
+    # the key's values, with the columns' types
+    train = F.lit(True) if cut is None else order_key(order_cols) < F.struct(*[
+        F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_cols, cut)])
     return df.withColumn(out, F.when(train, F.lit("train")).otherwise(F.lit("validation")))
 
 
 def hash_split(df: DataFrame, key_col: str, fraction: float = TRAIN_FRACTION,
-               seed: int = SAMPLE_SEED, out: str = "split",
-               num_ranges: int | None = None) -> DataFrame:
+               seed: int = SAMPLE_SEED, out: str = "split", limit: int = LIMIT) -> DataFrame:
     """Exactly ``round(fraction * n)`` rows are 'train' (the first in
-    seeded hash order), the rest 'validation'. ``key_col`` is unique."""
+    seeded hash order), the rest 'validation'. ``key_col`` is unique; ``limit``
+    is the number of keys that the selection sorts at the end."""
     hashed = df.withColumn("_h", seeded_hash(key_col, seed))
-    return _split_at(hashed, ["_h", key_col], lambda n: round(n * fraction), out, num_ranges).drop("_h")
+    return _split_at(hashed, ["_h", key_col], lambda n: round(n * fraction), out, limit).drop("_h")
 
 
 def positional_split(df: DataFrame, order_cols: list[str], fraction: float = TRAIN_FRACTION,
-                     out: str = "split", num_ranges: int | None = None) -> DataFrame:
+                     out: str = "split", limit: int = LIMIT) -> DataFrame:
     """The first ``int(fraction * n)`` rows in (unique) order are 'train'."""
-    return _split_at(df, order_cols, lambda n: math.floor(n * fraction), out, num_ranges)
+    return _split_at(df, order_cols, lambda n: math.floor(n * fraction), out, limit)
 
 
 def complement(df: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
