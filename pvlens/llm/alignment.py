@@ -52,7 +52,7 @@ STRIP = 128
 BLOCK_BYTES = 2 << 20
 # Distinct pairs after which a task closes a group (16 bytes each).
 GROUP_PAIRS = 1 << 20
-KEPT_PIECES = 300_000
+KEPT_PIECES = 60_000
 MARK = "▁"
 
 
@@ -142,7 +142,7 @@ class Aligner:
     """Aligns blocks of texts by two model files."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = LibraryEncoder(a_path, plain=True), PieceEncoder(b_path)
+        self.a, self.b = LibraryEncoder(a_path, True, KEPT_PIECES), PieceEncoder(b_path)
         a, b = _a_bytes(self.a), _b_bytes(self.b.names)
         self.a_flat, self.b_flat, self.n_b = _flat(a), _flat(b), len(b)
         ids = range(max(len(a), len(b)))

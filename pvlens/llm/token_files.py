@@ -43,7 +43,7 @@ CHUNK_IDS = 65_536
 # Ids after which a segment is closed (4 bytes each before compression).
 SEGMENT_IDS = 1 << 20
 LEVEL = 3
-KEPT_PIECES = 500_000
+KEPT_PIECES = 250_000
 
 SEGMENT = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()),
@@ -113,8 +113,8 @@ class LibraryEncoder(PieceTable):
     the library's pre-tokenizer, or goes to the library whole if it holds an added
     token (with ``plain`` added tokens inside texts are plain text)."""
 
-    def __init__(self, path: str, plain: bool = False):
-        super().__init__(KEPT_PIECES, self._tokens)
+    def __init__(self, path: str, plain: bool = False, kept: int = KEPT_PIECES):
+        super().__init__(kept, self._tokens)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
