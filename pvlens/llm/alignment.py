@@ -14,8 +14,8 @@ costs some array operations for the whole block, and no strip takes many more st
 than another.
 
 Counts of id pairs over the corpus: a task keeps the distinct pairs of its blocks,
-up to ``GROUP_PAIRS``, with their counts (a *group*), and stores links as numbers of
-pairs in the group. Only distinct pairs of groups move: they are summed, compared
+up to ``GROUP_PAIRS``, with their counts (a *group*), and stores links, compressed, as
+numbers of pairs in the group. Only distinct pairs of groups move: they are summed, compared
 with their B id's greatest count, and brought back to their groups.
 
 Defined results: a null or empty text, or one that the tokens of A or B do not spell
@@ -38,6 +38,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ from pvlens.llm.token_files import LibraryEncoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIP = 128
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 # Distinct pairs after which a task closes a group (16 bytes each).
-GROUP_PAIRS = 1 << 20
+GROUP_PAIRS = 1 << 17
 KEPT_PIECES = 60_000
 MARK = "▁"
 
@@ -273,7 +274,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], names: li
         return pa.RecordBatch.from_arrays(
             [pa.array([f"{task}-{n_groups}"])]
             + [one(documents[i] if documents else None, k) for i, k in enumerate(kinds)]
-            + [one(links, pa.int32()), one(pairs, pa.int64()), one(counts, pa.int64())], names=names)
+            + [pa.array([links], pa.binary()), one(pairs, pa.int64()), one(counts, pa.int64())], names=names)
 
     for block in text_blocks(batches, "text", BLOCK_BYTES):
         key_type = block.column("key").type
@@ -281,7 +282,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], names: li
         links = group.add(found.pairs)
         hashes = [hashlib.sha256(g).hexdigest() if g else "" for g in found.groups]
         values = [found.n_a, found.n_b, found.n_groups, found.n_links, hashes]
-        yield row([block.column("key")] + [pa.array(v, k) for v, (_, k) in zip(values, PER_DOC)], pa.array(links))
+        yield row([block.column("key")] + [pa.array(v, k) for v, (_, k) in zip(values, PER_DOC)],
+                  zstandard.compress(links.tobytes(), 1))
         if len(group.pairs) >= GROUP_PAIRS:
             yield row(pairs=pa.array(group.in_order()), counts=pa.array(group.counts))
             group, n_groups = Group(), n_groups + 1
@@ -293,9 +295,10 @@ def _aligned(docs: DataFrame, key: str, text: str, paths: tuple[str, str]) -> Da
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kinds = [("key", rows.schema["key"].dataType), *((n, T.StringType() if n == "groups_sha256" else T.LongType())
                                                       for n, _ in PER_DOC),
-             ("links", T.IntegerType()), ("pairs", T.LongType()), ("counts", T.LongType())]
-    schema = T.StructType([T.StructField("group", T.StringType())]
-                          + [T.StructField(n, T.ArrayType(k)) for n, k in kinds])
+             ("pairs", T.LongType()), ("counts", T.LongType())]
+    fields = [T.StructField(n, T.ArrayType(k)) for n, k in kinds]
+    schema = T.StructType([T.StructField("group", T.StringType()), *fields[:-2],
+                           T.StructField("links", T.BinaryType()), *fields[-2:]])
     found = rows.mapInArrow(lambda b: _blocks(b, paths, schema.names), schema)
     return written(found, "alignment")
 
@@ -351,8 +354,9 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a_path: str
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                get = {n: row.column(n).flatten() for n in row.schema.names if n != "group"}
-                values, links = get["values"].to_numpy(zero_copy_only=False), get["links"].to_numpy()
+                get = {n: row.column(n).flatten() for n in row.schema.names if n not in ("group", "links")}
+                values = get["values"].to_numpy(zero_copy_only=False)
+                links = np.frombuffer(zstandard.decompress(row.column("links")[0].as_py()), np.int32)
                 counts = values[links] if len(links) else np.zeros(0, np.int64)
                 ends = np.append(0, np.cumsum(get["n_links"].to_numpy()))
                 best = np.append(0, np.cumsum(counts < 0))[ends]
