@@ -14,7 +14,7 @@ costs some array operations for the whole block, and no strip takes many more st
 than another.
 
 Counts of id pairs over the corpus: a task keeps the distinct pairs of its blocks,
-up to ``GROUP_PAIRS``, with their counts (a *group*), and stores links, compressed, as
+up to ``GROUP_PAIRS`` or ``GROUP_BLOCKS``, with their counts (a *group*), and stores links, compressed, as
 numbers of pairs in the group. Only distinct pairs of groups move: they are summed, compared
 with their B id's greatest count, and brought back to their groups.
 
@@ -51,8 +51,8 @@ from pvlens.llm.token_files import LibraryEncoder
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIP = 128
 BLOCK_BYTES = 1 << 20
-# Distinct pairs after which a task closes a group (16 bytes each).
-GROUP_PAIRS = 1 << 17
+# Distinct pairs (16 bytes each) or blocks after which a task closes a group.
+GROUP_PAIRS, GROUP_BLOCKS = 1 << 17, 32
 KEPT_PIECES = 60_000
 MARK = "▁"
 
@@ -263,7 +263,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], names: li
     """A row for each block with its documents and links, and one for each group
     with its pairs."""
     aligner, task = worker_aligner(*paths), TaskContext.get().partitionId()
-    group, n_groups = Group(), 0
+    group, n_groups, n_blocks = Group(), 0, 0
     key_type = None
 
     def row(documents=None, links=None, pairs=None, counts=None) -> pa.RecordBatch:
@@ -284,9 +284,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], names: li
         values = [found.n_a, found.n_b, found.n_groups, found.n_links, hashes]
         yield row([block.column("key")] + [pa.array(v, k) for v, (_, k) in zip(values, PER_DOC)],
                   zstandard.compress(links.tobytes(), 1))
-        if len(group.pairs) >= GROUP_PAIRS:
+        n_blocks += 1
+        if len(group.pairs) >= GROUP_PAIRS or n_blocks >= GROUP_BLOCKS:
             yield row(pairs=pa.array(group.in_order()), counts=pa.array(group.counts))
-            group, n_groups = Group(), n_groups + 1
+            group, n_groups, n_blocks = Group(), n_groups + 1, 0
     if len(group.pairs):
         yield row(pairs=pa.array(group.in_order()), counts=pa.array(group.counts))
 
