@@ -28,7 +28,7 @@ from pvlens.operators.ordering import RANGE, find_ranges, with_row_index
 from pvlens.session import written
 
 TABLES, WINDOW, BITS, TERMS = 16, 24, 24, 8
-NEAREST, ROUNDS = 16, 1
+NEAREST, ROUNDS = 24, 2
 NOISE = -1
 
 
@@ -122,8 +122,9 @@ def _jumped(parents: DataFrame) -> DataFrame:
     """(c, root) of (c, root): each takes its root's root until nothing moves."""
     while True:
         up = parents.select(F.col("c").alias("root"), F.col("root").alias("above"))
-        moved = written(parents.join(up, "root").select("c", F.col("above").alias("root"),
-                                                        (F.col("above") != F.col("root")).alias("moved")), "roots")
+        over = up.toDF("above", "top")
+        moved = written(parents.join(up, "root").join(over, "above").select(
+            "c", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "roots")
         parents = moved.select("c", "root")
         if moved.where("moved").isEmpty():
             return parents

@@ -13,6 +13,7 @@ from pvlens.functions.lexicons import (
     ENTITY_TYPES, SEVERITY_LABELS,
 )
 from pvlens.functions.text import clean_text, token_count, with_evaluated, words
+from pvlens.operators import attribution as A
 from pvlens.operators import explain as X
 from pvlens.operators import severity as V
 from pvlens.operators import symptoms as S
@@ -212,6 +213,48 @@ def q_loo_importance(spark, sf):
     return X.leave_one_out_importance(T.reports(spark, sf), "SYMPTOM_TEXT", ["VAERS_ID"])
 
 
+def _shapley_sql() -> str:
+    """Every coalition of the words that hold a rule's term, by its definition."""
+    worth = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in A.rule_probabilities()) + "]"
+    rule = "CASE " + " ".join(f"WHEN strpos(lower(w), {P.q(t)}) > 0 THEN {r}"
+                              for r, (t, _, _) in enumerate(CLASSIFIER_RULES)) + f" ELSE {A.RULES} END"
+    return P.with_views(
+        f"""SELECT ws.VAERS_ID, CAST(ws.idx AS INTEGER) AS idx, ws.word, round(coalesce(v.value, 0), 9) AS value
+FROM (SELECT VAERS_ID, unnest(words) AS word, unnest(range(0, len(words))) AS idx FROM batch_words) ws
+LEFT JOIN (
+  SELECT VAERS_ID, places[i + 1] AS idx, sum(
+    factorial(bit_count(m)::INTEGER) * factorial((p - bit_count(m) - 1)::INTEGER) / factorial(p::INTEGER)::DOUBLE * (more - less)) AS value
+  FROM (
+    SELECT VAERS_ID, places, p, i, m,
+      worth[list_min(list_concat(list_filter(held, lambda r, k: ((m | (1::BIGINT << i)) >> (k - 1)) & 1 = 1), [{A.RULES}])) + 1] AS more,
+      worth[list_min(list_concat(list_filter(held, lambda r, k: (m >> (k - 1)) & 1 = 1), [{A.RULES}])) + 1] AS less
+    FROM (
+      SELECT *, unnest(range(0, p)) AS i FROM (
+        SELECT *, unnest(range(0, 1::BIGINT << p)) AS m FROM (
+          SELECT VAERS_ID, list_filter(rules, lambda r: r < {A.RULES}) AS held, len(list_filter(rules, lambda r: r < {A.RULES})) AS p,
+            list_filter(range(0, len(rules)), lambda x: rules[x + 1] < {A.RULES}) AS places,
+            {worth}[coalesce(list_min(rules), {A.RULES}) + 1] AS worth
+          FROM (SELECT VAERS_ID, list_transform(words, lambda w: {rule}) AS rules FROM batch_words))))
+    WHERE (m >> i) & 1 = 0)
+  GROUP BY VAERS_ID, places[i + 1]) v ON v.VAERS_ID = ws.VAERS_ID AND v.idx = ws.idx""",
+        "reports", P.BATCH_CTE, _WORDS)
+
+
+@register("shapley_importance", _shapley_sql())
+def q_shapley_importance(spark, sf):
+    """ML3: exact Shapley values of every word for the predicted label (rounded to
+    9 places); the oracle goes over all coalitions."""
+    return A.shapley_importance(T.reports(spark, sf), "SYMPTOM_TEXT", ["VAERS_ID"]).withColumn(
+        "value", F.round("value", 9))
+
+
+@register("surrogate_importance")
+def q_surrogate_importance(spark, sf):
+    """ML3: weights of every word in a local surrogate (masked texts, rescored,
+    proximity-weighted ridge regression)."""
+    return A.surrogate_importance(T.reports(spark, sf), "SYMPTOM_TEXT", ["VAERS_ID"])
+
+
 # ---------------------------------------------------------------- symptom clusters
 
 _SYM_LIST = ("sym_list AS (SELECT VAERS_ID, list_filter([" + ", ".join(
@@ -326,6 +369,14 @@ def q_embedding_clusters(spark, sf):
     return cluster_embeddings(emb).select("vec_id", "label", "cluster")
 
 
+@register("density_clusters")
+def q_density_clusters(spark, sf):
+    """ML2: density clusters of all embedding vectors, -1 for noise."""
+    from pvlens.operators.density import density_clusters
+    emb = T.read_table(spark, sf, "embeddings")
+    return density_clusters(emb, "vec_id", cut=0.62, min_points=4).select("vec_id", "label", "cluster")
+
+
 # ---------------------------------------------------------------- whole documents (D3, V1, D4 on long texts)
 
 @register("document_severity",
