@@ -40,6 +40,42 @@ def let(body, *exprs: Column) -> Column:
     return F.transform(packed, lambda s: body(*[s[n] for n in names]))[0]
 
 
+# Elements of a chunk, and levels of chunks, in :func:`running`.
+CHUNK, LEVELS = 64, 3
+
+
+def running(values: Column, op, zero: Column, levels: int = LEVELS) -> Column:
+    """Running results of the associative ``op`` over an array, the element itself
+    included. A fold that appends copies its result at every step; here arrays
+    of ``CHUNK`` are folded, and what stands before each chunk comes from the
+    running results of the chunks' last values, so the cost is linear."""
+    def folded(chunk: Column) -> Column:
+        start = F.struct(zero.alias("top"), F.slice(F.array(zero), 2, 0).alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            top = op(acc["top"], x)
+            return F.struct(top.alias("top"), F.concat(acc["all"], F.array(top)).alias("all"))
+        return F.aggregate(chunk, start, step, lambda acc: acc["all"])
+    if levels == 1:
+        return folded(values)
+
+    def joined(chunks: Column) -> Column:
+        def after(chunks: Column, upto: Column) -> Column:
+            return F.flatten(F.transform(chunks, lambda c, i: F.transform(c, lambda x: F.when(
+                i == 0, x).otherwise(op(F.get(upto, i - 1), x)))))
+        return let(after, chunks, running(F.transform(chunks, lambda c: F.element_at(c, -1)), op, zero, levels - 1))
+
+    def cut(values: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / CHUNK).cast("int")),
+                             lambda i: folded(F.slice(values, i * CHUNK + 1, CHUNK)))
+        return F.when(F.size(values) > 0, let(joined, chunks))
+    return F.coalesce(let(cut, values), F.slice(F.array(zero), 2, 0))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
 def clean_text(c: str | Column) -> Column:
     """SC1: collapse every whitespace run to one space, then strip."""
     return F.trim(F.regexp_replace(col_(c), WHITESPACE_RUN, " "))

@@ -19,7 +19,7 @@ from pvlens.functions.lexicons import (
     COMPOUND_FIXED_EXPRESSIONS, COVID_DISPOSITION_RULES, EXTRA_ENTITY_PATTERNS,
     QA_MODIFIERS, QA_SKIP_TERMS, QA_TIME_PATTERN, SEVERITY_LABELS,
 )
-from pvlens.functions.text import col_, let
+from pvlens.functions.text import CHUNK, col_, let, running, running_sums
 from pvlens.operators.entities import all_mentions
 
 SPAN_TYPE = "array<struct<label:string,start:int,end:int,text:string>>"
@@ -39,20 +39,15 @@ def mention_spans(text, rules: list[tuple[str, str]]) -> Column:
 def pattern_mentions(text, patterns: list[tuple[str, str]] = EXTRA_ENTITY_PATTERNS) -> Column:
     """ML4: every match of each type's regex in the lower-cased text, type
     order then text order: ``array<struct<type, text, start, end>>``.
-    Offsets come from splitting on the same regex: match j starts after
-    pieces 0..j and matches 0..j-1."""
+    Offsets come from splitting on the same regex: match j ends after pieces
+    0..j and matches 0..j."""
     t = F.lower(F.coalesce(col_(text), F.lit("")))
     per_type = []
     for typ, pat in patterns:
         def build(pieces, found, typ=typ):
-            def span(m, j):
-                before = F.aggregate(F.slice(pieces, 1, j + 1), F.lit(0),
-                                     lambda acc, p: acc + F.length(p))
-                before = before + F.aggregate(F.slice(found, 1, j), F.lit(0),
-                                              lambda acc, p: acc + F.length(p))
-                return F.struct(F.lit(typ).alias("type"), m.alias("text"), before.alias("start"),
-                                (before + F.length(m)).alias("end"))
-            return F.transform(found, span)
+            ends = running_sums(F.transform(found, lambda m, j: F.length(F.get(pieces, j)) + F.length(m)))
+            return F.zip_with(found, ends, lambda m, end: F.struct(
+                F.lit(typ).alias("type"), m.alias("text"), (end - F.length(m)).alias("start"), end.alias("end")))
         per_type.append(let(build, F.split(t, pat, -1), F.regexp_extract_all(t, F.lit(pat), 0)))
     return F.flatten(F.array(*per_type))
 
@@ -105,54 +100,65 @@ def bio_tags(text, spans) -> Column:
     overwrite earlier ones. Results without bounds are left out
     (:func:`broken_annotations` lists them).
 
-    A later span that begins inside an earlier one may leave a rest of it. So the
-    spans' starts, seconds and ends cut the text into runs of one tag; the last
-    span that covers a run names it, and the runs are joined once. The cost is
-    the text's length and, for spans that overlap, their number."""
-    def build(t, n, spans):
-        first = F.transform(spans, lambda s: s["start"])
-        stop = F.transform(spans, lambda s: F.least(s["end"], n))
-        cuts = F.array_sort(F.array_distinct(F.filter(F.concat(
-            F.array(F.lit(0), n), first, F.transform(first, lambda x: x + 1), stop),
-            lambda x: (x >= 0) & (x <= n))))
-        # spans in order of their starts, to search from the run's end backwards
-        ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(
-            s["start"].alias("start"), F.greatest(F.least(s["end"], n), s["start"] + 1).alias("end"),
-            i.alias("i"), s["label"].alias("label"))))
-
-        def runs(cuts, ordered, starts, longest):
-            def run(a, k):
-                # spans that cover position a begin in (a - longest, a]
-                lo = _first_at_least(starts, a - longest + 1)
-                hi = _first_at_least(starts, a + 1)
-                over = F.filter(F.slice(ordered, lo + 1, hi - lo), lambda s: s["end"] > a)
-                last = F.array_max(F.transform(over, lambda s: F.struct(
-                    s["i"].alias("i"), s["start"].alias("start"), s["label"].alias("label"))))
-                tag = F.when(last.isNull(), F.lit("O")).when(
-                    last["start"] == a, F.concat(F.lit("B-"), last["label"])).otherwise(
-                    F.concat(F.lit("I-"), last["label"]))
-                return F.array_repeat(tag, cuts[k + 1] - a)
-            return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), run))
-        def with_starts(ordered):
-            return let(runs, cuts, ordered, F.transform(ordered, lambda s: s["start"]), F.coalesce(
-                F.array_max(F.transform(ordered, lambda s: s["end"] - s["start"])), F.lit(0)))
-        return let(with_starts, ordered)
-    text = col_(text)
-    return let(build, text, F.length(text), whole_annotations(spans))
-
-
-def _first_at_least(values: Column, x: Column) -> Column:
-    """Index of the first of sorted ``values`` at or above ``x`` (bisection in
-    31 steps, each one element access)."""
-    init = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
-
-    def step(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.try_element_at(values, mid + 1) < x
-        return F.when(s["lo"] >= s["hi"], s).when(
-            below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
-            F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-    return F.aggregate(F.array_repeat(F.lit(0), 31), init, step, lambda s: s["lo"])
+    A sweep over the spans' starts and ends, in order, with the set of open
+    spans: between two events the open span that comes last in the list names
+    the run. Events are folded in chunks, so that the runs are not copied at
+    every step; an event costs the number of spans that are open there."""
+    def build(n, spans):
+        placed = F.filter(F.transform(spans, lambda s, i: F.struct(
+            i.alias("i"), s["start"].alias("start"), s["label"].alias("label"),
+            F.greatest(F.least(s["end"], n), s["start"] + 1).alias("end"))),
+            lambda s: (s["start"] < n) & (s["end"] > 0))
+        # at one place spans close before others open
+        events = F.array_sort(F.concat(
+            F.transform(placed, lambda s: _event(s["end"], False, s)),
+            F.transform(placed, lambda s: _event(F.greatest(s["start"], F.lit(0)), True, s)),
+            F.array(_event(n, True, None))))
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(events) - 1) / CHUNK).cast("int")),
+                             lambda c: F.slice(events, c * CHUNK + 1, CHUNK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"),
+                         F.array().cast(f"array<{_RUNS}>").alias("runs"))
+
+        def step(acc, e):
+            # the run up to this event, of the last open span
+            top = F.array_max(acc["open"])
+            run = F.struct(F.struct(top["label"].alias("label"), (top["start"] == acc["at"]).alias("first"),
+                                    (e["at"] - acc["at"]).alias("size")).alias("r"))["r"]
+            own = F.struct(e["i"].alias("i"), e["start"].alias("start"), e["label"].alias("label"))
+            return F.struct(
+                e["at"].alias("at"),
+                F.when(e["i"] < 0, acc["open"]).when(e["opens"], F.concat(acc["open"], F.array(own))).otherwise(
+                    F.filter(acc["open"], lambda o: o["i"] != e["i"])).alias("open"),
+                F.when(e["at"] > acc["at"], F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"))
+
+        def chunk(acc, events):
+            def after(done):
+                return F.struct(done["at"].alias("at"), done["open"].alias("open"),
+                                F.concat(acc["runs"], F.array(done["runs"])).alias("runs"))
+            inner = F.struct(acc["at"].alias("at"), acc["open"].alias("open"), F.array().cast(_RUNS).alias("runs"))
+            return let(after, F.aggregate(events, inner, step))
+        runs = F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["runs"]))
+        return F.flatten(F.transform(runs, _tags))
+    return let(build, F.length(col_(text)), whole_annotations(spans))
+
+
+_OPEN = "array<struct<i:int,start:int,label:string>>"
+_RUNS = "array<struct<label:string,first:boolean,size:int>>"
+
+
+def _event(at, opens: bool, span) -> Column:
+    """An event at a place; without a span (``i`` -1) it only ends the text."""
+    return F.struct(at.alias("at"), F.lit(opens).alias("opens"),
+                    (F.lit(-1) if span is None else span["i"]).alias("i"),
+                    (F.lit(0) if span is None else span["start"]).alias("start"),
+                    (F.lit(None).cast("string") if span is None else span["label"]).alias("label"))
+
+
+def _tags(run) -> Column:
+    inside = F.concat(F.lit("I-"), run["label"])
+    return F.when(run["label"].isNull(), F.array_repeat(F.lit("O"), run["size"])).otherwise(F.concat(
+        F.array(F.when(run["first"], F.concat(F.lit("B-"), run["label"])).otherwise(inside)),
+        F.array_repeat(inside, run["size"] - 1)))
 
 
 def ner_dataset(annotated: DataFrame, order_cols: list[str], fraction: float = 0.8,
@@ -236,19 +242,14 @@ def overlapping_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 def overlaps(spans) -> Column:
     """Q7a in the row: ``array<struct<ann_idx, start, end, prev_max_end>>`` of the
     spans that begin before an earlier one (by start, then list index) has
-    ended. A running maximum, no shuffle."""
-    ordered = F.array_sort(F.transform(col_(spans), lambda s, i: F.struct(
-        s["start"].alias("start"), i.alias("ann_idx"), s["end"].alias("end"))))
-    init = F.struct(F.lit(None).cast("int").alias("top"), F.array().cast(
-        "array<struct<ann_idx:int,start:int,end:int,prev_max_end:int>>").alias("found"))
-
-    def step(acc, s):
-        hit = F.struct(s["ann_idx"].alias("ann_idx"), s["start"].alias("start"), s["end"].alias("end"),
-                       acc["top"].alias("prev_max_end"))
-        return F.struct(F.greatest(acc["top"], s["end"]).alias("top"),
-                        F.when(acc["top"] > s["start"], F.array_append(acc["found"], hit))
-                         .otherwise(acc["found"]).alias("found"))
-    return F.aggregate(ordered, init, step, lambda acc: acc["found"])
+    ended. Running maxima of the ends, no shuffle."""
+    def build(ordered):
+        tops = running(F.transform(ordered, lambda s: s["end"]), F.greatest, F.lit(None).cast("int"))
+        return F.filter(F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("int")), tops), lambda s, top: F.struct(
+            s["ann_idx"].alias("ann_idx"), s["start"].alias("start"), s["end"].alias("end"), top.alias("prev_max_end"))),
+            lambda s: s["prev_max_end"] > s["start"])
+    return let(build, F.array_sort(F.transform(col_(spans), lambda s, i: F.struct(
+        s["start"].alias("start"), i.alias("ann_idx"), s["end"].alias("end")))))
 
 
 def missing_mentions(expected, annotated) -> Column:

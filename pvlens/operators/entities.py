@@ -9,7 +9,7 @@ from pvlens.functions.lexicons import (
     ENTITY_RULES, HIGHLIGHT_COLOR_DEFAULT, HIGHLIGHT_COLORS, LABEL_COLOR_DEFAULT,
     LABEL_COLORS, SEVERITY_ENTITY_TERMS,
 )
-from pvlens.functions.text import col_, join_list, position_label, regex_quote
+from pvlens.functions.text import col_, join_list, position_label, regex_quote, running_sums
 
 ENTITY_TYPE = "struct<type:string,text:string,start:int,end:int>"
 
@@ -108,20 +108,16 @@ def all_mentions(text, rules: list[tuple[str, str]]) -> Column:
     """Every non-overlapping occurrence of each term in any case, rule order
     then text order: ``array<struct<type,text,start,end>>``. Row-local: split
     the text itself, not its lower case (which may be longer), on the quoted
-    term, then a running offset over the pieces."""
+    term, then running sums over the pieces."""
     t = F.coalesce(col_(text), F.lit(""))
     per_rule = []
     for typ, term in rules:
         L = len(term)
         parts = F.split(t, "(?i)" + regex_quote(term), -1)
-        # pieces p0..pk; occurrence j starts at len(p0..pj) + j*L
-        acc0 = F.struct(F.lit(0).alias("off"), F.array().cast("array<int>").alias("starts"))
-        folded = F.aggregate(
-            F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), acc0,
-            lambda acc, p: F.struct(
-                (acc["off"] + F.length(p) + F.lit(L)).alias("off"),
-                F.concat(acc["starts"], F.array(acc["off"] + F.length(p))).alias("starts")))
-        per_rule.append(F.transform(folded["starts"], lambda s: F.struct(
-            F.lit(typ).alias("type"), F.lit(term).alias("text"), s.alias("start"),
-            (s + F.lit(L)).alias("end"))))
+        # pieces p0..pk; occurrence j ends at len(p0..pj) + (j + 1) * L
+        ends = running_sums(F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+                                        lambda p: F.length(p) + F.lit(L)))
+        per_rule.append(F.transform(ends, lambda e: F.struct(
+            F.lit(typ).alias("type"), F.lit(term).alias("text"), (e - F.lit(L)).alias("start"),
+            e.alias("end"))))
     return F.flatten(F.array(*per_rule))

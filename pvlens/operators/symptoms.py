@@ -10,6 +10,7 @@ from pvlens.functions.lexicons import (
     CLUSTER_MAX, DEFAULT_SYMPTOMS, LAYOUT_CENTER, LAYOUT_PI, LAYOUT_RADIUS,
 )
 from pvlens.functions.text import alternation, col_, let
+from pvlens.session import written
 
 
 def extract_symptoms(text, dictionary: list[str] | None = None) -> Column:
@@ -115,9 +116,32 @@ def dictionary_frame(spark, terms: list[str]) -> DataFrame:
                                  "term string, priority int")
 
 
-def _ngrams(pieces: Column, tokens: Column, max_words: int) -> Column:
-    """Per token k: the strings spanning tokens k..k+n-1 (n = 1..max_words)
-    exactly as written, separators included."""
+# Bits of the first-word filter: this many a term, between the two bounds (32 KB, 1 MB).
+BITS_A_TERM, FEWEST_BITS, MOST_BITS = 16, 1 << 18, 1 << 23
+
+
+def first_word_filter(dictionary: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the hashes of the terms' first words, as one row of longs in
+    ``bits``, and its number of bits. It is built by one aggregate, its size is
+    bounded, and it says yes to every first word."""
+    n = dictionary.count() * BITS_A_TERM
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << n.bit_length()))
+    bit = _bit(F.regexp_extract("term", f"({WORD_RUN})", 1), size)
+    words = dictionary.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), F.pmod(bit, F.lit(64)).alias("at"))
+    set_ = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", F.col("at").cast("int"))).alias("bits"))
+    # at most MOST_BITS / 64 longs
+    held = set_.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return held.select(F.transform(F.sequence(F.lit(0), F.lit(size // 64 - 1)), lambda i: F.coalesce(
+        F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("bits")), size
+
+
+def _bit(word: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(size))
+
+
+def _ngrams(pieces: Column, tokens: Column, max_words: int, bits: Column, size: int) -> Column:
+    """Per token k that may begin a term: the strings spanning tokens k..k+n-1
+    (n = 1..max_words) exactly as written, separators included."""
     n_tok = F.size(tokens)
 
     def at(k):
@@ -131,8 +155,11 @@ def _ngrams(pieces: Column, tokens: Column, max_words: int) -> Column:
             cur = tok if cur is None else F.concat(cur, F.try_element_at(pieces, last + 1), tok)
             out.append(cur)
         return out
-    starts = F.when(n_tok > 0, F.sequence(F.lit(0), n_tok - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, at)
+    def may_begin(token):
+        return let(lambda b: F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1,
+                   _bit(token, size))
+    marked = F.transform(tokens, lambda token, k: F.when(may_begin(token), k))
+    return F.transform(F.filter(marked, lambda k: k.isNotNull()), at)
 
 
 def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], dictionary: DataFrame,
@@ -143,7 +170,8 @@ def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], diction
 
     1. Tokenise the lower-cased text into word runs; every token start is a
        candidate match start (a match needs ``\\b`` before it).
-    2. Emit each token's n-grams (n up to the longest term) exactly as
+    2. Emit the n-grams of each token that passes a bitmap of the terms' first
+       words (:func:`first_word_filter`) (n up to the longest term) exactly as
        written and equi-join them to the dictionary. Spark chooses the join by
        the dictionary's size in bytes; a shuffle join's hot n-grams are split
        by AQE.
@@ -155,9 +183,11 @@ def extract_symptoms_join(df: DataFrame, text_col: str, keys: list[str], diction
     longest = d.agg(F.max(F.size(F.regexp_extract_all(F.col("term"), F.lit(WORD_RUN), 0)))).first()[0]
     max_words = max(int(longest or 1), 1)
     t = F.lower(F.col(text_col))
-    toks = df.select(*keys, let(lambda p, w: _ngrams(p, w, max_words),
-                                F.split(t, WORD_RUN, -1),
-                                F.regexp_extract_all(t, F.lit(WORD_RUN), 0)).alias("_at"))
+    bitmap, size = first_word_filter(d)
+    # the bitmap is a scalar subquery, which the optimizer puts into the expression
+    toks = df.withColumn("_bits", written(bitmap, "first-words").scalar()).select(*keys, let(
+        lambda p, w: _ngrams(p, w, max_words, F.col("_bits"), size),
+        F.split(t, WORD_RUN, -1), F.regexp_extract_all(t, F.lit(WORD_RUN), 0)).alias("_at"))
     grams = (toks.select(*keys, F.inline("_at"))
                  .select(*keys, "_k", F.posexplode("_g").alias("_n", "term"))
                  .filter(F.col("term").isNotNull()))

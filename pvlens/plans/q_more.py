@@ -93,11 +93,10 @@ def q_file_problems(spark, sf):
     """S3: a stray file and a second file of one part and year are reported."""
     base = scratch_path(spark, "problems")
     parts = T.yearly_parts(spark, sf)
-    small = {"VAX": parts["VAX"].select("year", "VAERS_ID", "ORDER")}
-    IO.write_yearly_files(small, base, ["2021", "2022"])
-    IO.write_csv(small["VAX"].where("year = '2021'").drop("year"),
+    IO.write_yearly_files({"VAX": parts["VAX"]}, base, _ALL_YEARS)
+    IO.write_csv(parts["VAX"].where("year = '2021'").drop("year"),
                  os.path.join(base, "2021VAERSData", "2021copyVAX.csv"))
-    IO.write_csv(T.reports(spark, sf).select("VAERS_ID"), os.path.join(base, "2024VAERSData", "notes.csv"))
+    IO.write_csv(T.reports(spark, sf), os.path.join(base, "2024VAERSData", "notes.csv"))
     found = IO.file_report(IO.classify_files(IO.list_files(spark, base)))
     return found.groupBy("year", "role", "problem").agg((F.count(F.lit(1)) > 0).alias("present"))
 
@@ -147,14 +146,18 @@ def q_blend_overlapping_columns(spark, sf):
                    T.report_vax(spark, sf).select("VAERS_ID", "VAX_TYPE"))
 
 
+_ALL_YEARS = [str(y) for y in range(2020, 2026)]
+
+
 @register("union_years", P.with_views(
-    "SELECT VAERS_ID, STATE, NULL AS SEX, '2020' AS year FROM reports WHERE year = '2020' "
-    "UNION ALL SELECT VAERS_ID, NULL, SEX, '2021' FROM reports WHERE year = '2021'", "reports"))
+    "SELECT VAERS_ID, CASE WHEN CAST(year AS INTEGER) % 2 = 0 THEN STATE END AS STATE, "
+    "CASE WHEN CAST(year AS INTEGER) % 2 = 1 THEN SEX END AS SEX, year FROM reports", "reports"))
 def q_union_years(spark, sf):
-    """Years with different columns under one schema, the year as a column."""
+    """All years, whose columns differ from one to the next, under one schema with
+    the year as a column."""
     r = T.reports(spark, sf)
-    return J.union_years({"2020": r.where("year = '2020'").select("VAERS_ID", "STATE"),
-                          "2021": r.where("year = '2021'").select("VAERS_ID", "SEX")})
+    return J.union_years({y: r.where(F.col("year") == y).select("VAERS_ID", "SEX" if int(y) % 2 else "STATE")
+                          for y in _ALL_YEARS})
 
 
 @register("severity_filtered", P.with_views(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pvlens.operators.batch import share_of_total
 from pvlens.operators.ordering import forward_fill, forward_fill_then, with_row_index
 from pvlens.plans import sqlparts as P
 from pvlens.plans.catalog import register
+from pvlens.session import written
 from pvlens.sources import tables as T
 
 RC = T.REPORT_COLUMNS
@@ -92,6 +95,38 @@ register("distinct_with_null", _with(["reports"], _per_column_sql(
     lambda spark, sf: A.distinct_with_null(T.reports(spark, sf)))
 
 
+_YEAR_SETS = [["2020"], ["2021", "2023"], None]
+
+
+def _sketch_sql() -> str:
+    parts = []
+    for members in _YEAR_SETS:
+        name = "+".join(members) if members else "all"
+        where = f" WHERE year IN ({', '.join(P.q(m) for m in members)})" if members else ""
+        for c in RC:
+            if c != "year":
+                parts.append(f"SELECT {P.q(name)} AS years, {P.q(c)} AS column_name, count(DISTINCT {qi(c)}) AS exact, "
+                             f"count(*) AS n_rows, TRUE AS within FROM reports{where}")
+    return P.with_views(" UNION ALL ".join(parts), "reports")
+
+
+@register("distinct_sketches_by_year", _sketch_sql())
+def q_distinct_sketches_by_year(spark, sf):
+    """Distinct values of every column for sets of years, from one table of
+    sketches by year; the estimates lie within 6 % of the exact counts."""
+    reports = T.reports(spark, sf)
+    sketches = written(A.distinct_sketches(reports, "year"), "sketches")
+    out = []
+    for members in _YEAR_SETS:
+        rows = reports if members is None else reports.where(F.col("year").isin(members))
+        exact = A.unique_profile(rows.drop("year")).select("column_name", F.col("n_unique").alias("exact"))
+        near = F.abs(F.col("n_unique") - F.col("exact")) <= F.col("exact") * 0.06
+        out.append(A.distinct_estimates(sketches, "year", members).join(exact, "column_name").select(
+            F.lit("+".join(members) if members else "all").alias("years"), "column_name", "exact", "n_rows",
+            near.alias("within")))
+    return reduce(DataFrame.union, out)
+
+
 @register("duplicate_count", P.with_views(
     "SELECT CAST(sum(k) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(k - 1) AS BIGINT) AS n_duplicates "
     "FROM (SELECT count(*) AS k FROM report_symptoms GROUP BY VAERS_ID, SYMPTOM1, SYMPTOM2)",

@@ -391,8 +391,17 @@ def q_document_severity(spark, sf):
                     sev["severity"].alias("predicted"), sev["confidence"].alias("confidence"))
 
 
-@register("document_symptoms", "SELECT doc_id, unnest(" + P.symptoms_sql("text") + ") AS symptom FROM documents")
+# Words of the documents beside the built-in terms, which they do not hold; no term
+# of the list occurs inside another's match there.
+DOCUMENT_TERMS = DEFAULT_SYMPTOMS + ["and", "der", "que", "la", "in the", "en", "avec"]
+_NO_WORD = r"[^\p{L}\p{N}_]"
+
+
+@register("document_symptoms", "SELECT doc_id, term AS symptom FROM documents, (SELECT unnest(["
+          + ", ".join(P.q(t.lower()) for t in dict.fromkeys(DOCUMENT_TERMS)) + "]) AS term) WHERE contains(lower(text), term) "
+          f"AND regexp_matches(lower(text), '(^|{_NO_WORD})' || term || '({_NO_WORD}|$)')")
 def q_document_symptoms(spark, sf):
-    """D4 over whole documents with the large-dictionary (n-gram join) form."""
+    """D4 over whole documents with the large-dictionary (n-gram join) form, terms that
+    occur included."""
     d = T.read_table(spark, sf, "documents").select("doc_id", "text")
-    return S.extract_symptoms_join(d, "text", ["doc_id"], S.dictionary_frame(spark, DEFAULT_SYMPTOMS))
+    return S.extract_symptoms_join(d, "text", ["doc_id"], S.dictionary_frame(spark, DOCUMENT_TERMS))
