@@ -164,43 +164,78 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key], kind), _list_array([held])], names=["by", "sketch"])
 
 
+def _alike_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are alike become one with their number, before anything moves."""
+    for batch in batches:
+        names = batch.schema.names
+        counted = pa.Table.from_batches([batch]).group_by([n for n in names if n != "n"]).aggregate([("n", "sum")])
+        yield from counted.rename_columns(["n" if n == "n_sum" else n for n in counted.column_names]).select(
+            names).to_batches()
+
+
+class Bounds:
+    """Cuts of the order (key, hash): a key that fills several even parts is cut
+    along its hashes, which are spread evenly."""
+
+    def __init__(self, quantiles: list[int]):
+        top = (1 << 63) - 1
+        self.orders = np.array(sorted(quantiles), np.int64)
+        values, counts = np.unique(self.orders, return_counts=True)
+        self.hashes = np.array([top if j == m else (j << 64) // m - (1 << 63)
+                                for m in counts.tolist() for j in range(1, m + 1)], np.int64)
+
+    def bucket(self, order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The part of each row, in descending order."""
+        low = np.searchsorted(self.orders, order, "left")
+        high = np.searchsorted(self.orders, order, "right")
+        for at in np.unique(low[low < high]).tolist():
+            rows = np.flatnonzero((low == at) & (high > at))
+            stop = int(high[rows[0]])
+            low[rows] = at + np.searchsorted(self.hashes[at:stop], hashes[rows], "left")
+        return len(self.orders) - low
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows (``key``, ``text``, ``guest``) so dealt that each partition holds
-    neighbours in descending ``key`` order, followed by the first row of the next
-    partition (the last one by the first row of all) as a ``guest``.
+    """Rows (``key``, ``text``, their number ``n``, ``guest``) so dealt that each
+    partition holds neighbours in descending ``key`` order, followed by the first
+    row of the next partition (the last one by the first row of all) as a ``guest``.
 
-    Bounds come from a quantile sketch of the keys and the first key of each
+    Bounds come from a quantile sketch of the keys and the first row of each
     partition from one count over the keys, so the texts are shuffled once and
-    only one row for each partition is sent twice. Rows that repeat a key stand
-    together, by text; a null key is the least of all."""
+    only one row for each partition (of copies, one a batch) is sent twice. Rows that repeat a key stand
+    together, by a hash of the text, over as many partitions as they fill; rows that
+    are alike in both become one on the map side. A null key is the least of all."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))).alias("order"),
-                        "key", "text")
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "key",
+                        F.coalesce("text", F.lit("")).alias("text"), F.lit(1).cast("long").alias("n"))
     # quantiles of the quantiles of some partitions each: sketches of bounded size,
     # of which no task merges many. They only cut the order into even parts.
     near = keyed.groupBy((F.spark_partition_id() / SKETCH_FAN_IN).cast("int").alias("part")).agg(
         F.percentile_approx("order", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES).alias("q"))
     shares = [i / parts for i in range(1, parts)]
-    bounds = near.select(F.explode("q").alias("order")).agg(
+    found = near.select(F.explode("q").alias("order")).agg(
         F.percentile_approx("order", shares or [0.5], 10 * QUANTILES)).first()[0]
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    bounds = Bounds(found or [])
 
-    def bucket_of(order: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, order.to_numpy(), "left"))
+    def bucket_of(order: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(bounds.bucket(order.to_numpy(), hashes.to_numpy()))
     bucket = F.pandas_udf(bucket_of, "int")
-    firsts = keyed.select("order", bucket("order").alias("bucket")).groupBy("bucket").agg(
-        F.max("order").alias("order")).orderBy("bucket").collect()  # one row for each partition
-    before = {r["order"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
-
-    def places(order: pd.Series) -> pd.Series:
-        own = bucket_of(order)
-        return pd.Series([[b] if (g := before.get(o)) is None else [b, g]
-                          for o, b in zip(order.tolist(), own.tolist())])
-    dealt = keyed.select("*", F.posexplode(F.pandas_udf(places, "array<int>")("order")).alias(
+    firsts = keyed.select("order", "hash", bucket("order", "hash").alias("bucket")).groupBy("bucket").agg(
+        F.max(F.struct("order", "hash")).alias("first")).orderBy("bucket").collect()  # one row for each partition
+    before = {tuple(r["first"]): firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
+
+    def places(order: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = bounds.bucket(order.to_numpy(), hashes.to_numpy())
+        return pd.Series([[b] if (g := before.get(k)) is None else [b, g]
+                          for k, b in zip(zip(order.tolist(), hashes.tolist()), own.tolist())])
+    counted = keyed.mapInArrow(_alike_together, keyed.schema)
+    dealt = counted.select("*", F.posexplode(F.pandas_udf(places, "array<int>")("order", "hash")).alias(
         "guest", "bucket"))
-    return (dealt.repartitionById(len(bounds) + 1, "bucket")
-            .sortWithinPartitions("guest", F.desc("order"), F.desc("text")).drop("order", "bucket"))
+    return (dealt.repartitionById(len(bounds.orders) + 1, "bucket")
+            .sortWithinPartitions("guest", F.desc("order"), F.desc("hash"), F.desc("text"))
+            .drop("order", "hash", "bucket"))
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +254,25 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([distinct_count(s) for s in own])],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                    "near_edited", "near_next", "distinct_shingles"])
+
+    def repeated(keys, texts, own, counts):
+        """All but the last of rows that are alike are followed by themselves."""
+        at = [i for i, n in enumerate(counts) if n > 1]
+        if at:
+            some = [[x[i] for i in at] for x in (keys, texts, own)]
+            rows = rows_of(*some, some[1], some[2])
+            for i, row in zip(at, range(len(at))):
+                for low in range(0, counts[i] - 1, 1 << 12):
+                    yield rows.take(pa.array([row] * min(1 << 12, counts[i] - 1 - low)))
     for block in text_blocks(batches):
         # of the guests at the end only the first is a neighbour
         native = int((block.column("guest").to_numpy() == 0).sum())
+        counts = block.column("n").to_pylist()[:native]
         block = block.slice(0, min(native + 1, block.num_rows))
         keys = block.column("key").to_pylist()
         texts = [t or "" for t in block.column("text").to_pylist()]
         own = sketches([t.encode() for t in texts])
+        yield from repeated(keys, texts, own, counts)
         if held is not None:
             keys, texts, own = [held[0], *keys], [held[1], *texts], [held[2], *own]
         if len(keys) > 1:
@@ -245,7 +292,8 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     A null text is an empty one. Equal texts have equal fingerprints; two texts
     without words resemble each other fully. Rows that repeat a key follow each
-    other by text. A single row is its own neighbour; an empty table gives an
+    other in descending order of a hash of the text; a very long text is a block of
+    its own. A single row is its own neighbour; an empty table gives an
     empty one. Further columns are not read."""
     rows = with_next(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInArrow(_edited, (

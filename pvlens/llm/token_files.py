@@ -193,12 +193,17 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
     document ended by ``end_id``.
 
     A null text is an empty one (its end id alone), null keys come first, rows
-    that repeat a key stand side by side, further columns are not written, and
-    an empty table writes files without segments."""
+    that repeat a key stand side by side by a hash of their texts, a very long text
+    is a block and a segment of its own, further columns are not written, and an
+    empty table writes files without segments. The order is cut on key, hash and
+    number of the row, so a key that holds a third of all rows, with one text or
+    with many, spreads over as many ranges."""
     model = vocabulary or public_tokenizers.path(VOCABULARY_FILE)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-               .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = (rows.repartitionByRange(parts, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash")
+               .select("doc_id", "text"))
     ordered.mapInArrow(lambda b: _segments(b, model, kind, end_id), SEGMENT).write.option(
         "compression", "none").parquet(path)
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pvlens.llm import fingerprint as fp
 
@@ -67,4 +68,32 @@ def test_odd_rows(spark, odd, empty):
     assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"a b ca"[:4] + b"a").hexdigest()
     for parts in (1, 3, 50):
         dealt = fp.with_next(odd.selectExpr("doc_id as key", "text"), parts).where("guest = 0")
-        assert dealt.count() == odd.count()
+        assert dealt.agg({"n": "sum"}).first()[0] == odd.count()
+
+
+def test_a_key_on_a_third_of_all_rows(spark, odd):
+    """Null on a third of the rows with as many texts, an id on another with one."""
+    rows = [(None, f"hot words of text number {i} and more of it") for i in range(2000)]
+    rows += [(5, "the same words in each of these")] * 2000 + [(i, f"cold words of text {i} here") for i in range(10, 2010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = fp.with_next(docs.selectExpr("doc_id as key", "text"), 8)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count("*").alias("rows"), F.sum("guest").alias("guests")).collect()
+    assert len(sizes) >= 6 and max(r["rows"] for r in sizes) <= 2 * 4000 / 6
+    assert all(r["guests"] <= 6 for r in sizes)  # of copies, one from each batch
+    order = docs.withColumn("h", F.xxhash64("text")).orderBy(
+        F.desc_nulls_last("doc_id"), F.desc("h")).collect()
+    wanted = []
+    for r, following in zip(order, order[1:] + order[:1]):
+        n = len(r["text"]) // 3
+        wanted.append((r["doc_id"] or 0, hashlib.sha256((r["text"][:len(r["text"]) - n] + following["text"][:n]).encode()).hexdigest()))
+    got = [(r["doc_id"] or 0, r["edited_sha256"]) for r in fp.compare_neighbours(docs).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
+def test_a_text_of_several_megabytes(spark, odd):
+    long = " ".join(f"word{i % 5000}" for i in range(400_000))
+    docs = spark.createDataFrame([(2, long), (1, "a b c d e f"), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fp.compare_neighbours(docs).collect()}
+    assert rows[2]["n_chars"] == len(long) and abs(rows[2]["distinct_shingles"] / 5000 - 1) < 0.25
+    assert rows[3]["near_next"] == 0.0 and rows[1]["n_chars"] == 11

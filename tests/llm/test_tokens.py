@@ -9,6 +9,7 @@ import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pvlens.llm import bpe, token_counts, token_files
@@ -159,3 +160,41 @@ def test_odd_rows(spark, odd, empty):
     path = scratch_path(spark, "empty")
     token_files.write_token_files(empty, path)
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_a_key_on_a_third_of_all_rows(spark, odd):
+    """Null with as many texts, one id with the same text: no part gets twice its share."""
+    rows = [(None, f"hot text {i}") for i in range(2000)] + [(5, "the same text")] * 2000
+    rows += [(i, f"cold text {i}") for i in range(10, 2010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = scratch_path(spark, "hot")
+    token_files.write_token_files(docs, path)
+    sizes = [len(r["doc_ids"]) for r in spark.read.parquet(path).groupBy("part").agg(
+        F.flatten(F.collect_list("doc_ids")).alias("doc_ids")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 6000 / 8
+    back = token_files.read_token_files(spark, path).orderBy("start").collect()
+    keys = [r["doc_id"] for r in back]
+    assert keys == [None] * 2000 + [5] * 2000 + list(range(10, 2010))
+    assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in back) == sorted(
+        (i or 0, np.array([*FAST.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows)
+
+
+def test_texts_of_several_megabytes(spark, odd):
+    texts = ["word, and " * 300_000, "é" * 1_500_000, "0123456789abcdef" * 100_000 + "\n  x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_documents(docs, decoded="back").collect():
+        assert bytes(r["back"]).decode() == texts[r["doc_id"]]
+        if r["doc_id"] == 0:  # the library itself is slow on the others
+            assert np.frombuffer(r["ids"], "<u4").tolist() == LIBRARY.encode_ordinary(texts[0])
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs.where("doc_id = 0")).collect()}
+    assert counts == {0: len(PIECES.encode(texts[0]))}
+    encoder = token_files.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert rows(*encoder.encode(pa.array(texts[:1]))) == [FAST.encode(texts[0], add_special_tokens=False).ids]
+
+
+def test_any_other_pattern_matches_texts_whole():
+    pattern = r"[^ ]+| +"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(RANKS).of, special_tokens={})
+    encoder = bpe.Encoder(RANKS, pattern)
+    for _ in range(2):
+        assert rows(*encoder.encode(pa.array(ODD[:8]))) == [own.encode_ordinary(t) for t in ODD[:8]]
