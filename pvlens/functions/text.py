@@ -41,7 +41,7 @@ def let(body, *exprs: Column) -> Column:
 
 
 # Elements of a chunk, and levels of chunks, in :func:`running`.
-CHUNK, LEVELS = 64, 3
+CHUNK, LEVELS = 64, 2
 
 
 def running(values: Column, op, zero: Column, levels: int = LEVELS) -> Column:

@@ -42,14 +42,14 @@ def pattern_mentions(text, patterns: list[tuple[str, str]] = EXTRA_ENTITY_PATTER
     Offsets come from splitting on the same regex: match j ends after pieces
     0..j and matches 0..j."""
     t = F.lower(F.coalesce(col_(text), F.lit("")))
-    per_type = []
-    for typ, pat in patterns:
-        def build(pieces, found, typ=typ):
-            ends = running_sums(F.transform(found, lambda m, j: F.length(F.get(pieces, j)) + F.length(m)))
-            return F.zip_with(found, ends, lambda m, end: F.struct(
-                F.lit(typ).alias("type"), m.alias("text"), (end - F.length(m)).alias("start"), end.alias("end")))
-        per_type.append(let(build, F.split(t, pat, -1), F.regexp_extract_all(t, F.lit(pat), 0)))
-    return F.flatten(F.array(*per_type))
+    found = F.array(*[F.struct(F.lit(typ).alias("type"), F.split(t, pat, -1).alias("pieces"),
+                               F.regexp_extract_all(t, F.lit(pat), 0).alias("matches")) for typ, pat in patterns])
+
+    def spans(f):
+        ends = running_sums(F.transform(f["matches"], lambda m, j: F.length(F.get(f["pieces"], j)) + F.length(m)))
+        return F.zip_with(f["matches"], ends, lambda m, end: F.struct(
+            f["type"].alias("type"), m.alias("text"), (end - F.length(m)).alias("start"), end.alias("end")))
+    return F.flatten(F.transform(found, spans))
 
 
 # ---------------------------------------------------------------- export shape
@@ -100,46 +100,69 @@ def bio_tags(text, spans) -> Column:
     overwrite earlier ones. Results without bounds are left out
     (:func:`broken_annotations` lists them).
 
-    A sweep over the spans' starts and ends, in order, with the set of open
-    spans: between two events the open span that comes last in the list names
+    Spans in order that do not overlap are runs of their own, with gaps between.
+    Else a sweep goes over the spans' starts and ends, in order, with the set of
+    open spans: between two events the open span that comes last in the list names
     the run. Events are folded in chunks, so that the runs are not copied at
     every step; an event costs the number of spans that are open there."""
-    def build(n, spans):
-        placed = F.filter(F.transform(spans, lambda s, i: F.struct(
-            i.alias("i"), s["start"].alias("start"), s["label"].alias("label"),
-            F.greatest(F.least(s["end"], n), s["start"] + 1).alias("end"))),
-            lambda s: (s["start"] < n) & (s["end"] > 0))
-        # at one place spans close before others open
-        events = F.array_sort(F.concat(
-            F.transform(placed, lambda s: _event(s["end"], False, s)),
-            F.transform(placed, lambda s: _event(F.greatest(s["start"], F.lit(0)), True, s)),
-            F.array(_event(n, True, None))))
+    def place(n, spans):
+        return F.array_sort(F.filter(F.transform(spans, lambda s, i: F.struct(
+            F.greatest(s["start"], F.lit(0)).alias("from"), i.alias("i"), s["start"].alias("start"),
+            s["label"].alias("label"), F.greatest(F.least(s["end"], n), s["start"] + 1).alias("end"))),
+            lambda s: (s["start"] < n) & (s["end"] > 0)))
+
+    def build(n, placed):
+        apart = F.size(F.filter(placed, lambda s, i: (i > 0) & (s["from"] < F.get(placed, i - 1)["end"]))) == 0
+        return F.when(apart, _apart(n, placed)).otherwise(_swept(n, placed))
+    n, spans = F.length(col_(text)), whole_annotations(spans)
+    return let(build, n, let(place, n, spans))
+
+
+def _apart(n, placed) -> Column:
+    """Tags of spans in order, of which none overlaps another."""
+    def before(i):
+        return F.when(i > 0, F.get(placed, i - 1)["end"]).otherwise(0)
+    runs = F.transform(placed, lambda s, i: F.concat(
+        F.array_repeat(F.lit("O"), s["from"] - before(i)),
+        _tags(F.struct(s["label"].alias("label"), (s["from"] == s["start"]).alias("first"),
+                       (s["end"] - s["from"]).alias("size")))))
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit("O"), n - before(F.size(placed))))
+
+
+def _swept(n, placed) -> Column:
+    """Tags of spans in order, of which some overlap."""
+    # at one place spans close before others open
+    events = F.array_sort(F.concat(
+        F.transform(placed, lambda s: _event(s["end"], False, s)),
+        F.transform(placed, lambda s: _event(s["from"], True, s)),
+        F.array(_event(n, True, None))))
+
+    def step(acc, e):
+        # the run up to this event, of the last open span
+        top = F.array_max(acc["open"])
+        run = F.struct(top["label"].alias("label"), (top["start"] == acc["at"]).alias("first"),
+                       (e["at"] - acc["at"]).alias("size"))
+        own = F.struct(e["i"].alias("i"), e["start"].alias("start"), e["label"].alias("label"))
+        return F.struct(
+            e["at"].alias("at"),
+            F.when(e["i"] < 0, acc["open"]).when(e["opens"], F.concat(acc["open"], F.array(own))).otherwise(
+                F.filter(acc["open"], lambda o: o["i"] != e["i"])).alias("open"),
+            F.when(e["at"] > acc["at"], F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"))
+
+    def chunk(acc, events):
+        def after(done):
+            return F.struct(done["at"].alias("at"), done["open"].alias("open"),
+                            F.concat(acc["runs"], F.array(done["runs"])).alias("runs"))
+        inner = F.struct(acc["at"].alias("at"), acc["open"].alias("open"), F.array().cast(_RUNS).alias("runs"))
+        return let(after, F.aggregate(events, inner, step))
+
+    def sweep(events):
         chunks = F.transform(F.sequence(F.lit(0), ((F.size(events) - 1) / CHUNK).cast("int")),
                              lambda c: F.slice(events, c * CHUNK + 1, CHUNK))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"),
                          F.array().cast(f"array<{_RUNS}>").alias("runs"))
-
-        def step(acc, e):
-            # the run up to this event, of the last open span
-            top = F.array_max(acc["open"])
-            run = F.struct(F.struct(top["label"].alias("label"), (top["start"] == acc["at"]).alias("first"),
-                                    (e["at"] - acc["at"]).alias("size")).alias("r"))["r"]
-            own = F.struct(e["i"].alias("i"), e["start"].alias("start"), e["label"].alias("label"))
-            return F.struct(
-                e["at"].alias("at"),
-                F.when(e["i"] < 0, acc["open"]).when(e["opens"], F.concat(acc["open"], F.array(own))).otherwise(
-                    F.filter(acc["open"], lambda o: o["i"] != e["i"])).alias("open"),
-                F.when(e["at"] > acc["at"], F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"))
-
-        def chunk(acc, events):
-            def after(done):
-                return F.struct(done["at"].alias("at"), done["open"].alias("open"),
-                                F.concat(acc["runs"], F.array(done["runs"])).alias("runs"))
-            inner = F.struct(acc["at"].alias("at"), acc["open"].alias("open"), F.array().cast(_RUNS).alias("runs"))
-            return let(after, F.aggregate(events, inner, step))
-        runs = F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["runs"]))
-        return F.flatten(F.transform(runs, _tags))
-    return let(build, F.length(col_(text)), whole_annotations(spans))
+        return F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["runs"]))
+    return F.flatten(F.transform(let(sweep, events), _tags))
 
 
 _OPEN = "array<struct<i:int,start:int,label:string>>"

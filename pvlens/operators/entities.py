@@ -110,14 +110,13 @@ def all_mentions(text, rules: list[tuple[str, str]]) -> Column:
     the text itself, not its lower case (which may be longer), on the quoted
     term, then running sums over the pieces."""
     t = F.coalesce(col_(text), F.lit(""))
-    per_rule = []
-    for typ, term in rules:
-        L = len(term)
-        parts = F.split(t, "(?i)" + regex_quote(term), -1)
-        # pieces p0..pk; occurrence j ends at len(p0..pj) + (j + 1) * L
-        ends = running_sums(F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
-                                        lambda p: F.length(p) + F.lit(L)))
-        per_rule.append(F.transform(ends, lambda e: F.struct(
-            F.lit(typ).alias("type"), F.lit(term).alias("text"), (e - F.lit(L)).alias("start"),
-            e.alias("end"))))
-    return F.flatten(F.array(*per_rule))
+    parts = F.array(*[F.split(t, "(?i)" + regex_quote(term), -1) for _, term in rules])
+    named = F.array(*[F.struct(F.lit(typ).alias("type"), F.lit(term).alias("text")) for typ, term in rules])
+
+    def spans(rule, pieces):
+        # pieces p0..pk; occurrence j ends at len(p0..pj) + (j + 1) * len(term)
+        size = F.length(rule["text"])
+        ends = running_sums(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) + size))
+        return F.transform(ends, lambda e: F.struct(
+            rule["type"].alias("type"), rule["text"].alias("text"), (e - size).alias("start"), e.alias("end")))
+    return F.flatten(F.zip_with(named, parts, spans))
