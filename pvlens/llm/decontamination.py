@@ -20,9 +20,10 @@ longer item are all ``PIECE`` words, the last one reaches back for them.
 
 Items are a small table, but not one of a known size: the index is built in
 shards of at most ``SHARD_ROWS`` pieces, which bounds a shard to
-``SHARD_ROWS * PIECE`` postings and a block table of some 20 MB. Shards go to the
-tasks one after the other; document frequencies are those of all pieces. No
-document leaves its row: nothing is shuffled.
+``SHARD_ROWS * PIECE`` postings and a block table of some 20 MB. A task searches a
+block of documents in one shard after the other; document frequencies are those of
+all pieces. No document leaves its row: nothing is shuffled. The shards are built on
+the driver and broadcast, so benchmark and index have to fit there as a whole.
 
 An item is a pair of ``item_id`` and text, known by a hash of both: ids may
 repeat or be null and are only carried to the result.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvlens.llm.catalog import register, table
-from pvlens.llm.common import cut_words, schema_with, text_blocks, utf8, with_column, written
+from pvlens.llm.common import cut_words, text_blocks, utf8, with_column, written
 
 PIECE, PASSAGE, STRIDE = 64, 128, 64
 BLOCK, SHARD_ROWS = 4, 1024
@@ -58,8 +59,9 @@ LEAKS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())]))
 
-# Between shards a hit carries its item's key.
-KEYED = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), *LEAKS.elementType.fields]))
+_FIELDS = [f.name for f in LEAKS.elementType.fields]
+_LEAKS = pa.list_(pa.struct([pa.field(n, pa.int64() if n == "item_id" else pa.float64()) for n in _FIELDS]))
+_SEARCHED = "_searched_text"
 
 
 def term(word: str) -> str:
@@ -268,21 +270,20 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> I
     """The shards of the index. Items without words are left out."""
     def cut(batches):
         for batch in batches:
-            rows = [(i, at, ts[at:at + PIECE], t, k) for i, t, k in zip(
+            rows = [(i, at, ts[at:at + PIECE], k) for i, t, k in zip(
                 *(batch.column(c).to_pylist() for c in ("item", "text", "key")))
                 for ts in [terms(t)] for at in starts(len(ts))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                 pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.string())],
-                names=["item", "at", "terms", "text", "key"])
+                 pa.array([r[3] for r in rows], pa.string())], names=["item", "at", "terms", "key"])
     items = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(
         "text is not null").distinct()
     # an id is never empty text, so items without one have keys of their own
     items = items.withColumn("key", F.sha2(F.concat(
         F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary"), 256))
-    pieces = written(items.mapInArrow(
-        cut, "item long, at int, terms array<string>, text string, key string"), "pieces")
+    items = written(items, "items")
+    pieces = written(items.mapInArrow(cut, "item long, at int, terms array<string>, key string"), "pieces")
     totals = pieces.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("length")).first()
     if not totals["n"]:
         return
@@ -293,7 +294,8 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> I
         mine = dealt.where(F.col("shard") == shard)
         rows = mine.orderBy("item", "key", "at").collect()
         counts = frequency.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-        yield build([((r["item"], r["key"]), r["terms"], r["at"]) for r in rows], {r["key"]: r["text"] for r in rows},
+        texts = items.join(mine.select("key").distinct(), "key").select("key", "text").collect()  # each once
+        yield build([((r["item"], r["key"]), r["terms"], r["at"]) for r in rows], {r["key"]: r["text"] for r in texts},
                     {r["term"]: r["count"] for r in counts}, totals["n"], totals["length"])
 
 
@@ -303,22 +305,25 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
     as array<struct<item_id, score, question_overlap, answer_overlap>>. Texts that
     share an id, or have none, are items of their own, each with its own entry.
 
-    Null, empty and wordless texts and an empty benchmark give empty arrays.
+    Null, empty and wordless texts and an empty benchmark give empty arrays. A very
+    long text is a block of its own, all of whose passages are searched. Of hits with
+    one score on an item the first in the text counts. An item of one word is found
+    in every text that holds it.
     Other columns pass through; one named like ``out`` is replaced; rows stand alone."""
-    spark = docs.sparkSession
-    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out],
-                        F.array().cast(KEYED).alias(out))
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for block in text_blocks(batches, text):
-                leaks = search(utf8(block.column(text)), shared.value, threshold)
-                both = [_best(a + b) for a, b in zip(block.column(out).to_pylist(), leaks)]
-                yield with_column(block, out, pa.array(both, block.schema.field(out).type))
-        found = found.mapInArrow(run, schema_with(found, out, KEYED))
-    return found.withColumn(out, F.transform(out, lambda h: F.struct(
-        *[h[f.name].alias(f.name) for f in LEAKS.elementType.fields])))
+    shards = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark)]
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col(f"`{text}`").alias(_SEARCHED))
+
+    def run(batches):
+        for block in text_blocks(batches, _SEARCHED):
+            texts = utf8(block.column(_SEARCHED))
+            found = [[] for _ in texts]
+            for shared in shards:
+                for all_hits, hits in zip(found, search(texts, shared.value, threshold)):
+                    all_hits += hits
+            leaks = [[{n: h[n] for n in _FIELDS} for h in _best(hits)] for hits in found]
+            yield with_column(block.drop_columns([_SEARCHED]), out, pa.array(leaks, _LEAKS))
+    schema = T.StructType([f for f in rest.schema.fields if f.name != _SEARCHED] + [T.StructField(out, LEAKS)])
+    return rest.mapInArrow(run, schema)
 
 
 @register("op4_decontamination")

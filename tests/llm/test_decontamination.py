@@ -105,3 +105,23 @@ def test_parts_of_items(spark):
     assert both == {0: [1], 1: [2], 2: [], 3: [], 4: [], 5: [1], 6: [2], 7: [1]}
     alone = found((2, short))
     assert {d: [i for i in x if i == 2] for d, x in both.items()} == alone
+
+
+def test_many_items_are_one_python_stage(spark, odd, monkeypatch):
+    monkeypatch.setattr(dc, "SHARD_ROWS", 20)
+    texts = [f"what is the {i} of {i * 7} and {i * 13} in question {i}? it is {i * 3} of {i}" for i in range(100)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"noise {t} noise", "clash") for i, t in enumerate(texts[:30])],
+                                 "doc_id long, text string, leaks string")
+    found = dc.with_leaks(docs, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert all(r["doc_id"] in [x["item_id"] for x in r["leaks"]] for r in found.collect())
+
+
+def test_equal_scores_and_a_long_text(spark, odd):
+    item = "which river runs through the old town? the green river runs there"
+    noise = " ".join(f"zz{i}" for i in range(400_000))
+    items = spark.createDataFrame([(1, item), (2, item), (3, "lonely")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{item} {noise} {item}"), (2, "lonely"), (3, "lone ly")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["item_id"], round(x["score"], 6)) for x in r["leaks"]] for r in dc.with_leaks(docs, items).collect()}
+    assert got == {1: [(1, 1.0), (2, 1.0)], 2: [(3, 1.0)], 3: []}
