@@ -245,7 +245,8 @@ def encode_documents(docs: DataFrame, text: str = "text", out: str = "ids",
 
     A null or empty text has no ids. Other columns pass through; ones named like
     the results are replaced. Each row stands alone, so repeated rows repeat
-    their ids and an empty table gives an empty one."""
+    their ids and an empty table gives an empty one. A very long text is a block of
+    its own."""
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches):

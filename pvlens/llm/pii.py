@@ -208,7 +208,8 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
     Base spans always stay; a span of another kind stays when its score reaches
     ``KEEP_SCORE``. Null and empty texts have no spans; other columns pass
     through (one that is named like ``out`` is replaced); rows are independent,
-    so repeated rows get repeated results and an empty table an empty one."""
+    so repeated rows get repeated results and an empty table an empty one. A very
+    long text is searched whole, in its row."""
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN)
     spans = F.concat(*[_spans_of(kind, plain) for kind in KINDS])
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])

@@ -182,7 +182,8 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text",
     """``docs`` with ``out``: the probability of label 1.
 
     Null and empty texts are scored from their statistics alone. Other columns
-    pass through; one named like ``out`` is replaced; rows stand alone."""
+    pass through; one named like ``out`` is replaced; rows stand alone; an empty
+    table gives an empty one; a very long text is a block of its own, scored whole."""
     def run(batches):
         for block in text_blocks(batches, text):
             yield with_column(block, out, pa.array(machine.score(utf8(block.column(text)))))

@@ -188,7 +188,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Null, empty and short texts keep their words. Equal rows and rows with equal
     keys do not remove each other. A null key counts as the greatest. An empty
-    table gives an empty one. Further columns are not read."""
+    table gives an empty one. A very long text is a block of its own, read whole.
+    Further columns are not read."""
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"),
         F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))

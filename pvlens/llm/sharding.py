@@ -95,7 +95,8 @@ def place_documents(docs: DataFrame, shards: int, key: str = "doc_id",
     of ``docs`` are not read, whatever their names. ``size`` is the text's UTF-8
     bytes and 16 more; a null text counts as no bytes and has the CRC of none.
     Rows that repeat a key get the same shard and slots of their own. An empty
-    table gives an empty one. Slots follow no order of the keys."""
+    table gives an empty one. A very long text is a row like any other; it does not
+    move. Slots follow no order of the keys."""
     base = min(shards, BASE_SHARDS)
     now, grown = topology(shards, base), topology(shards + 1, base)
     placed = docs.select(

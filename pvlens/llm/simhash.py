@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Null and empty texts share fingerprint zero; a null key is kept and never
     names a component unless its component has no other key; repeated rows are
-    repeated; an empty table gives an empty one. Further columns are not read."""
+    repeated; an empty table gives an empty one. A very long text is a block of its
+    own, read whole. Further columns are not read."""
     marked = written(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
                      .select("key", "fingerprint"), "fingerprints")
     return classes(marked, bits).withColumnRenamed("key", key)

@@ -110,7 +110,8 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens",
     text, without begin and end tokens.
 
     Null and empty texts have none. Other columns pass through; one named like
-    ``out`` is replaced. Repeated rows repeat; an empty table stays empty."""
+    ``out`` is replaced. Repeated rows repeat; an empty table stays empty; a very
+    long text is a block of its own, counted whole."""
     path = model_path or public_tokenizers.path(MODEL_FILE)
     pieces = frequent_pieces(docs, text)
     lengths = dict(zip(pieces, Counter(path).library(pieces)))
