@@ -19,11 +19,15 @@ check looks as far around the passage as the item itself is long. Pieces of a
 longer item are all ``PIECE`` words, the last one reaches back for them.
 
 Items are a small table, but not one of a known size: the index is built in
-shards of at most ``SHARD_ROWS`` pieces, which bounds a shard to
-``SHARD_ROWS * PIECE`` postings and a block table of some 20 MB. A task searches a
-block of documents in one shard after the other; document frequencies are those of
-all pieces. No document leaves its row: nothing is shuffled. The shards are built on
-the driver and broadcast, so benchmark and index have to fit there as a whole.
+shards of about ``SHARD_ROWS // 2`` pieces, which bounds a shard to some
+``SHARD_ROWS * PIECE`` postings and a block table of some 20 MB. A Spark task builds
+each shard from its pieces, their items' texts and its terms' frequencies among all
+pieces, and the shards are one written table. They reach the tasks by broadcast, packed,
+in rounds of at most ``BROADCAST_BYTES`` (never less than one shard): the driver and a task hold one round, and a task
+unpacks one shard after the other for each block of documents. One round holds some
+hundred thousand pieces; a larger benchmark takes a pass over the documents for each
+round, whose result is written before the next. No document leaves its row: nothing of
+the documents is shuffled.
 
 An item is a pair of ``item_id`` and text, known by a hash of both: ids may
 repeat or be null and are only carried to the result.
@@ -31,12 +35,14 @@ repeat or be null and are only carried to the result.
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +52,10 @@ from pvlens.llm.common import cut_words, text_blocks, utf8, with_column, written
 
 PIECE, PASSAGE, STRIDE = 64, 128, 64
 BLOCK, SHARD_ROWS = 4, 1024
+# Neighbouring pieces of one item that go to the same shard.
+TOGETHER = 16
+# Packed shards that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
@@ -61,7 +71,9 @@ LEAKS = T.ArrayType(T.StructType([
 
 _FIELDS = [f.name for f in LEAKS.elementType.fields]
 _LEAKS = pa.list_(pa.struct([pa.field(n, pa.int64() if n == "item_id" else pa.float64()) for n in _FIELDS]))
-_SEARCHED = "_searched_text"
+_FOUND = pa.list_(pa.struct([pa.field("key", pa.string()), *_LEAKS.value_type]))  # between rounds
+_FOUND_TYPE = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), *LEAKS.elementType.fields]))
+_SEARCHED, _BEFORE = "_searched_text", "_found_before"
 
 
 def term(word: str) -> str:
@@ -266,8 +278,18 @@ def _best(found: list[dict]) -> list[dict]:
     return sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0, h["key"]))
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The shards of the index. Items without words are left out."""
+def pack(index: Index) -> bytes:
+    return zstandard.ZstdCompressor().compress(pickle.dumps(index, protocol=5))
+
+
+@functools.lru_cache(maxsize=2)
+def unpack(packed: bytes) -> Index:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
+
+def index_table(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame | None:
+    """The shards of the index as a written table (shard, index), one packed index a
+    row. Items without words are left out; None if no item has any."""
     def cut(batches):
         for batch in batches:
             rows = [(i, at, ts[at:at + PIECE], k) for i, t, k in zip(
@@ -285,18 +307,49 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> I
     items = written(items, "items")
     pieces = written(items.mapInArrow(cut, "item long, at int, terms array<string>, key string"), "pieces")
     totals = pieces.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("length")).first()
-    if not totals["n"]:
-        return
-    shards = -(-totals["n"] // (SHARD_ROWS // 2)) if totals["n"] > SHARD_ROWS else 1
-    frequency = pieces.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "at"), F.lit(shards)))
-    for shard in range(shards):
-        mine = dealt.where(F.col("shard") == shard)
-        rows = mine.orderBy("item", "key", "at").collect()
-        counts = frequency.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-        texts = items.join(mine.select("key").distinct(), "key").select("key", "text").collect()  # each once
-        yield build([((r["item"], r["key"]), r["terms"], r["at"]) for r in rows], {r["key"]: r["text"] for r in texts},
-                    {r["term"]: r["count"] for r in counts}, totals["n"], totals["length"])
+    n_pieces, mean_length = totals["n"], totals["length"]
+    if not n_pieces:
+        return None
+    shards = -(-n_pieces // max(1, SHARD_ROWS // 2)) if n_pieces > SHARD_ROWS else 1
+    frequency = pieces.select(F.explode(F.array_distinct("terms")).alias("name")).groupBy("name").count()
+    dealt = pieces.withColumn("shard", F.pmod(
+        F.xxhash64("key", F.floor(F.col("at") / (TOGETHER * PIECE))), F.lit(shards)).cast("int"))
+    # beside a shard's pieces: its terms with their frequencies, its items with their texts, each once
+    counts = dealt.select("shard", F.explode("terms").alias("name")).distinct().join(frequency, "name")
+    texts = dealt.select("shard", F.col("key").alias("name")).distinct().join(
+        items.select(F.col("key").alias("name"), "text"), "name")
+    beside = counts.select(F.col("shard").alias("of"), "name", "count", F.lit(None).cast("string").alias("text")).unionByName(
+        texts.select(F.col("shard").alias("of"), "name", F.lit(None).cast("long").alias("count"), "text"))
+
+    def shard_index(group, rows, facts):
+        frequencies, held = {}, {}
+        for f in facts.to_pylist():
+            if f["text"] is None:
+                frequencies[f["name"]] = f["count"]
+            else:
+                held[f["name"]] = f["text"]
+        mine = sorted(rows.to_pylist(), key=lambda r: (r["item"] is not None, r["item"] or 0, r["key"], r["at"]))
+        index = build([((r["item"], r["key"]), r["terms"], r["at"]) for r in mine],
+                      held, frequencies, n_pieces, mean_length)
+        return pa.table({"shard": pa.array([group[0].as_py()], pa.int32()),
+                         "index": pa.array([pack(index)], pa.binary())})
+    built = dealt.groupBy("shard").cogroup(beside.groupBy("of")).applyInArrow(
+        shard_index, "shard int, index binary")
+    return written(built, "index")
+
+
+def rounds(shards: DataFrame | None) -> list[list[int]]:
+    """Shard numbers dealt to rounds whose packed indexes have ``BROADCAST_BYTES`` together."""
+    out: list[list[int]] = []
+    room = 0
+    if shards is not None:
+        for shard, size in shards.select("shard", F.octet_length("index")).orderBy("shard").collect():
+            if not out or size > room:
+                out.append([])
+                room = BROADCAST_BYTES
+            out[-1].append(shard)
+            room -= size
+    return out or [[]]
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks",
@@ -310,20 +363,47 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
     one score on an item the first in the text counts. An item of one word is found
     in every text that holds it.
     Other columns pass through; one named like ``out`` is replaced; rows stand alone."""
-    shards = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark)]
+    shards = index_table(benchmark)
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col(f"`{text}`").alias(_SEARCHED))
-
+    kept = [f for f in rest.schema.fields if f.name != _SEARCHED]
+    dealt = rounds(shards)
+    for mine in dealt[:-1]:
+        shared = _share(shards, mine)
+        schema = T.StructType([*kept, T.StructField(_SEARCHED, T.StringType()), T.StructField(_BEFORE, _FOUND_TYPE)])
+        rest = written(rest.mapInArrow(_searching(shared, threshold, None), schema), "searched")
+        shared.unpersist()  # the table stands without it
+    return rest.mapInArrow(_searching(_share(shards, dealt[-1]), threshold, out),
+                           T.StructType([*kept, T.StructField(out, LEAKS)]))
+
+
+def _share(shards: DataFrame | None, mine: list[int]):
+    """A broadcast of the packed indexes of one round."""
+    if not mine:
+        return None
+    rows = shards.where(F.col("shard").between(mine[0], mine[-1])).orderBy("shard").collect()
+    return shards.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in rows])
+
+
+def _searching(shared, threshold: float, out: str | None):
+    """Search blocks in the shards of a round, after what earlier rounds found; the
+    last round names the result ``out`` and drops what the search needed."""
     def run(batches):
         for block in text_blocks(batches, _SEARCHED):
             texts = utf8(block.column(_SEARCHED))
             found = [[] for _ in texts]
-            for shared in shards:
-                for all_hits, hits in zip(found, search(texts, shared.value, threshold)):
+            if _BEFORE in block.schema.names:
+                found = block.column(_BEFORE).to_pylist()
+                block = block.drop_columns([_BEFORE])
+            for packed in shared.value if shared else []:
+                for all_hits, hits in zip(found, search(texts, unpack(packed), threshold)):
                     all_hits += hits
-            leaks = [[{n: h[n] for n in _FIELDS} for h in _best(hits)] for hits in found]
-            yield with_column(block.drop_columns([_SEARCHED]), out, pa.array(leaks, _LEAKS))
-    schema = T.StructType([f for f in rest.schema.fields if f.name != _SEARCHED] + [T.StructField(out, LEAKS)])
-    return rest.mapInArrow(run, schema)
+            best = [_best(hits) for hits in found]
+            if out is None:
+                yield with_column(block, _BEFORE, pa.array(best, _FOUND))
+            else:
+                leaks = [[{n: h[n] for n in _FIELDS} for h in hits] for hits in best]
+                yield with_column(block.drop_columns([_SEARCHED]), out, pa.array(leaks, _LEAKS))
+    return run
 
 
 @register("op4_decontamination")

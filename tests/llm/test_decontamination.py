@@ -23,7 +23,7 @@ def test_query(spark, sf, texts, benchmark):
 
 
 def test_wand_finds_all_above_threshold(benchmark):
-    index = next(dc.indexes(benchmark))
+    index = dc.unpack(dc.index_table(benchmark).first()["index"])
     items = [r["text"] for r in benchmark.collect()]
     random, found = np.random.default_rng(0), 0
     for _ in range(200):
@@ -58,11 +58,48 @@ def test_shards_find_the_same(spark, sf, benchmark, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     whole = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in dc.with_leaks(docs, benchmark).collect()}
     monkeypatch.setattr(dc, "SHARD_ROWS", 16)
-    assert len(list(dc.indexes(benchmark))) > 2
+    assert dc.index_table(benchmark).count() > 2
     parts = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in dc.with_leaks(docs, benchmark).collect()}
     assert whole == parts
 
 
+def test_rounds_find_the_same(spark, sf, odd, empty, benchmark, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = {r["doc_id"]: r["leaks"] for r in dc.with_leaks(docs, benchmark).collect()}
+    monkeypatch.setattr(dc, "SHARD_ROWS", 8)
+    shards = dc.index_table(benchmark)
+    sizes = {r["shard"]: len(r["index"]) for r in shards.collect()}
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 2 * max(sizes.values()))
+    dealt = dc.rounds(shards)
+    assert len(dealt) > 1 and [s for mine in dealt for s in mine] == sorted(sizes)
+    assert all(sum(sizes[s] for s in mine) <= dc.BROADCAST_BYTES for mine in dealt)
+    parts = {r["doc_id"]: r["leaks"] for r in dc.with_leaks(docs, benchmark).collect()}
+    assert any(whole.values()) and whole.keys() == parts.keys()
+    for doc, leaks in whole.items():
+        assert [x["item_id"] for x in leaks] == [x["item_id"] for x in parts[doc]]
+        assert np.allclose([x[1:] for x in leaks], [x[1:] for x in parts[doc]])
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 1)  # a shard is never cut
+    assert dc.rounds(shards) == [[s] for s in sorted(sizes)]
+    assert dc.with_leaks(odd, benchmark, out="score").count() == odd.count()
+    assert dc.with_leaks(empty, benchmark).count() == 0
+
+
+def test_shards_are_those_of_the_whole(spark, benchmark, monkeypatch):
+    """Impacts do not depend on the shard, and no piece is lost."""
+    def impacts():
+        out = {}
+        for r in dc.index_table(benchmark).collect():
+            index = dc.unpack(r["index"])
+            term_of = np.repeat(np.arange(len(index.number)), np.diff(index.bounds))
+            names = sorted(index.number)
+            for t, p, w in zip(term_of, index.pieces, index.impacts):
+                out.setdefault((index.item[p][1], names[t]), []).append(round(float(w), 12))
+        return {k: sorted(v) for k, v in out.items()}
+    whole = impacts()
+    monkeypatch.setattr(dc, "SHARD_ROWS", 10)
+    assert impacts() == whole
+
+
 def test_long_items_and_odd_rows(spark, odd, empty, benchmark):
     long = " ".join(f"w{i}" for i in range(300)) + ". the answer is here"
     items = spark.createDataFrame([(1, long), (2, None), (None, "some words here"), (3, ""), (4, "a a a")],
