@@ -225,3 +225,23 @@ def column_difference(existing: list[str], keep: list[str]) -> list[str]:
 def column_union(frames: list[DataFrame]) -> list[str]:
     """sorted union of all column names."""
     return sorted({c for f in frames for c in f.columns})
+
+
+def dropped_profile(df: DataFrame, keep: list[str]) -> DataFrame:
+    """F4 with what dropping costs: each column outside ``keep`` with its nulls (A1)."""
+    return null_profile(df.select(*[_c(c) for c in column_difference(df.columns, keep)]))
+
+
+def column_presence(parts: dict[str, DataFrame]) -> DataFrame:
+    """F5 over the parts of a report set: for every column of any part, whether each
+    part has it and in how many rows it is filled. One pass a part."""
+    every = column_union(list(parts.values()))
+    found = []
+    for part, df in parts.items():
+        agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+            (F.count(_c(c)) if c in df.columns else F.lit(0).cast("long")).alias(f"m{i}")
+            for i, c in enumerate(every)])
+        found.append(_long_form(agg, every, "n_filled").select(
+            F.lit(part).alias("part"), "column_name",
+            F.col("column_name").isin([c for c in every if c in df.columns]).alias("present"), "n_filled"))
+    return reduce(DataFrame.unionByName, found)

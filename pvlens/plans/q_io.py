@@ -19,7 +19,7 @@ from pvlens.plans import jobs
 from pvlens.streaming.detector import stream_results
 from pvlens.plans import sqlparts as P
 from pvlens.plans.catalog import ORACLES, register
-from pvlens.plans.q_annotation import KEYS, annotated_reports
+from pvlens.plans.q_annotation import KEYS, _ann, annotated_reports
 from pvlens.session import scratch_path
 from pvlens.sources import files as IO
 from pvlens.sources import tables as TB
@@ -83,6 +83,17 @@ def q_annotation_export_roundtrip(spark, sf):
     return tags.select("VAERS_ID", F.size("tags").alias("n_tags"), F.array_join("tags", " ").alias("tags"))
 
 
+@register("annotation_array_spans", _ann(
+    """SELECT VAERS_ID, ann_idx, label, start, "end" FROM ann_rows WHERE text <> ''"""))
+def q_annotation_array_spans(spark, sf):
+    """K5 -> S6 -> F14 in array form: the annotation set of all reports as files of one
+    JSON array each, read back whole files at a time, one row for each span."""
+    export = A.to_export(annotated_reports(spark, sf), "text", "spans", keys=KEYS)
+    path = IO.write_annotation_arrays(export, scratch_path(spark, "arrays"), KEYS)
+    back = A.from_export(IO.read_annotations(spark, path, multiline=True, schema=EXPORT_SCHEMA), KEYS)
+    return back.select(*KEYS, F.posexplode("spans").alias("ann_idx", "s")).select(*KEYS, "ann_idx", "s.*")
+
+
 _FILE_B2 = (f"SELECT text, {P.joined_type_sql('t', 'DRUG')} AS drugs, "
             f"{P.joined_type_sql('t', 'SYMPTOM')} AS symptoms, "
             f"{P.joined_type_sql('t', 'SEVERITY')} AS severity_terms, "

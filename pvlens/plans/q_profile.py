@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvlens.functions.lexicons import STATE_CASE_FIXES, TERRITORY_FIXES
+from pvlens.functions.lexicons import CLEAN_KEEP_COLUMNS, STATE_CASE_FIXES, TERRITORY_FIXES
 from pvlens.functions.text import pct2_sql
 from pvlens.operators import blend as J
 from pvlens.operators import cleaning as C
@@ -68,6 +68,32 @@ def _q_null_bands(spark, sf):
     return A.null_bands(A.null_profile(T.reports(spark, sf)))
 
 
+_PARTS = {"reports": RC, "report_symptoms": ["VAERS_ID", "SYMPTOM1", "SYMPTOM2"],
+          "report_vax": ["VAERS_ID", "ORDER", "VAX_TYPE", "VAX_MANU"]}
+
+
+def _presence_sql() -> str:
+    rows = [f"SELECT {P.q(part)} AS part, {P.q(c)} AS column_name, {str(c in own).lower()} AS present, "
+            f"{f'count({qi(c)})' if c in own else 'count(*) * 0'} AS n_filled FROM {part}"
+            for part, own in _PARTS.items() for c in sorted({c for cs in _PARTS.values() for c in cs})]
+    return P.with_views("\nUNION ALL ".join(rows), *_PARTS)
+
+
+@register("column_presence", _presence_sql())
+def q_column_presence(spark, sf):
+    """every column of the three parts, which parts have it and how often filled."""
+    return A.column_presence({"reports": T.reports(spark, sf), "report_symptoms": T.report_symptoms(spark, sf),
+                              "report_vax": T.report_vax(spark, sf)})
+
+
+@register("dropped_columns", _with(["reports"], _per_column_sql(
+    "reports", [c for c in RC if c not in CLEAN_KEEP_COLUMNS], "null_count",
+    lambda c: f"count(*) FILTER (WHERE {qi(c)} IS NULL)", "null_pct")))
+def q_dropped_columns(spark, sf):
+    """the report columns that the clean job drops, with their nulls."""
+    return A.dropped_profile(T.reports(spark, sf), CLEAN_KEEP_COLUMNS)
+
+
 register("null_bands", _null_bands_sql())(_q_null_bands)
 
 

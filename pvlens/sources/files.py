@@ -239,9 +239,32 @@ def texts_frame(spark: SparkSession, texts: list[str] | str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str, multiline: bool = True,
                      schema: T.StructType = ANNOTATION_SCHEMA) -> DataFrame:
-    """An annotation export (one JSON array, or JSON lines for big
-    exports) with an explicit schema."""
-    return spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
+    """An annotation export with an explicit schema: one JSON array a file,
+    which one task reads (``multiline``; several files, as
+    :func:`write_annotation_arrays` writes them, are read side by side), or JSON
+    lines, which are split anywhere."""
+    read = spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
+    return read.select(*[F.col(f"`{c}`") for c in schema.fieldNames()])
+
+
+def write_annotation_arrays(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 50_000) -> str:
+    """K5 as the labelling tool exchanges it: files that each hold one JSON array,
+    ordered by ``keys``. Rows are dealt to files of about ``rows_per_file`` by a
+    hash of ``keys``, so no task writes, or reads back, more than one file's worth;
+    rows that share all keys share a file. An empty table writes no file."""
+    files = max(1, -(-df.select(*keys).count() // rows_per_file))
+    order = [F.col(f"`{k}`") for k in keys]
+    dealt = df.select(F.pmod(F.xxhash64(*order), F.lit(files)).alias("file"), *order,
+                      F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+    w = Window.partitionBy("file").orderBy(*order, "json")
+    lines = dealt.select("file", "json", F.row_number().over(w).alias("nth"),
+                         F.lead(F.lit(True)).over(w).isNull().alias("last"))
+    # sorted by file first, so that the writer keeps the order and one file open
+    (lines.sortWithinPartitions("file", "nth")
+          .select("file", F.concat(F.when(F.col("nth") == 1, "[").otherwise(","), "json",
+                                   F.when(F.col("last"), "]").otherwise("")).alias("value"))
+          .write.mode("overwrite").partitionBy("file").text(path))
+    return path
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -1,6 +1,7 @@
 """Sources and sinks: CSV round trip, discovery and role classification,
 dictionary and line files, JSON sinks."""
 
+import json
 import os
 
 import pytest
@@ -102,3 +103,26 @@ def test_json_sink_stringifies_map_keys(spark):
 def test_inline_texts(spark):
     df = IO.texts_frame(spark, ["a", "b"])
     assert [tuple(r) for r in df.collect()] == [(0, "a"), (1, "b")]
+
+
+def test_annotation_arrays(spark):
+    rows = [(i, (f'say "é{i}",\n[x]',), [((["SYMPTOM"], i, i + 3),)] * (i % 3)) for i in range(40)]
+    rows += [(7, (None,), None), (None, ("no key",), [])]
+    schema = T.StructType([T.StructField("VAERS_ID", T.LongType())] + IO.ANNOTATION_SCHEMA.fields)
+    df = spark.createDataFrame(rows, schema)
+    path = IO.write_annotation_arrays(df, scratch_path(spark, "arrays"), ["VAERS_ID"], rows_per_file=8)
+    back = IO.read_annotations(spark, path, schema=schema)
+    assert back.columns == schema.fieldNames()
+    key = lambda r: str(r)
+    # a null struct field and a missing one are the same in JSON
+    plain = lambda d: sorted(((r["VAERS_ID"], r["data"]["text"] if r["data"] else None, r["result"]) for r in d.collect()), key=key)
+    assert plain(back) == plain(df)
+    files = back.inputFiles()
+    assert len(files) > 2
+    for f in files:
+        with open(f.removeprefix("file://")) as got:
+            array = json.load(got)  # each file is one array, in order
+        ids = [r.get("VAERS_ID", -1) for r in array]
+        assert ids == sorted(ids) and len(ids) < 30
+    empty = IO.write_annotation_arrays(df.limit(0), scratch_path(spark, "arrays"), ["VAERS_ID"])
+    assert IO.read_annotations(spark, empty, schema=schema).count() == 0

@@ -8,7 +8,7 @@ from pvlens.functions.text import placeholder_decode, token_count
 from pvlens.operators.blend import blend, rename_overlaps, union_years
 from pvlens.operators.cleaning import project_keep
 from pvlens.operators.entities import highlight_color, label_color
-from pvlens.operators.profile import column_difference, column_union
+from pvlens.operators.profile import column_difference, column_presence, column_union, dropped_profile
 from pvlens.operators.severity import decode_severity, encode_severity, filter_severities
 from pvlens.operators.text import require_columns
 
@@ -23,6 +23,15 @@ def test_schema_helpers(spark):
         project_keep(a, strict=True)
 
 
+def test_columns_with_their_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "VAERS_ID long, `EX.TRA` string")
+    b = spark.createDataFrame([], "VAERS_ID long, AGE_YRS double")
+    assert [tuple(r) for r in dropped_profile(a, CLEAN_KEEP_COLUMNS).collect()] == [("EX.TRA", 1, 50.0)]
+    got = {(r["part"], r["column_name"]): (r["present"], r["n_filled"]) for r in column_presence({"a": a, "b": b}).collect()}
+    assert got == {("a", "AGE_YRS"): (False, 0), ("a", "EX.TRA"): (True, 1), ("a", "VAERS_ID"): (True, 2),
+                   ("b", "AGE_YRS"): (True, 0), ("b", "EX.TRA"): (False, 0), ("b", "VAERS_ID"): (True, 0)}
+
+
 def test_required_column(spark):
     df = spark.createDataFrame([("t",)], "text string")
     require_columns(df, ["text"])
