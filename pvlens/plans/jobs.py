@@ -83,7 +83,7 @@ def blend_job(spark: SparkSession, base: str, out: str | None = None,
     parts = read_complete_parts(spark, base, schemas, encoding)
     blended = J.blend(parts["DATA"], parts["SYMPTOMS"], parts["VAX"], ["year", "VAERS_ID"])
     if out:
-        IO.write_csv(blended, out, partition_by=["year"])
+        IO.write_csv(blended, out, partition_by=["year"], compression="gzip")
     return blended
 
 

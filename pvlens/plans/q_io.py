@@ -33,7 +33,7 @@ def _write_parts(spark: SparkSession, sf: str) -> str:
         "DATA": TB.reports(spark, sf),
         "SYMPTOMS": TB.with_year(TB.report_symptoms(spark, sf)),
         "VAX": TB.with_year(TB.report_vax(spark, sf)),
-    }, base)
+    }, base, compression="gzip")
     return base
 
 

@@ -107,11 +107,11 @@ def q_blend_files_combined(spark, sf):
     as one table of all years, and read back."""
     out, whole = scratch_path(spark, "combined"), scratch_path(spark, "all-years")
     blended = J.blend(T.reports(spark, sf), T.report_symptoms(spark, sf), T.report_vax(spark, sf))
-    IO.write_csv(blended, out, partition_by=["year"])
+    IO.write_csv(blended, out, partition_by=["year"], compression="gzip")
     columns = [c for c in blended.columns if c != "year"]
     # a folder of yearly folders that names no part
     yearly = IO.read_report_part(spark, out, "OTHER", blended.schema, "UTF-8")
-    IO.write_csv(yearly, whole)
+    IO.write_csv(yearly, whole, compression="gzip")
     back = IO.read_csv_raw(spark, whole, [*columns, "year"])
     return IO.apply_schema(back, blended.schema)
 

@@ -37,7 +37,7 @@ ANNOTATION_SCHEMA = T.StructType([
 
 # ---------------------------------------------------------------- discovery
 
-def list_files(spark: SparkSession, base: str, name_glob: str = "*.csv") -> DataFrame:
+def list_files(spark: SparkSession, base: str, name_glob: str = "*.csv{,.gz}") -> DataFrame:
     """Paths of the files under ``base`` (any depth) whose name matches
     ``name_glob``. Only metadata is read — the binary source skips file
     contents when ``content`` is not selected — and the listing itself is
@@ -86,11 +86,14 @@ def file_report(classified: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- CSV (S2, S4, SC15, K1-K3, K8)
 
 def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, ...]:
-    """Column names of a CSV file: its first line, through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
+    """Column names of a CSV file: its first line, through Hadoop's file systems
+    and the codec that the file's ending names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), encoding))
+    data = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        data if codec is None else codec.createInputStream(data), encoding))
     try:
         line = reader.readLine()
     finally:
@@ -166,21 +169,24 @@ def read_report_part(spark: SparkSession, base: str, role: str, schema: T.Struct
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
-              mode: str = "overwrite", encoding: str = "UTF-8") -> str:
+              mode: str = "overwrite", encoding: str = "UTF-8", compression: str = "none") -> str:
     """K1/K2/K3/K8: header, doubled-quote escaping, spaces kept; nulls are
-    written empty (read back as null)."""
-    w = df.write.mode(mode).options(**CSV_OPTIONS).option("encoding", encoding)
+    written empty (read back as null). With ``compression="gzip"`` the files are
+    ``.csv.gz``: a blended table repeats a report's values for each of its rows, and
+    a file is one task with or without."""
+    w = df.write.mode(mode).options(**CSV_OPTIONS).option("encoding", encoding).option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
-def write_report_parts(parts: dict[str, DataFrame], base: str, encoding: str = "UTF-8") -> str:
+def write_report_parts(parts: dict[str, DataFrame], base: str, encoding: str = "UTF-8",
+                       compression: str = "none") -> str:
     """K1: each part partitioned by year under ``{base}/{ROLE}``. A narrower
     encoding replaces what it lacks; only UTF-8 keeps every text."""
     for role, df in parts.items():
-        write_csv(df, os.path.join(base, role), ["year"], encoding=encoding)
+        write_csv(df, os.path.join(base, role), ["year"], encoding=encoding, compression=compression)
     return base
 
 

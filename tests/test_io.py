@@ -43,6 +43,22 @@ def test_columns_are_bound_by_header(spark):
         IO.read_csv_raw(spark, base, ["VAERS_ID", "more"])
 
 
+def test_compressed_parts_are_found_and_read(spark):
+    rows = [(i, "2021" if i % 2 else "2022", 3.5, f'a "long"\ntext ' + f"of many rows {i // 50} " * 20) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    plain, packed = scratch_path(spark, "plain"), scratch_path(spark, "packed")
+    IO.write_report_parts({"DATA": df}, plain)
+    IO.write_report_parts({"DATA": df}, packed, compression="gzip")
+
+    def read(base):
+        return sorted(map(tuple, IO.read_report_part(spark, base, "DATA", SCHEMA, "UTF-8").select(df.columns).collect()))
+
+    def size(base):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base.removeprefix("file:")) for f in names)
+    assert read(packed) == read(plain) == sorted(rows)
+    assert size(packed) < size(plain) / 3
+
+
 def test_two_files_for_one_part_are_an_error(spark):
     from pvlens.plans.jobs import read_complete_parts
     base = scratch_path(spark, "doubled")
