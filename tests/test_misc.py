@@ -59,6 +59,23 @@ def test_join_suffixes_and_null_keys(spark):
     assert "ORDER_x" in left.columns and "ORDER_y" in right.columns
 
 
+def test_rows_without_an_id_are_matched_in_many_tasks(spark):
+    from collections import Counter
+
+    def part(name, n, nulls):
+        return spark.createDataFrame([(i % 2, None if i < nulls else i, f"{name}{i}", i) for i in range(n)],
+                                     f"year long, id long, {name} string, same long")
+    parts = part("a", 90, 60), part("b", 80, 50), part("c", 70, 40)
+    got = blend(*parts, ["year", "id"], null_safe=True)
+    rows = [p.collect() for p in parts]
+    wanted = Counter((x["year"], x["id"], x["a"], y["b"], z["c"]) for x in rows[0] for y in rows[1] for z in rows[2]
+                     if (x["year"], x["id"]) == (y["year"], y["id"]) == (z["year"], z["id"]))
+    assert got.columns == ["year", "id", "a", "same_x", "b", "same_y", "c", "same"]
+    assert Counter(tuple(r[c] for c in ("year", "id", "a", "b", "c")) for r in got.collect()) == wanted
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 4 and max(tasks) < sum(tasks) / 3
+
+
 def test_union_years(spark):
     a = spark.createDataFrame([(1, "x")], "id long, a string")
     b = spark.createDataFrame([(2, 3.0)], "id long, b double")
