@@ -198,3 +198,21 @@ def test_any_other_pattern_matches_texts_whole():
     encoder = bpe.Encoder(RANKS, pattern)
     for _ in range(2):
         assert rows(*encoder.encode(pa.array(ODD[:8]))) == [own.encode_ordinary(t) for t in ODD[:8]]
+
+
+def test_a_worker_gets_few_rows_at_once(spark, odd, monkeypatch):
+    from pvlens.llm import token_files as tf
+    from pvlens.session import scratch_path
+    real, most, name = tf._segments, tf.ROWS_AT_ONCE, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(batches, *rest):
+        def small():
+            for b in batches:
+                assert b.num_rows <= most
+                yield b
+        return real(small(), *rest)
+    monkeypatch.setattr(tf, "_segments", watched)
+    before, path = spark.conf.get(name), scratch_path(spark, "few-rows")
+    tf.write_token_files(spark.range(0, 40_000, 1, 4).selectExpr("id doc_id", "concat('text ', id) text"), path)
+    assert spark.conf.get(name) == before
+    assert tf.read_token_files(spark, path).count() == 40_000
