@@ -136,3 +136,19 @@ def test_odd_rows(spark, odd, empty):
     found = ss.find(empty)
     detector = ss.train(found)
     assert detector.thresholds == (2.0, 2.0, 2.0) and ss.scan(found, detector).count() == 0
+
+
+def test_all_windows_are_fitted_in_shards(spark, odd, monkeypatch):
+    random = np.random.default_rng(5)
+    docs = spark.createDataFrame(list(enumerate(labelled(random, 2300))), "doc_id long, text string").repartition(4)
+    found = ss.find(docs)
+    wanted = {(c["label"], c["lead"], c["size"], bytes(c["window"])) for r in found.collect() for c in r["candidates"]}
+    table, shards = ss.findings(found)
+    got = [(f["label"], f["lead"], f["size"], bytes(f["window"])) for r in table.collect() for f in r["findings"]]
+    assert shards > 1 and len(got) == len(wanted) and set(got) == wanted
+    assert sum(g[0] for g in got) > 2000
+    few = docs.where("doc_id < 600")
+    monkeypatch.setattr(ss, "SHARD_ROWS", 30)  # more shards than are summed at once
+    one, two = (ss.train(ss.find(d), epochs=3) for d in (few, few.repartition(3)))
+    assert one.recall >= ss.RECALL
+    assert np.array_equal(one.out, two.out) and one.thresholds == two.thresholds
