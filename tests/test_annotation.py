@@ -128,3 +128,21 @@ def test_span_text_where_lower_case_is_longer(spark):
     df = spark.createDataFrame([("\u0130\u0130 Fever",)], "t string")
     got = df.select(A.mention_spans(F.col("t"), [("SYMPTOM", "fever")]).alias("s")).first()["s"]
     assert [(x["start"], x["end"], x["text"]) for x in got] == [(3, 8, "Fever")]
+
+
+def test_ner_dataset_finds_annotations_once(spark):
+    """The search for the cut reads written documents; it does not annotate again."""
+    from pvlens.operators import annotation as A
+    df = spark.createDataFrame([(i, "rash " * (i % 3)) for i in range(30)], "id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+    one = F.struct(F.lit("S").alias("label"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("rash").alias("text"))
+    annotated = df.select("id", seen("text").alias("text"), F.array(one).alias("spans"))
+    rows = A.ner_dataset(annotated, ["id"], limit=4).collect()
+    assert sorted(r["id"] for r in rows) == [i for i in range(30) if i % 3]
+    assert [r["split"] for r in sorted(rows)] == ["train"] * 16 + ["validation"] * 4
+    assert calls.value <= 60
