@@ -146,3 +146,30 @@ def test_splits_have_no_range_exchange(spark, sf):
     r = T.reports(spark, sf).select("VAERS_ID", "SYMPTOM_TEXT")
     plan = hash_split(r, "VAERS_ID")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_clean_blend_reads_a_parts_rows_once(spark):
+    """Which reports survive is found by ids; the values are computed once, before the fan-out."""
+    from pvlens.operators.blend import blend
+    from pvlens.operators.cleaning import clean_blend, clean_reports
+    calls = {c: spark.sparkContext.accumulator(0) for c in ("SYMPTOM1", "VAX_TYPE")}
+
+    def counted(df, c):
+        seen = calls[c]
+
+        @F.udf("string")
+        def same(x):
+            seen.add(1)
+            return x
+        return df.withColumn(c, same(c))
+    data = spark.createDataFrame([(i, ["Ne", None, "CA"][i % 3], None if i % 4 else i + 0.5, None, "t" if i % 5 else None,
+                                   None if i % 2 else "Y", "h", "a") for i in range(60)],
+                                 "VAERS_ID long, STATE string, AGE_YRS double, SEX string, SYMPTOM_TEXT string, "
+                                 "RECOVD string, HISTORY string, ALLERGIES string")
+    symptoms = spark.createDataFrame([(i % 50, f"s{i % 7}") for i in range(200)], "VAERS_ID long, SYMPTOM1 string")
+    vax = spark.createDataFrame([(i % 40, f"v{i % 3}") for i in range(160)], "VAERS_ID long, VAX_TYPE string")
+    got = clean_blend(data, counted(symptoms, "SYMPTOM1"), counted(vax, "VAX_TYPE"))
+    wanted = clean_reports(blend(data, symptoms, vax), ["VAERS_ID", "SYMPTOM1", "VAX_TYPE"])
+    assert got.columns == wanted.columns
+    assert sorted(got.collect(), key=str) == sorted(wanted.collect(), key=str)
+    assert calls["SYMPTOM1"].value <= 200 and calls["VAX_TYPE"].value <= 160
