@@ -5,7 +5,9 @@
 2. *Neighbours* by cosine: in each of ``TABLES`` tables points are ordered by the
    signs of sparse random projections; a point meets its ``WINDOW`` followers in
    that order, so a crowded place gives no more pairs than a sparse one. Lists of the
-   nearest found are improved by rounds that look at the neighbours' neighbours.
+   nearest found are improved by rounds that look at the neighbours' neighbours. Vectors
+   travel along the lists, not with each pair: the points that list ``b`` meet those that
+   ``b`` lists where ``b`` is, and only a pair that betters a list leaves from there.
 3. *Mutual reachability*: a point's core distance reaches ``min_points`` rows (its own
    included); an edge weighs the greatest of its length and both core distances.
 4. *Minimum spanning forest* by Borůvka rounds over tables: every component takes its
@@ -42,16 +44,20 @@ def distance(u: Column, v: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot)
 
 
+def _unit(vec: Column, norm: Column) -> Column:
+    return F.transform(vec, lambda x: x.cast("double") / norm)
+
+
 def points(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Distinct vectors: ``pid``, the vector, its ``unit`` vector, the number ``n`` of
-    its rows and their least key."""
+    """Distinct vectors: ``pid``, the vector, its ``norm`` and ``unit`` vector, the number
+    ``n`` of its rows and their least key."""
     norm = _norm(F.col("vec"))
     rows = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"))
     found = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).select(
         "vec", "n", "key", norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
     return written(found.select(
-        F.monotonically_increasing_id().alias("pid"), "vec", "n", "key",
-        F.transform("vec", lambda x: x.cast("double") / F.col("norm")).alias("unit")), "points")
+        F.monotonically_increasing_id().alias("pid"), "vec", "norm", "n", "key",
+        _unit(F.col("vec"), F.col("norm")).alias("unit")), "points")
 
 
 def _code(unit: Column, table: Column) -> Column:
@@ -67,44 +73,75 @@ def _code(unit: Column, table: Column) -> Column:
 
 
 def _nearest(pairs: DataFrame, nearest: int) -> DataFrame:
-    """Lists of the nearest of (a, b, dist): at most ``nearest`` for each point. A
-    point has a bounded number of pairs, so its set is bounded."""
+    """Lists of the nearest of (a, b, dist): at most ``nearest`` for each point."""
     found = F.array_sort(F.collect_set(F.struct("dist", "b")))
     return pairs.groupBy("a").agg(F.slice(found, 1, nearest).alias("near"))
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+def _listed(lists: DataFrame) -> DataFrame:
+    return lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.dist").alias("dist"))
+
+
+def _met(coded: DataFrame, nearest: int, window: int) -> DataFrame:
+    """Pairs (a, b, dist) of the order by table and code: the nearest of each point among
+    its ``window`` followers and as many before it, which hold the distances to it."""
+    order = Window.partitionBy(RANGE, "t").orderBy("code", "pid")
+    dealt = find_ranges(coded, ["t", "code", "pid"]).deal(coded).select(
+        RANGE, "t", "code", "pid", _unit(F.col("vec"), F.col("norm")).alias("unit"))
+    after = dealt.select(RANGE, "t", "code", "pid", "unit", F.collect_list(F.struct("pid", "unit")).over(
+        order.rowsBetween(1, window)).alias("after")).select(
+        RANGE, "t", "code", "pid", F.transform("after", lambda o: F.struct(
+            distance(F.col("unit"), o["unit"]).alias("dist"), o["pid"].alias("b"))).alias("after"))
+    both = after.select("pid", "after", F.collect_list(F.struct("pid", "after")).over(
+        order.rowsBetween(-window, -1)).alias("before"))
+    steps = F.size("before") - 1
+    back = F.transform("before", lambda o, i: F.struct(
+        F.get(o["after"], steps - i)["dist"].alias("dist"), o["pid"].alias("b")))
+    return both.select(F.col("pid").alias("a"), F.explode(
+        F.slice(F.array_sort(F.concat("after", back)), 1, nearest)).alias("x")).select("a", "x.b", "x.dist")
+
+
+def _bettered(pts: DataFrame, lists: DataFrame, nearest: int) -> DataFrame:
+    """Pairs (a, b, dist) of points and their neighbours' neighbours, for both ends, that
+    come before the last of a's list; all for a list with room."""
+    held = pts.select(F.col("pid").alias("a"), "vec", "norm").join(lists, "a", "left").select(
+        "a", "near", "vec", "norm", F.when(F.size("near") >= nearest, F.get("near", F.lit(nearest - 1))).alias("last"))
+    # the vectors are dealt as they are given; unit vectors are made where they meet
+    starts = held.select("a", "vec", "norm", "last", F.explode("near.b").alias("b")).repartition("b").select(
+        "a", "b", "last", _unit(F.col("vec"), F.col("norm")).alias("unit"))
+    ends = _listed(lists).select(F.col("a").alias("b"), F.col("b").alias("c")).join(
+        held.select(F.col("a").alias("c"), "vec", "norm", "last"), "c").repartition("b").groupBy("b").agg(
+        F.collect_list(F.struct("c", "last", "vec", "norm")).alias("ends")).select("b", F.transform("ends", lambda e: F.struct(
+            e["c"].alias("c"), e["last"].alias("last"), _unit(e["vec"], e["norm"]).alias("unit"))).alias("ends"))
+    met = starts.join(ends, "b").select("a", "last", F.transform(
+        F.filter("ends", lambda e: e["c"] != F.col("a")), lambda e: F.struct(
+            e["c"].alias("c"), e["last"].alias("last"), distance(F.col("unit"), e["unit"]).alias("dist"))).alias("met"))
+
+    def betters(last: Column, dist: Column, b: Column) -> Column:
+        return last.isNull() | (F.struct(dist.alias("dist"), b.alias("b")) < last)
+    one = F.transform(F.filter("met", lambda m: betters(F.col("last"), m["dist"], m["c"])), lambda m: F.struct(
+        F.col("a").alias("a"), m["c"].alias("b"), m["dist"].alias("dist")))
+    other = F.transform(F.filter("met", lambda m: betters(m["last"], m["dist"], F.col("a"))), lambda m: F.struct(
+        m["c"].alias("a"), F.col("a").alias("b"), m["dist"].alias("dist")))
+    return met.select(F.explode(F.concat(one, other)).alias("x")).select("x.a", "x.b", "x.dist")
 
 
 def neighbours(pts: DataFrame, nearest: int = NEAREST, tables: int = TABLES, window: int = WINDOW,
                rounds: int = ROUNDS) -> DataFrame:
     """``a`` and its list ``near`` of (``dist``, ``b``), nearest first."""
-    coded = pts.select("pid", "unit", F.explode(F.sequence(F.lit(1), F.lit(tables))).alias("t"))
-    coded = written(coded.select("t", _code(F.col("unit"), F.col("t")).alias("code"), "pid", "unit"), "codes")
-    dealt = find_ranges(coded, ["t", "code", "pid"]).deal(coded)
-    after = Window.partitionBy(RANGE, "t").orderBy("code", "pid").rowsBetween(1, window)
-    pairs = dealt.select("pid", "unit", F.collect_list(F.struct("pid", "unit")).over(after).alias("after")).select(
-        F.col("pid").alias("a"), "unit", F.explode("after").alias("o")).select(
-        "a", F.col("o.pid").alias("b"), distance(F.col("unit"), F.col("o.unit")).alias("dist"))
-    lists = written(_nearest(_both(pairs), nearest), "near")
-    unit = pts.select("pid", "unit")
+    codes = F.transform(F.sequence(F.lit(1), F.lit(tables)), lambda t: _code(F.col("unit"), t))
+    coded = written(pts.select("pid", "vec", "norm", codes.alias("codes")), "codes").select(
+        F.posexplode("codes").alias("t", "code"), "pid", "vec", "norm")
+    lists = written(_nearest(_met(coded, nearest, window), nearest), "near")
     for _ in range(rounds):
-        known = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.dist").alias("dist"))
-        step = known.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        found = known.join(step, "b").where(F.col("a") != F.col("c")).select(
-            F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        found = found.join(unit.toDF("a", "u"), "a").join(unit.toDF("b", "v"), "b").select(
-            "a", "b", distance(F.col("u"), F.col("v")).alias("dist"))
-        # a pair counts for both ends; a list keeps no more than its nearest
-        lists = written(_nearest(_both(found).unionByName(known), nearest), "near")
+        lists = written(_nearest(_bettered(pts, lists, nearest).unionByName(_listed(lists)), nearest), "near")
     return lists
 
 
 def reachability(pts: DataFrame, lists: DataFrame, min_points: int) -> DataFrame:
     """Edges (a, b, w) with a < b. A point whose list does not reach ``min_points``
     rows has no edge."""
-    known = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.dist").alias("dist"))
+    known = _listed(lists)
     counted = known.join(pts.select(F.col("pid").alias("b"), "n"), "b").groupBy("a").agg(
         F.array_sort(F.collect_list(F.struct("dist", "n"))).alias("near"))
     own = pts.select(F.col("pid").alias("a"), F.col("n").alias("own")).join(counted, "a", "left")

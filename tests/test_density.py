@@ -1,5 +1,10 @@
 """Density clusters against all pairs in numpy."""
 
+import json
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +77,60 @@ def test_neighbour_recall_on_the_given_vectors(spark, sf):
     assert hits / (k * len(queries)) >= 0.9
 
 
+def test_a_round_looks_at_all_neighbours_of_neighbours(spark):
+    """A list after a round: the nearest of those listed and all two steps away, either way."""
+    random = np.random.default_rng(5)
+    vectors = random.normal(size=(90, 16))
+    vectors[:9] = vectors[0] + random.normal(size=(9, 16)) * 0.01
+    pts = density.points(spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<float>"), "id", "v")
+    rows = {r["pid"]: np.array(r["unit"]) for r in pts.collect()}
+    ids = sorted(rows)
+    d = {(a, b): max(0.0, 1 - float(np.cumsum(rows[a] * rows[b])[-1])) for a in ids for b in ids}  # summed in order, as there
+    # lists of any length, one point (the hub) on each of them, some points without a list
+    lists = {a: sorted({(d[a, b], b) for b in [ids[0], *random.choice(ids, random.integers(0, 6)).tolist()] if b != a})
+             for a in ids[:80]}
+    df = spark.createDataFrame([(a, [tuple(x) for x in near]) for a, near in lists.items() if near],
+                               "a long, near array<struct<dist:double,b:long>>")
+    got = density._nearest(density._bettered(pts, df, 5).unionByName(density._listed(df)), 5).collect()
+    steps = {(a, b) for a, near in lists.items() for _, b in near}
+    wanted = {a: {b for x, b in steps if x == a} for a in ids}
+    for a, b in steps:
+        for c in (c for x, c in steps if x == b and c != a):
+            wanted[a].add(c)
+            wanted[c].add(a)
+    assert {r["a"]: [x["b"] for x in r["near"]] for r in got} == {
+        a: [b for _, b in sorted((d[a, b], b) for b in found)[:5]] for a, found in wanted.items() if found}
+
+
+SEARCH = """
+import sys
+from pvlens.operators import density
+from pvlens.session import get_spark
+from pvlens.sources import tables as T
+folder, sf = sys.argv[1:]
+spark = get_spark("local[4]", "shuffled", 64, **{
+    "spark.checkpoint.dir": folder + "/shared", "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + folder + "/events",
+    "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
+density.neighbours(density.points(T.read_table(spark, sf, "embeddings"), "vec_id", "embedding"))
+spark.stop()
+"""
+
+
+def test_vectors_are_not_shuffled_with_each_pair(sf, tmp_path):
+    """Bytes that the search shuffles: a vector travels along the lists (24 entries), not with
+    each of the hundreds of pairs that a round looks at."""
+    (tmp_path / "events").mkdir()
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", SEARCH, str(tmp_path), sf], check=True, timeout=300,
+                   env=os.environ | {"PYTHONPATH": repo})
+    (log,) = (tmp_path / "events").iterdir()
+    ends = [e for e in map(json.loads, log.read_text().splitlines()) if e["Event"] == "SparkListenerTaskEnd"]
+    shuffled = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in ends)
+    assert 0 < shuffled / 500 < 60_000
+
+
 def test_forest_is_minimal(spark):
     random = np.random.default_rng(9)
     n = 60
