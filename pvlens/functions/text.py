@@ -167,8 +167,10 @@ def sign_of(c: Column) -> Column:
 
 
 def null_tokens_to_null(c: Column, tokens: list[str]) -> Column:
-    """SC15: tokens that a CSV reader treats as missing become null."""
-    return F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
+    """SC15: tokens that a CSV reader treats as missing become null. Longer values
+    are told by their length, without a look-up."""
+    longest = max((len(t.encode()) for t in tokens), default=0)
+    return F.when((F.octet_length(c) <= longest) & c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
 
 
 def pct2(part: Column, total: Column) -> Column:

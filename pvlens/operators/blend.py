@@ -9,7 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pvlens.session import written
+
 ROLES = ["DATA", "SYMPTOMS", "VAX"]
+# Blended rows of one key above which its joins must be free to be split over tasks.
+HOT_ROWS = 1_000_000
 
 
 def role_presence(parts: dict[str, DataFrame], year_col: str = "year") -> DataFrame:
@@ -74,8 +78,27 @@ def _matched_nulls(data: DataFrame, symptoms: DataFrame, vax: DataFrame, keys: l
     return both.join(cells(vax, True), grid).drop(*grid)
 
 
+def _together(data: DataFrame, symptoms: DataFrame, vax: DataFrame, keys: list[str]) -> DataFrame:
+    """The three parts joined on one partitioning: each part is shuffled once, and
+    what the first join makes, wide and already fanned out, is not."""
+    out = data
+    for right in (symptoms, vax):
+        out, right = rename_overlaps(out, right, keys)
+        names = [*out.columns, *[c for c in right.columns if c not in keys]]
+        out = out.join(right, keys).select(*[F.col(f"`{c}`") for c in names])
+    return out
+
+
+def hot_keys(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Keys with more than ``HOT_ROWS`` blended rows, by the parts' counts: few, since
+    each has that many rows in the result."""
+    rows = [df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(f"_n{i}")) for i, df in enumerate(parts)]
+    product = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(len(parts))])
+    return reduce(lambda a, b: a.join(b, keys), rows).where(product > HOT_ROWS).select(*keys)
+
+
 def blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame, key: str | list[str] = "VAERS_ID",
-          null_safe: bool = False) -> DataFrame:
+          null_safe: bool = False, count_first: bool = False) -> DataFrame:
     """``data ⋈ symptoms ⋈ vax`` inner on the report key; the many-to-many
     fan-out is kept. ``null_safe`` makes null keys match each other (J3, pandas
     ``merge`` semantics).
@@ -84,9 +107,24 @@ def blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame, key: str | list[
     partitioning therefore does not carry over from the first join to the
     second, so AQE may split a hot report in either of them; two joins that
     share a partitioning may not be split. Rows with a null key are matched apart
-    from the others (:func:`_matched_nulls`)."""
+    from the others (:func:`_matched_nulls`).
+
+    With ``count_first`` the rows of each key are counted at once, a pass over the
+    keys of stored parts; only hot reports are then joined that way, the others on
+    one partitioning for both joins (:func:`_together`)."""
     keys = [key] if isinstance(key, str) else list(key)
-    whole = _matched(_matched(data, symptoms, keys), vax, keys)
+    parts = [data, symptoms, vax]
+    if count_first:
+        hot = written(hot_keys(parts, keys), "hot-keys")
+        if hot.isEmpty():
+            whole = _together(*parts, keys)
+        else:
+            few = F.broadcast(hot)
+            whole = _together(*[df.join(few, keys, "left_anti") for df in parts], keys).unionByName(
+                blend(*[df.join(few, keys, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+                        for df in parts], keys))
+    else:
+        whole = _matched(_matched(data, symptoms, keys), vax, keys)
     if not null_safe:
         return whole
     return whole.unionByName(_matched_nulls(data, symptoms, vax, keys))

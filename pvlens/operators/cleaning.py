@@ -78,15 +78,25 @@ def clean_blend(data: DataFrame, symptoms: DataFrame, vax: DataFrame,
     The distinct rows of a join are the join of the distinct rows. All rows of a
     report share its values, so filling the reports that survive the joins, in
     their order, fills their rows; only narrow reports are ordered. Which reports
-    survive is found by the ids of the other parts alone, as they are given."""
+    survive is found by the ids of the other parts alone.
+
+    The distinct rows of each part, the surviving reports and the filled ones are
+    written: a source is read once, and the shuffle files of a step are gone before
+    the next makes its own. Left for the result are one shuffle of each part, whose
+    rows come with like ones side by side and compress the better for it."""
     keys = [key] if isinstance(key, str) else list(key)
-    s, v = symptoms.dropDuplicates(), vax.dropDuplicates()
+
+    def distinct(df: DataFrame, name: str) -> DataFrame:
+        values = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+        kept = df.dropDuplicates().dropna(subset=keys)
+        return written(kept.sortWithinPartitions(*values) if values else kept, name)
+    s, v = distinct(symptoms, "symptoms"), distinct(vax, "vax")
     d = data.dropDuplicates().dropna(subset=keys)
-    d = d.join(symptoms.select(*keys), keys, "left_semi").join(vax.select(*keys), keys, "left_semi")
+    d = written(d.join(s.select(*keys), keys, "left_semi").join(v.select(*keys), keys, "left_semi"), "reports")
     fill = [c for c in FILLED if c in d.columns]
-    if fill:  # written once: the ranges, the carried values and the fill read it
-        d = forward_fill(written(d, "reports"), fill, order_cols or keys, num_ranges=num_ranges)
-    return _steps_after_fill(_steps_before_fill(blend(d, s, v, keys)))
+    if fill:  # the ranges, the carried values and the fill read the written reports
+        d = written(forward_fill(d, fill, order_cols or keys, num_ranges=num_ranges), "filled")
+    return _steps_after_fill(_steps_before_fill(blend(d, s, v, keys, count_first=True)))
 
 
 def _steps_before_fill(df: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def _write_yearly(spark: SparkSession, sf: str) -> str:
                 names = [c for c in df.columns if c != "year"]
                 turned = names[n % len(names):] + names[:n % len(names)]
                 IO.write_yearly_files({role: df.select("year", F.lit("x").alias("UNUSED"), *turned)},
-                                      base, [year])
+                                      base, [year], compression="gzip")
     T.reports(spark, sf).groupBy("year").count().coalesce(1).write.options(**IO.CSV_OPTIONS).csv(
         os.path.join(base, "2024VAERSData", "notes.csv"))
     return base

@@ -20,10 +20,14 @@ from pyspark.sql import types as T
 
 from pvlens.functions.lexicons import DEFAULT_SYMPTOMS, NULL_TOKENS
 from pvlens.functions.text import WHITESPACE_RUN, null_tokens_to_null
+from pvlens.session import session_setting
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+# Folders that a task writes to at once; beyond them it sorts its rows by folder.
+OPEN_FILES = 50
+
 ANNOTATION_SCHEMA = T.StructType([
     T.StructField("data", T.StructType([T.StructField("text", T.StringType())])),
     T.StructField("result", T.ArrayType(T.StructType([
@@ -148,24 +152,27 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-YEAR_IN_PATH = r"/year=(\d{4})/|/(\d{4})[^/]*Data/"
-
-
 def read_report_part(spark: SparkSession, base: str, role: str, schema: T.StructType,
                      encoding: str = "ISO-8859-1", years: list[str] | None = None,
                      files: list[Row] | None = None) -> DataFrame:
     """One part of all (or the given) years, typed, with its ``year`` taken
-    from the path. ``files`` are rows of :func:`classify_files`, if at hand."""
+    from the path. ``files`` are rows of :func:`classify_files`, if at hand. A year's
+    files are a scan of their own with the year as a constant: searching each row's
+    path for it took longer than reading the row."""
     if files is None:
         files = classify_files(list_files(spark, base)).collect()
-    paths = sorted(f["path"] for f in files if f["role"] == role and f["year"] != ""
-                   and (years is None or f["year"] in years))
+    by_year: dict[str, list[str]] = {}
+    for f in files:
+        if f["role"] == role and f["year"] != "" and (years is None or f["year"] in years):
+            by_year.setdefault(f["year"], []).append(f["path"])
     fields = [f for f in schema.fields if f.name != "year"]
-    raw = read_csv_files(spark, paths, [f.name for f in fields], encoding)
-    year = F.concat(F.regexp_extract("_path", YEAR_IN_PATH, 1), F.regexp_extract("_path", YEAR_IN_PATH, 2))
-    typed = apply_schema(raw.withColumn("year", year),
-                         T.StructType([*fields, T.StructField("year", T.StringType())]))
-    return typed
+    names = [f.name for f in fields]
+    raw = [read_csv_files(spark, sorted(paths), names, encoding).withColumn("year", F.lit(year))
+           for year, paths in sorted(by_year.items())]
+    if not raw:
+        raw = [read_csv_files(spark, [], names, encoding).withColumn("year", F.lit(""))]
+    return apply_schema(reduce(DataFrame.unionByName, raw),
+                        T.StructType([*fields, T.StructField("year", T.StringType())]))
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -177,7 +184,9 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w = df.write.mode(mode).options(**CSV_OPTIONS).option("encoding", encoding).option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.csv(path)
+    # a task keeps a file open for each folder instead of sorting its rows by folder
+    with session_setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        w.csv(path)
     return path
 
 
@@ -191,14 +200,14 @@ def write_report_parts(parts: dict[str, DataFrame], base: str, encoding: str = "
 
 
 def write_yearly_files(parts: dict[str, DataFrame], base: str, years: list[str],
-                       name: str = "VAERS", encoding: str = "UTF-8") -> str:
+                       name: str = "VAERS", encoding: str = "UTF-8", compression: str = "none") -> str:
     """K1 in the original layout: ``{base}/{year}{name}Data/{year}{name}{ROLE}.csv``,
     each a folder of part files; one write for each year and part."""
     for role, df in parts.items():
         for year in years:
             write_csv(df.where(F.col("year") == year).drop("year"),
                       os.path.join(base, f"{year}{name}Data", f"{year}{name}{role}.csv"),
-                      encoding=encoding)
+                      encoding=encoding, compression=compression)
     return base
 
 

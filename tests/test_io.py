@@ -59,6 +59,32 @@ def test_compressed_parts_are_found_and_read(spark):
     assert size(packed) < size(plain) / 3
 
 
+def test_yearly_files_are_compressed_and_read(spark, sf):
+    from pvlens.plans.jobs import read_complete_parts
+    from pvlens.plans.q_more import _write_yearly
+    from pvlens.sources import tables
+    base = _write_yearly(spark, sf)
+    files = IO.classify_files(IO.list_files(spark, base)).collect()
+    assert {f["role"] for f in files if f["path"].endswith(".csv")} == {"OTHER"}
+    parts = read_complete_parts(spark, base)
+    wanted = tables.yearly_parts(spark, sf)["DATA"].where(F.col("year") != tables.INCOMPLETE_YEAR)
+    got = parts["DATA"].select("year", "VAERS_ID", "NUMDAYS", "SYMPTOM_TEXT")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.select(got.columns).collect()))
+
+
+def test_a_years_rows_do_not_search_their_path(spark):
+    base = scratch_path(spark, "years")
+    df = spark.createDataFrame([(1, "2021", 1.0, "a"), (2, "2022", None, "b" * 9), (3, "2022", 2.0, "<NA>")], SCHEMA)
+    IO.write_report_parts({"DATA": df}, base)
+    back = IO.read_report_part(spark, base, "DATA", SCHEMA, "UTF-8")
+    assert sorted(map(tuple, back.select("VAERS_ID", "year", "SYMPTOM_TEXT").collect())) == [
+        (1, "2021", "a"), (2, "2022", "b" * 9), (3, "2022", None)]
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "file_path" not in plan and "regexp_extract" not in plan
+    none = IO.read_report_part(spark, base, "VAX", SCHEMA, "UTF-8")
+    assert none.count() == 0 and set(none.columns) == set(back.columns)
+
+
 def test_two_files_for_one_part_are_an_error(spark):
     from pvlens.plans.jobs import read_complete_parts
     base = scratch_path(spark, "doubled")

@@ -76,6 +76,27 @@ def test_rows_without_an_id_are_matched_in_many_tasks(spark):
     assert len(tasks) >= 4 and max(tasks) < sum(tasks) / 3
 
 
+def test_counted_blend_keeps_hot_reports(spark, monkeypatch):
+    """Reports of many rows are joined apart from the others; none is lost or doubled."""
+    from collections import Counter
+    from pvlens.operators import blend as J
+
+    def part(name, counts):
+        return spark.createDataFrame([("2021", i, f"{name}{i}-{n}", n) for i, c in counts.items() for n in range(c)]
+                                     + [(None, 1, "no year", 0), ("2021", None, "no id", 0)],
+                                     f"year string, id long, {name} string, same long")
+    counts = {i: 1 + i % 3 for i in range(12)}
+    parts = part("a", counts | {3: 4}), part("b", counts | {3: 9, 5: 30}), part("c", counts | {3: 8, 99: 50})
+    wanted = J.blend(*parts, ["year", "id"])
+    monkeypatch.setattr(J, "HOT_ROWS", 60)
+    assert sorted(r["id"] for r in J.hot_keys(list(parts), ["year", "id"]).collect()) == [3, 5]
+    for limit in (60, 10**6):
+        monkeypatch.setattr(J, "HOT_ROWS", limit)
+        got = J.blend(*parts, ["year", "id"], count_first=True)
+        assert got.columns == wanted.columns
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, wanted.collect()))
+
+
 def test_union_years(spark):
     a = spark.createDataFrame([(1, "x")], "id long, a string")
     b = spark.createDataFrame([(2, 3.0)], "id long, b double")

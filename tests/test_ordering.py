@@ -173,3 +173,19 @@ def test_clean_blend_reads_a_parts_rows_once(spark):
     assert got.columns == wanted.columns
     assert sorted(got.collect(), key=str) == sorted(wanted.collect(), key=str)
     assert calls["SYMPTOM1"].value <= 200 and calls["VAX_TYPE"].value <= 160
+
+
+def test_clean_blend_shuffles_each_part_once(spark):
+    """What the first join makes is not shuffled, nor a part a second time for its distinct rows."""
+    from pvlens.operators.cleaning import clean_blend
+    data = spark.createDataFrame([(i, "CA", i + 0.5) for i in range(60)], "VAERS_ID long, STATE string, AGE_YRS double")
+    symptoms = spark.createDataFrame([(i % 50, f"s{i % 7}") for i in range(200)], "VAERS_ID long, SYMPTOM1 string")
+    vax = spark.createDataFrame([(i % 40, f"v{i % 3}") for i in range(160)], "VAERS_ID long, VAX_TYPE string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = clean_blend(data, symptoms, vax)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert plan.count("Exchange hashpartitioning") == 3
