@@ -106,7 +106,8 @@ def q_blend_files_combined(spark, sf):
     """K1 + K2: the blended years written as one table of yearly folders, then
     as one table of all years, and read back."""
     out, whole = scratch_path(spark, "combined"), scratch_path(spark, "all-years")
-    blended = J.blend(T.reports(spark, sf), T.report_symptoms(spark, sf), T.report_vax(spark, sf))
+    blended = J.blend(T.reports(spark, sf), T.report_symptoms(spark, sf), T.report_vax(spark, sf),
+                      count_first=True)
     IO.write_csv(blended, out, partition_by=["year"], compression="gzip")
     columns = [c for c in blended.columns if c != "year"]
     # a folder of yearly folders that names no part

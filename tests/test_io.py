@@ -59,6 +59,30 @@ def test_compressed_parts_are_found_and_read(spark):
     assert size(packed) < size(plain) / 3
 
 
+def test_folders_are_written_without_a_sort(spark, monkeypatch):
+    """A task has several folders' files open; where there are more, it sorts the rest. The
+    session's settings are put back."""
+    from pyspark.sql import DataFrameWriter
+    names = ["spark.sql.maxConcurrentOutputFileWriters", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    seen, csv = [], DataFrameWriter.csv
+
+    def watched(self, path):
+        seen.append([spark.conf.get(n) for n in names])
+        return csv(self, path)
+    monkeypatch.setattr(DataFrameWriter, "csv", watched)
+    before = [spark.conf.get(n, None) for n in names]
+    rows = [(i, str(2000 + i * 7 % 9), i / 2, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for files in (2, 50):
+        monkeypatch.setattr(IO, "OPEN_FILES", files)
+        base = scratch_path(spark, "folders")
+        IO.write_report_parts({"DATA": df}, base, compression="gzip")
+        back = IO.read_report_part(spark, base, "DATA", SCHEMA, "UTF-8").select(df.columns)
+        assert sorted(map(tuple, back.collect())) == rows
+    assert seen == [["2", "true"], ["50", "true"]]
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_yearly_files_are_compressed_and_read(spark, sf):
     from pvlens.plans.jobs import read_complete_parts
     from pvlens.plans.q_more import _write_yearly
