@@ -76,6 +76,21 @@ def test_rows_without_an_id_are_matched_in_many_tasks(spark):
     assert len(tasks) >= 4 and max(tasks) < sum(tasks) / 3
 
 
+def test_no_task_makes_a_large_share_of_rows_without_an_id(spark):
+    """The product is cut finely enough however few shuffle partitions the session has."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = blend(*[spark.range(40).select(F.lit(None).cast("long").alias("VAERS_ID"), F.col("id").alias(c))
+                      for c in "abc"], null_safe=True)
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.select("a", "b", "c").distinct().count() == sum(tasks) == 40 ** 3
+    finally:
+        spark.conf.set(name, before)
+    assert max(tasks) < sum(tasks) / 10
+
+
 def test_counted_blend_keeps_hot_reports(spark, monkeypatch):
     """Reports of many rows are joined apart from the others; none is lost or doubled."""
     from collections import Counter
